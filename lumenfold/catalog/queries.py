@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.fixed import EMOTIONS, PAGE_SIZE, PESTLE_K
 from lumenfold.functions import text as tx
-from lumenfold.functions.vectors import dot_counts, first_max, term_vector
+from lumenfold.functions.vectors import dot_counts_sql, first_max, term_vector_sql
 from lumenfold.operators import emotion as em
 from lumenfold.operators import filters as fl
 from lumenfold.operators import ranking as rk
@@ -454,17 +454,13 @@ def jn_zip_explode(spark, folder):
     facets = small_literal(
         sc.encode_facets(ad.swot_seeds(spark, folder)), sc.MAX_FACETS, "facets"
     )
-    negative = F.get(facets, F.lit(0))["counts"]
     lists = ad.articles(spark, folder).select(
         "article_id", tx.clean_each(tx.split_sentences("summary")).alias("sentence")
     )
+    dot = dot_counts_sql(term_vector_sql("s", cleaned=True), "negative")
     scored = lists.select(
-        "article_id",
-        "sentence",
-        F.transform(
-            "sentence", lambda s: dot_counts(term_vector(s, cleaned=True), negative)
-        ).alias("dot"),
-    )
+        "*", F.get(facets, F.lit(0))["counts"].alias("negative")
+    ).select("article_id", "sentence", F.expr(f"transform(sentence, s -> {dot})").alias("dot"))
     return rk.explode_zip(scored, "sentence", "dot", "article_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.fixed import PREVIEW_CHARS, WINDOW_DAYS
 
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
+NOT_WORD_RUN = r"[^\p{L}\p{N}]+"
 
 
 def col(c: Column | str) -> Column:
@@ -56,7 +57,7 @@ def words(c: Column | str, cleaned: bool = False) -> Column:
     ``cleaned`` says the text comes from :func:`clean_text`, where words are one
     space apart and the cheap split gives the same list.
     """
-    pattern = " " if cleaned else r"[^\p{L}\p{N}]+"
+    pattern = " " if cleaned else NOT_WORD_RUN
     return F.filter(F.split(F.lower(col(c)), pattern), lambda w: w != "")
 
 

@@ -1,7 +1,9 @@
 """Sparse term vectors and dense vectors, computed inside one row.
 
 A text is encoded as ``array<struct<bucket int, n int>>`` sorted by bucket. The
-whole encoding is a column expression, so scoring texts needs no shuffle.
+whole encoding is one SQL expression over a column, so scoring texts needs no
+shuffle. A one-element ``transform(array(x), name -> ...)[0]`` names a value that
+is used several times, so that it is computed once per row.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import ENCODER_DIMS
-from lumenfold.functions.text import col, words
+from lumenfold.functions.text import NOT_WORD_RUN, col
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,62 +22,48 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def term_bucket(term: Column, dims: int = ENCODER_DIMS) -> Column:
-    """Stable bucket of a term: the first 32 bits of its MD5, modulo ``dims``."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dims).cast(
-        "int"
+def term_vector_sql(
+    text: str, dims: int = ENCODER_DIMS, cleaned: bool = False
+) -> str:
+    """Hashed term counts of the text named ``text``.
+
+    A term's bucket is the first 32 bits of its MD5 modulo ``dims``. The sorted
+    buckets are cut where the value changes, which is linear in their number.
+    """
+    cut = "' '" if cleaned else f"r'{NOT_WORD_RUN}'"
+    terms = f"filter(split(lower({text}), {cut}), w -> w <> '')"
+    bucket = f"cast(cast(conv(substring(md5(w), 1, 8), 16, 10) as bigint) % {dims} as int)"
+    starts = (
+        "filter(transform(b, (x, i) -> struct(x as bucket, i as at)),"
+        " r -> r.at = 0 or get(b, r.at - 1) <> r.bucket)"
     )
-
-
-def _run_lengths(ordered: Column) -> Column:
-    """Sorted values → one (bucket, n) per run of equal values, in linear time."""
-    starts = F.filter(
-        F.transform(ordered, lambda x, i: F.struct(x.alias("bucket"), i.alias("at"))),
-        lambda r: (r["at"] == 0) | (F.get(ordered, r["at"] - 1) != r["bucket"]),
+    runs = (
+        "transform(runs, (r, j) -> struct(r.bucket as bucket,"
+        " coalesce(get(runs, j + 1).at, size(b)) - r.at as n))"
     )
-    return bind(
-        starts,
-        lambda runs: F.transform(
-            runs,
-            lambda r, j: F.struct(
-                r["bucket"].alias("bucket"),
-                (
-                    F.coalesce(F.get(runs, j + 1)["at"], F.size(ordered)) - r["at"]
-                ).alias("n"),
-            ),
-        ),
+    return (
+        f"transform(array(sort_array(transform({terms}, w -> {bucket}))),"
+        f" b -> transform(array({starts}), runs -> {runs})[0])[0]"
     )
 
 
-def term_vector(
-    text: Column | str, dims: int = ENCODER_DIMS, cleaned: bool = False
-) -> Column:
-    """Hashed term counts of a text."""
-    buckets = F.transform(words(text, cleaned), lambda w: term_bucket(w, dims))
-    return bind(F.sort_array(buckets), _run_lengths)
+def term_vector(text: str, dims: int = ENCODER_DIMS, cleaned: bool = False) -> Column:
+    return F.expr(term_vector_sql(text, dims, cleaned))
 
 
-def squared_norm(vector: Column | str) -> Column:
-    return F.aggregate(
-        col(vector),
-        F.lit(0).cast("long"),
-        lambda acc, e: acc + e["n"].cast("long") * e["n"],
-    )
+def squared_norm(vector: str) -> Column:
+    return F.expr(f"aggregate({vector}, 0L, (acc, e) -> acc + e.n * bigint(e.n))")
 
 
-def dot_counts(vector: Column | str, counts: Column) -> Column:
+def dot_counts_sql(vector: str, counts: str) -> str:
     """Dot product of a sparse vector with a full ``array<long>`` of counts."""
-    return F.aggregate(
-        col(vector),
-        F.lit(0).cast("long"),
-        lambda acc, e: acc + e["n"] * F.get(counts, e["bucket"]),
-    )
+    return f"aggregate({vector}, 0L, (acc, e) -> acc + e.n * get({counts}, e.bucket))"
 
 
-def cosine_of(dot: Column, norm_a: Column, norm_b: Column) -> Column:
+def cosine_sql(dot: str, norm_a: str, norm_b: str) -> str:
     """Cosine from integer parts; a zero vector is similar to nothing (0.0)."""
-    length = F.sqrt(norm_a.cast("double") * norm_b.cast("double"))
-    return F.coalesce(F.try_divide(dot.cast("double"), length), F.lit(0.0))
+    length = f"sqrt(double({norm_a}) * double({norm_b}))"
+    return f"coalesce(try_divide(double({dot}), {length}), 0.0D)"
 
 
 def _sum(values: Column) -> Column:

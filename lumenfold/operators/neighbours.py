@@ -2,207 +2,222 @@
 
 Every vector belongs to the cell of its closest pivot. Distances to the pivots
 and the radius of each cell bound, by the triangle inequality, which cells can
-hold a neighbour; only those are searched. A query meets a block of a cell as one
-row with an array of bounded size, and k rows leave, so pairs are never listed.
-(Method: kNN joins by Voronoi cells, Lu et al., VLDB 2012.)
+hold a neighbour; only those are searched. Slices of queries meet blocks of a
+cell, both of bounded size, as two matrices in one task, and k rows per query
+leave it: pairs are never listed. (Method: kNN joins by Voronoi cells, Lu et al.,
+VLDB 2012.)
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import NEIGHBOURS, SIMILAR_TAKE
-from lumenfold.functions.vectors import dot_dense, squared_distance
-from lumenfold.operators.lookups import SALTS, is_small, lookup_join, small_literal
+from lumenfold.functions.vectors import dot_dense
+from lumenfold.operators.lookups import is_small, lookup_join, small_literal
 from lumenfold.operators.ranking import topk
 from lumenfold.session import materialise
 
-BLOCK = 512
+BLOCK = 1024  # members of a cell per task
+SLICE = 4096  # queries per task
+MAX_PIVOTS = 1024
 MAX_SOURCES = 2000
-SLACK = 1e-9  # relative room for rounding in the bounds, never in the result
 
 
-def _copies(df: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
-    """Equal vectors → one row with their k + 1 smallest ids.
+def _copies(df: DataFrame, k: int) -> DataFrame:
+    """Equal vectors → (v, rep, ids): the k + 1 smallest ids, rep the smallest.
 
     A group of copies may be huge; only k + 1 of its ids can be a neighbour.
     """
-    first = topk(
-        df.select(F.col(ident).alias("id"), F.col(vector).alias("v")),
-        k + 1,
-        [F.col("id")],
-        ["v"],
-    )
-    return first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    first = topk(df.select("id", "v"), k + 1, [F.col("id")], ["v"])
+    ids = F.sort_array(F.collect_list("id"))
+    return first.groupBy("v").agg(ids.alias("ids")).withColumn("rep", F.col("ids")[0])
 
 
-def _assign(distinct: DataFrame, pivots: int) -> DataFrame:
-    """Add rep (smallest id), distances to all pivots, own cell and distance."""
-    reps = distinct.withColumn("rep", F.col("ids")[0])
-    chosen = reps.orderBy(F.xxhash64("v"), "rep").limit(pivots).select("rep", "v")
-    centres = small_literal(chosen, pivots, "pivots")
-    to_pivot = F.transform(centres, lambda p: F.sqrt(squared_distance(F.col("v"), p["v"])))
-    return reps.withColumn("far", to_pivot).select(
-        "rep",
-        "ids",
-        "v",
-        "far",
-        F.array_min("far").alias("d"),
-        (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("cell"),
-    )
+def _cell_of(pivots: list) -> Column:
+    """Own cell (number of the closest pivot) and the distance to its pivot."""
 
+    @F.pandas_udf("cell int, d double")
+    def assign(v: pd.Series) -> pd.DataFrame:
+        import numpy as np
 
-def _cells(assigned: DataFrame, k: int) -> DataFrame:
-    """Per cell: size, radius and the k + 1 distances closest to the pivot."""
-    sizes = assigned.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")
-    )
-    near = (
-        topk(assigned.select("cell", "d", "rep"), k + 1, [F.col("d"), F.col("rep")], ["cell"])
-        .groupBy("cell")
-        .agg(F.sort_array(F.collect_list("d")).alias("near"))
-    )
-    return sizes.join(near, "cell")
+        centres = np.array(pivots, dtype="float64")
+        far = np.array(
+            [np.sqrt(((centres - np.asarray(x, "float64")) ** 2).sum(1)) for x in v]
+        ).reshape(-1, len(centres))
+        cell = far.argmin(1).astype("int32")
+        return pd.DataFrame({"cell": cell, "d": far[np.arange(len(cell)), cell]})
 
+    return assign("v")
 
-def _sizes(assigned: DataFrame) -> DataFrame:
-    """(cell, n): one row per pivot at most."""
-    return assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
+def _cells_to_search(pivots: list, cells: list, k: int) -> Column:
+    """Cells that can hold one of the k nearest.
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / BLOCK).cast("long")
+    A cell's k + 1 members closest to its pivot bound the k-th distance from
+    above; its radius bounds the distance to any member from below. The slack
+    only covers rounding.
+    """
 
+    @F.pandas_udf("array<int>")
+    def search(v: pd.Series) -> pd.Series:
+        import numpy as np
 
-def _salts(n: Column) -> Column:
-    return F.when(n > 8 * BLOCK, F.lit(SALTS)).otherwise(F.lit(1)).cast("long")
+        centres = np.array(pivots, dtype="float64")
+        number = np.array([c["cell"] for c in cells])
+        radius = np.array([c["radius"] for c in cells])
+        owner = np.repeat(np.arange(len(cells)), [len(c["near"]) for c in cells])
+        near = np.concatenate([c["near"] for c in cells])
+        out = []
+        for x in v:
+            far = np.sqrt(((centres - np.asarray(x, "float64")) ** 2).sum(1))[number]
+            upper = far[owner] + near
+            reach = np.partition(upper, k)[k] if len(upper) > k else np.inf
+            out.append(number[far - radius <= reach * (1 + 1e-9) + 1e-9].tolist())
+        return pd.Series(out)
 
+    return search("v")
 
-def _up_to(n: Column) -> Column:
-    return F.sequence(F.lit(0).cast("long"), n - 1)
 
+def _nearest_in_block(k: int):
+    def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-def knn_graph(
-    df: DataFrame,
-    ident: str = "vec_id",
-    vector: str = "embedding",
-    k: int = NEIGHBOURS,
-    pivots: int = 64,
-) -> DataFrame:
-    """Exact k nearest neighbours: (id, neighbour, rk, dist2).
+        if queries.empty or members.empty:
+            return pd.DataFrame({"rep": [], "other": [], "dist2": []})
+        members = members.sort_values("rep")
+        other = members["rep"].to_numpy()
+        block = np.stack(members["v"].to_list()).astype("float64")
+        reps, others, dist2 = [], [], []
+        for rep, v in zip(queries["rep"], queries["v"]):
+            d = ((block - np.asarray(v, "float64")) ** 2).sum(1)
+            d[other == rep] = np.inf
+            top = np.argsort(d, kind="stable")[:k]
+            top = top[np.isfinite(d[top])]
+            reps.append(np.full(len(top), rep))
+            others.append(other[top])
+            dist2.append(d[top])
+        return pd.DataFrame(
+            {
+                "rep": np.concatenate(reps),
+                "other": np.concatenate(others),
+                "dist2": np.concatenate(dist2),
+            }
+        )
+
+    return run
 
-    Ties go to the smaller id. ``pivots`` only moves work, never the result: use
-    about the square root of the number of vectors, up to a few thousand.
-    """
-    distinct = materialise(_copies(df, ident, vector, k))
-    assigned = materialise(_assign(distinct, pivots))
-    cells = small_literal(_cells(assigned, k), pivots, "cells")
-
-    # Members of a cell in blocks of about BLOCK rows, one row per block. A large
-    # cell draws many queries: its blocks are copied so that these spread.
-    blocks = (
-        assigned.join(F.broadcast(_sizes(assigned)), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), _blocks(F.col("n"))))
-        .groupBy("cell", "n", "block")
-        .agg(F.collect_list(F.struct("rep", "ids", "v", "d")).alias("members"))
-        .withColumn("salt", F.explode(_up_to(_salts(F.col("n")))))
-    )
 
-    # An upper bound on the k-th distance, then the cells that can beat it.
-    reach = F.get(
-        F.sort_array(
-            F.flatten(
-                F.transform(
-                    cells,
-                    lambda c: F.transform(
-                        c["near"], lambda t: F.get(F.col("far"), c["cell"]) + t
-                    ),
-                )
-            )
-        ),
-        F.lit(k),
+def _nearest_distinct(distinct: DataFrame, k: int, pivots: int | None) -> DataFrame:
+    """(rep, other, dist2, rk) among different vectors."""
+    total = distinct.count()
+    pivots = max(1, min(pivots or isqrt(total), MAX_PIVOTS))
+    chosen = distinct.orderBy(F.xxhash64("v"), "rep").limit(pivots).select("v")
+    centres = [list(r["v"]) for r in chosen.collect()]
+
+    assigned = materialise(
+        distinct.select("rep", "v", _cell_of(centres).alias("c")).select(
+            "rep", "v", "c.cell", "c.d"
+        )
     )
-    bounded = assigned.select(
-        "rep",
-        "v",
-        "far",
-        (F.coalesce(reach, F.lit(float("inf"))) * (1 + SLACK) + SLACK).alias("reach"),
+    near = (
+        topk(assigned.select("cell", "d", "rep"), k + 1, [F.col("d"), F.col("rep")], ["cell"])
+        .groupBy("cell")
+        .agg(F.sort_array(F.collect_list("d")).alias("near"))
     )
-    candidates = F.filter(
-        cells,
-        lambda c: F.get(F.col("far"), c["cell"]) - c["radius"] <= F.col("reach"),
+    sizes = assigned.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")
     )
+    # One row per pivot at most.
+    cells = [r.asDict() for r in sizes.join(near, "cell").orderBy("cell").collect()]
+
+    # Number of blocks per cell and of slices of all queries.
+    blocks = [0] * len(centres)
+    for c in cells:
+        blocks[c["cell"]] = -(-c["n"] // BLOCK)
+    blocks_of = F.get(F.from_json(F.lit(str(blocks)), "array<long>"), F.col("cell"))
+    slices = F.lit(-(-total // SLICE)).cast("long")
+
+    def up_to(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
     queries = (
-        bounded.select("rep", "v", "far", "reach", F.explode(candidates).alias("c"))
+        assigned.select("rep", "v", _cells_to_search(centres, cells, k).alias("cells"))
+        .select("rep", "v", F.explode("cells").alias("cell"))
         .select(
             "rep",
             "v",
-            "reach",
-            F.get("far", F.col("c.cell")).alias("dq"),
-            F.col("c.cell").alias("cell"),
-            F.pmod(F.xxhash64("rep"), _salts(F.col("c.n"))).alias("salt"),
-            F.explode(_up_to(_blocks(F.col("c.n")))).alias("block"),
+            "cell",
+            up_to(blocks_of).alias("block"),
+            F.pmod(F.xxhash64("rep"), slices).alias("slice"),
         )
     )
-
-    def measured(m):
-        return F.struct(
-            squared_distance(F.col("v"), m["v"]).alias("dist2"),
-            m["rep"].alias("other"),
-            m["ids"].alias("other_ids"),
-        )
-
-    ring = F.filter(
-        F.col("members"),
-        lambda m: (F.abs(F.col("dq") - m["d"]) <= F.col("reach"))
-        & (m["rep"] != F.col("rep")),
-    )
-    found = queries.join(blocks, ["cell", "block", "salt"]).select(
+    members = assigned.select(
         "rep",
-        F.inline(F.slice(F.array_sort(F.transform(ring, measured)), 1, k)),
-    )
-    nearest = topk(found, k, [F.col("dist2"), F.col("other")], ["rep"])
-
-    # Back to ids: own copies at distance 0, then the copies of each neighbour.
-    hits = nearest.groupBy("rep").agg(
-        F.flatten(
-            F.collect_list(
-                F.transform(
-                    F.col("other_ids"),
-                    lambda i: F.struct(F.col("dist2").alias("dist2"), i.alias("neighbour")),
-                )
-            )
-        ).alias("hits")
+        "v",
+        "cell",
+        F.pmod(F.xxhash64("rep"), blocks_of).alias("block"),
+        up_to(slices).alias("slice"),
     )
-    own = F.transform(
-        F.col("ids"), lambda i: F.struct(F.lit(0.0).alias("dist2"), i.alias("neighbour"))
+    key = ["cell", "block", "slice"]
+    kind = distinct.schema["rep"].dataType.simpleString()
+    found = (
+        queries.groupBy(*key)
+        .cogroup(members.groupBy(*key))
+        .applyInPandas(
+            _nearest_in_block(k), f"rep {kind}, other {kind}, dist2 double"
+        )
     )
-    lists = distinct.join(
-        hits.withColumnRenamed("rep", "_rep"), F.col("ids")[0] == F.col("_rep"), "left"
-    ).select(
-        "v",
-        F.slice(
-            F.array_sort(
-                F.when(F.col("hits").isNull(), own).otherwise(F.concat(own, "hits"))
-            ),
-            1,
-            k + 1,
-        ).alias("best"),
+    return topk(found, k, [F.col("dist2"), F.col("other")], ["rep"], salted=False)
+
+
+def knn_graph(
+    df: DataFrame,
+    ident: str = "vec_id",
+    vector: str = "embedding",
+    k: int = NEIGHBOURS,
+    pivots: int | None = None,
+) -> DataFrame:
+    """Exact k nearest neighbours: (id, neighbour, rk, dist2).
+
+    Ties go to the smaller id. ``pivots`` moves work but never the result; the
+    default is the square root of the number of different vectors.
+    """
+    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
+    distinct = materialise(_copies(rows, k))
+    found = _nearest_distinct(distinct, k, pivots)
+
+    # Ids of a vector's neighbours: own copies at distance 0, then the copies of
+    # the k closest other vectors. k + 1 of them serve every copy of the vector.
+    def hits(ids: str, dist2: Column) -> Column:
+        return F.transform(
+            ids, lambda i: F.struct(dist2.alias("dist2"), i.alias("neighbour"))
+        )
+
+    near = (
+        lookup_join(
+            found.select("rep", F.col("other"), "dist2"),
+            distinct.select(F.col("rep").alias("other"), "ids"),
+            "other",
+            "inner",
+        )
+        .groupBy("rep")
+        .agg(F.flatten(F.collect_list(hits("ids", F.col("dist2")))).alias("near"))
     )
-    members = df.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
-    mine = F.slice(
-        F.filter(F.col("best"), lambda b: b["neighbour"] != F.col("id")), 1, k
+    own = hits("ids", F.lit(0.0))
+    every = F.when(F.col("near").isNull(), own).otherwise(F.concat(own, "near"))
+    best = distinct.join(near, "rep", "left").select(
+        "v", F.slice(F.array_sort(every), 1, k + 1).alias("best")
     )
+    mine = F.filter("best", lambda b: b["neighbour"] != F.col("id"))
     return (
-        lookup_join(members, lists, "v", max_rows=20_000)
-        .select("id", F.posexplode(mine).alias("pos", "b"))
-        .select(
-            "id",
-            "b.neighbour",
-            (F.col("pos") + 1).alias("rk"),
-            "b.dist2",
-        )
+        lookup_join(rows, best, "v", max_rows=20_000)
+        .select("id", F.posexplode(F.slice(mine, 1, k)).alias("pos", "b"))
+        .select("id", "b.neighbour", (F.col("pos") + 1).alias("rk"), "b.dist2")
     )
 
 

@@ -37,22 +37,26 @@ def topk(
     order: list[Column],
     group: list[str] | tuple[str, ...] = ("facet",),
     rank: str = "rk",
+    salted: bool = True,
 ) -> DataFrame:
     """Exact top k rows per group, also when a group holds most of the rows.
 
     Every task first keeps its own k best rows per group. These meet in
     ``RANK_SALTS`` tasks per group, which keep k rows each; only those are
     ranked together. The salt is the task's number, so it adds no rows, and the
-    result does not depend on it.
+    result does not depend on it. Without ``salted``, for groups that are small
+    by construction, the rows meet at once.
     """
-    salted = df.withColumn("_salt", F.spark_partition_id() % RANK_SALTS)
+    whole = W.partitionBy(*group).orderBy(*order)
+    if not salted:
+        return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
+    spread = df.withColumn("_salt", F.spark_partition_id() % RANK_SALTS)
     part = W.partitionBy(*group, "_salt").orderBy(*order)
     best = (
-        salted.withColumn("_part_rank", F.row_number().over(part))
+        spread.withColumn("_part_rank", F.row_number().over(part))
         .filter(F.col("_part_rank") <= k)
         .drop("_part_rank", "_salt")
     )
-    whole = W.partitionBy(*group).orderBy(*order)
     return best.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 

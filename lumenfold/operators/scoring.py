@@ -9,8 +9,8 @@ from lumenfold.fixed import EMOTIONS, ENCODER_DIMS
 from lumenfold.functions.text import words
 from lumenfold.functions.vectors import (
     cosine_dense,
-    cosine_of,
-    dot_counts,
+    cosine_sql,
+    dot_counts_sql,
     squared_norm,
     term_vector,
 )
@@ -78,22 +78,22 @@ def emotion_scores(
     without a join to the labels.
     """
     ordered = sorted(labels)
-    weights = lexicon.select("term", "emotion", _hundredths("weight").alias("w"))
+    weights = lexicon.select(
+        "term",
+        (F.array_position(F.lit(ordered), F.col("emotion")) - 1).alias("label"),
+        _hundredths("weight").alias("w"),
+    )
     hits = lookup_join(_terms(df, ids, text), weights, "term")
     sums = hits.groupBy(*ids).agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("emotion") == e, F.col("w"))), F.lit(0)).alias(
-                f"_{i}"
-            )
-            for i, e in enumerate(ordered)
+            F.expr(f"coalesce(sum(w) filter (where label = {i}), 0) / 100.0D as _{i}")
+            for i in range(len(ordered))
         ]
     )
     return sums.select(
         *ids,
-        F.array(*[F.lit(e) for e in ordered]).alias("emotion"),
-        F.array(*[F.col(f"_{i}") / F.lit(100.0) for i in range(len(ordered))]).alias(
-            "score"
-        ),
+        F.lit(ordered).alias("emotion"),
+        F.array(*[f"_{i}" for i in range(len(ordered))]).alias("score"),
     )
 
 
@@ -144,16 +144,11 @@ def score_sparse(
     encoded = df.select(*keep, term_vector(text, dims, cleaned).alias("_v")).select(
         *keep, "_v", squared_norm("_v").alias("_norm")
     )
-    scores = F.transform(
-        facets,
-        lambda f: F.struct(
-            f["facet"].alias("facet"),
-            cosine_of(
-                dot_counts("_v", f["counts"]), F.col("_norm"), f["norm"]
-            ).alias("sim"),
-        ),
+    sim = cosine_sql(dot_counts_sql("_v", "f.counts"), "_norm", "f.norm")
+    return encoded.select("*", facets.alias("_facets")).select(
+        *keep,
+        F.expr(f"inline(transform(_facets, f -> struct(f.facet as facet, {sim} as sim)))"),
     )
-    return encoded.select(*keep, F.inline(scores))
 
 
 def cosine_sparse(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -171,7 +166,7 @@ def cosine_sparse(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
         .agg(F.sum(F.col("n").cast("long") * F.col("_m")).alias("dot"))
     )
     return dots.join(na, a_id).select(
-        a_id, b_id, "dot", cosine_of(F.col("dot"), F.col("_na"), F.col("_nb")).alias("sim")
+        a_id, b_id, "dot", F.expr(cosine_sql("dot", "_na", "_nb")).alias("sim")
     )
 
 

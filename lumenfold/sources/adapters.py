@@ -106,7 +106,7 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
 def facet_seeds(spark: SparkSession, folder: str, facets: list[str]) -> DataFrame:
     """Seed paragraphs (facet, text): every benchmark passage belongs to one facet."""
     names = F.array(*[F.lit(f) for f in facets])
-    return load(spark, folder, "benchmark").select(
+    return spread(load(spark, folder, "benchmark"), "item_id").select(
         F.get(names, (F.col("item_id") % len(facets)).cast("int")).alias("facet"),
         "text",
     )
@@ -126,7 +126,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        load(spark, folder, "benchmark")
+        spread(load(spark, folder, "benchmark"), "item_id")
         .select(F.explode(words("text")).alias("term"))
         .distinct()
     )

@@ -92,11 +92,14 @@ def default_palette(spark: SparkSession) -> DataFrame:
 
 def unpivot_similarity(wide: DataFrame, id_column: str) -> DataFrame:
     """Wide outlet matrix → (src_a, src_b, sim)."""
+    def named(c: str) -> Column:  # outlet names hold dots
+        return F.col("`" + c.replace("`", "``") + "`")
+
     others = [c for c in wide.columns if c != id_column]
     return wide.select(
-        F.col(id_column).cast("string").alias("src_a"),
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in others],
-    ).unpivot("src_a", others, "src_b", "sim")
+        named(id_column).cast("string").alias("src_a"),
+        *[named(c).cast("double").alias(c) for c in others],
+    ).unpivot("src_a", [named(c) for c in others], "src_b", "sim")
 
 
 def read_similarity(spark: SparkSession, path: str) -> DataFrame:
