@@ -619,7 +619,7 @@ def em_labels(spark, folder):
         ad.emotion_lexicon(spark, folder),
         readers.default_palette(spark),
         threshold=THRESHOLD,
-    ).drop("score")
+    )
 
 
 @query

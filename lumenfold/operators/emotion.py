@@ -9,10 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import DOMINANT_K, DOMINANT_THRESHOLD, EMOTIONS
-from lumenfold.functions.text import marker_size, preview
+from lumenfold.functions.text import marker_size
 from lumenfold.functions.vectors import first_max
 from lumenfold.operators.lookups import lookup_join
-from lumenfold.session import materialise
 
 
 def top_emotion(scored: DataFrame) -> DataFrame:
@@ -82,48 +81,23 @@ def project_3d(df: DataFrame, vector: str) -> DataFrame:
 
 
 def labelled_table(
-    scored: DataFrame,
+    topped: DataFrame,
     palette: DataFrame,
     threshold: int = DOMINANT_THRESHOLD,
     k: int = DOMINANT_K,
     labels: list[str] = EMOTIONS,
 ) -> DataFrame:
-    """Everything of the plot table but the coordinates.
+    """Add code, colour and marker size; drop the rows of rare labels.
 
-    ``scored`` holds id, text, emotion and score. Codes count all labels; the
-    marker size counts the rows that stay.
+    Codes count all labels, the marker size counts the rows that stay. All of it
+    hangs on the label, so one small table of labels is joined to the rows once.
     """
-    topped = top_emotion(scored)
     counts = label_counts(topped, labels)
-    coded = keep_dominant(emotion_code(topped, counts), counts, threshold, k)
-    kept = counts.filter((F.col("total") <= threshold) | (F.col("rank") <= k))
-    sizes = kept.select(
-        "top_emotion",
-        marker_size(F.sum("n").over(W.partitionBy())).alias("dot_size"),
-    )
-    sized = coded.join(F.broadcast(sizes), "top_emotion")
-    return emotion_colour(sized, palette).select(
-        "id",
-        "text",
+    kept = counts.filter(
+        (F.col("total") <= threshold) | (F.col("rank") <= k)
+    ).select(
         "top_emotion",
         "code",
-        preview("text").alias("trimmed_text"),
-        "colour",
-        "dot_size",
-        "score",
-    )
-
-
-def plot_table(
-    scored: DataFrame,
-    palette: DataFrame,
-    threshold: int = DOMINANT_THRESHOLD,
-    k: int = DOMINANT_K,
-    labels: list[str] = EMOTIONS,
-) -> DataFrame:
-    """Plot-ready rows in label order."""
-    # Scores are read for the counts, the fit and the rows: compute them once.
-    placed = project_3d(
-        labelled_table(materialise(scored), palette, threshold, k, labels), "score"
+        marker_size(F.sum("n").over(W.partitionBy())).alias("dot_size"),
     )
-    return placed.drop("score").orderBy("top_emotion", "id")
+    return topped.join(F.broadcast(emotion_colour(kept, palette)), "top_emotion")

@@ -5,27 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.emotion import labelled_table, plot_table
+from lumenfold.functions.text import preview
+from lumenfold.operators.emotion import labelled_table, project_3d, top_emotion
 from lumenfold.operators.filters import drop_placeholders
 from lumenfold.operators.scoring import emotion_scores
+from lumenfold.session import materialise
+
+
+def usable_posts(posts: DataFrame) -> DataFrame:
+    return drop_placeholders(posts).select("id", F.col("body").alias("text"))
 
 
 def scored_posts(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(id, text, emotion, score) of every post with a usable body.
+    """(id, emotion, score) of every post with a usable body."""
+    return emotion_scores(usable_posts(posts), ["id"], "text", lexicon)
+
+
+def _labelled(
+    posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
+) -> DataFrame:
+    # The scores serve the counts, the fit and the rows: compute them once. They
+    # are written without the texts, which join back at the very end.
+    topped = top_emotion(scored_posts(posts, lexicon)).drop("emotion")
+    return labelled_table(materialise(topped), palette, **sizes)
+
 
-    Words are counted without their text; the text joins back by id.
-    """
-    usable = drop_placeholders(posts).select("id", F.col("body").alias("text"))
-    return emotion_scores(usable, ["id"], "text", lexicon).join(usable, "id")
+def _with_text(table: DataFrame, posts: DataFrame) -> DataFrame:
+    texts = usable_posts(posts)
+    return table.join(texts, "id").withColumn("trimmed_text", preview("text"))
 
 
 def labelled_posts(
     posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
 ) -> DataFrame:
-    return labelled_table(scored_posts(posts, lexicon), palette, **sizes)
+    """The plot table without its coordinates."""
+    table = _labelled(posts, lexicon, palette, **sizes).drop("score")
+    return _with_text(table, posts)
 
 
 def emotion_map(
     posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
 ) -> DataFrame:
-    return plot_table(scored_posts(posts, lexicon), palette, **sizes)
+    """Plot-ready rows in label order."""
+    placed = project_3d(_labelled(posts, lexicon, palette, **sizes), "score")
+    return _with_text(placed.drop("score"), posts).orderBy("top_emotion", "id")

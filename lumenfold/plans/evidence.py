@@ -58,16 +58,10 @@ def pestle_articles(
 def _best_texts(
     table: DataFrame, key: str, text: Column, seeds: DataFrame, k: int, cleaned: bool
 ) -> DataFrame:
-    """Top k whole texts per facet.
-
-    Whole posts can be long, so only (key, facet, sim) is sorted. The winners,
-    at most k per facet, are broadcast back to fetch their texts by key.
-    """
-    scored = score_sparse(
-        table.select(key, text.alias("text")), [key], "text", seeds, cleaned=cleaned
-    )
-    best = topk(scored, k, [F.desc("sim"), F.col(key)])
-    return table.select(key, text.alias("text")).join(F.broadcast(best), key)
+    """Top k whole texts per facet; copies of a text or key all count."""
+    texts = table.select(key, text.alias("text"))
+    scored = score_sparse(texts, [key, "text"], "text", seeds, cleaned=cleaned)
+    return topk(scored, k, [F.desc("sim"), F.col(key), F.col("text")])
 
 
 def swot_posts(posts: DataFrame, seeds: DataFrame, k: int = SWOT_POSTS_K) -> DataFrame:
