@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.fixed import EMOTIONS, PAGE_SIZE, PESTLE_K
 from lumenfold.functions import text as tx
-from lumenfold.functions.vectors import dot_counts_sql, first_max, term_vector_sql
+from lumenfold.functions.vectors import dot_buckets_sql, first_max, term_buckets_sql
 from lumenfold.operators import emotion as em
 from lumenfold.operators import filters as fl
 from lumenfold.operators import ranking as rk
@@ -457,7 +457,7 @@ def jn_zip_explode(spark, folder):
     lists = ad.articles(spark, folder).select(
         "article_id", tx.clean_each(tx.split_sentences("summary")).alias("sentence")
     )
-    dot = dot_counts_sql(term_vector_sql("s", cleaned=True), "negative")
+    dot = dot_buckets_sql(term_buckets_sql("s", cleaned=True), "negative")
     scored = lists.select(
         "*", F.get(facets, F.lit(0))["counts"].alias("negative")
     ).select("article_id", "sentence", F.expr(f"transform(sentence, s -> {dot})").alias("dot"))

@@ -1,8 +1,7 @@
 """Sparse term vectors and dense vectors, computed inside one row.
 
-A text is encoded as ``array<struct<bucket int, n int>>`` sorted by bucket. The
-whole encoding is one SQL expression over a column, so scoring texts needs no
-shuffle. A one-element ``transform(array(x), name -> ...)[0]`` names a value that
+A text is encoded as its sorted word buckets, or as counts per bucket. Both are
+one SQL expression over a column, so scoring texts needs no shuffle. A one-element ``transform(array(x), name -> ...)[0]`` names a value that
 is used several times, so that it is computed once per row.
 """
 
@@ -22,17 +21,19 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def term_vector_sql(
-    text: str, dims: int = ENCODER_DIMS, cleaned: bool = False
-) -> str:
-    """Hashed term counts of the text named ``text``.
+def term_buckets_sql(text: str, dims: int = ENCODER_DIMS, cleaned: bool = False) -> str:
+    """Sorted buckets of all words of the text named ``text``.
 
-    A term's bucket is the first 32 bits of its MD5 modulo ``dims``. The sorted
-    buckets are cut where the value changes, which is linear in their number.
+    A word's bucket is the first 32 bits of its MD5 modulo ``dims``.
     """
     cut = "' '" if cleaned else f"r'{NOT_WORD_RUN}'"
     terms = f"filter(split(lower({text}), {cut}), w -> w <> '')"
-    bucket = f"cast(cast(conv(substring(md5(w), 1, 8), 16, 10) as bigint) % {dims} as int)"
+    bucket = f"cast(cast(conv(left(md5(w), 8), 16, 10) as bigint) % {dims} as int)"
+    return f"sort_array(transform({terms}, w -> {bucket}))"
+
+
+def term_vector(text: str, dims: int = ENCODER_DIMS, cleaned: bool = False) -> Column:
+    """Hashed term counts: the sorted buckets, cut where the value changes."""
     starts = (
         "filter(transform(b, (x, i) -> struct(x as bucket, i as at)),"
         " r -> r.at = 0 or get(b, r.at - 1) <> r.bucket)"
@@ -41,23 +42,28 @@ def term_vector_sql(
         "transform(runs, (r, j) -> struct(r.bucket as bucket,"
         " coalesce(get(runs, j + 1).at, size(b)) - r.at as n))"
     )
-    return (
-        f"transform(array(sort_array(transform({terms}, w -> {bucket}))),"
+    return F.expr(
+        f"transform(array({term_buckets_sql(text, dims, cleaned)}),"
         f" b -> transform(array({starts}), runs -> {runs})[0])[0]"
     )
 
 
-def term_vector(text: str, dims: int = ENCODER_DIMS, cleaned: bool = False) -> Column:
-    return F.expr(term_vector_sql(text, dims, cleaned))
-
-
-def squared_norm(vector: str) -> Column:
-    return F.expr(f"aggregate({vector}, 0L, (acc, e) -> acc + e.n * bigint(e.n))")
+def buckets_norm(buckets: str) -> Column:
+    """Squared norm of the term counts behind a column of sorted buckets."""
+    starts = (
+        f"filter(transform({buckets}, (x, i) -> if(i > 0 and {buckets}[i - 1] = x, -1, i)),"
+        " i -> i >= 0)"
+    )
+    length = f"bigint(coalesce(get(s, j + 1), size({buckets})) - at)"
+    return F.expr(
+        f"transform(array({starts}), s -> aggregate(transform(s, (at, j) -> {length}),"
+        " 0L, (acc, n) -> acc + n * n))[0]"
+    )
 
 
-def dot_counts_sql(vector: str, counts: str) -> str:
-    """Dot product of a sparse vector with a full ``array<long>`` of counts."""
-    return f"aggregate({vector}, 0L, (acc, e) -> acc + e.n * get({counts}, e.bucket))"
+def dot_buckets_sql(buckets: str, counts: str) -> str:
+    """Dot product of the term counts with a full ``array<long>`` of counts."""
+    return f"aggregate({buckets}, 0L, (acc, x) -> acc + get({counts}, x))"
 
 
 def cosine_sql(dot: str, norm_a: str, norm_b: str) -> str:

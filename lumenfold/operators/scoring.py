@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lumenfold.fixed import EMOTIONS, ENCODER_DIMS
 from lumenfold.functions.text import words
 from lumenfold.functions.vectors import (
+    buckets_norm,
     cosine_dense,
     cosine_sql,
-    dot_counts_sql,
-    squared_norm,
+    dot_buckets_sql,
+    term_buckets_sql,
     term_vector,
 )
 from lumenfold.operators.lookups import lookup_join, small_literal
@@ -141,11 +142,11 @@ def score_sparse(
     join and no shuffle of texts.
     """
     facets = small_literal(encode_facets(seeds, dims), MAX_FACETS, "facets")
-    encoded = df.select(*keep, term_vector(text, dims, cleaned).alias("_v")).select(
-        *keep, "_v", squared_norm("_v").alias("_norm")
-    )
-    sim = cosine_sql(dot_counts_sql("_v", "f.counts"), "_norm", "f.norm")
-    return encoded.select("*", facets.alias("_facets")).select(
+    encoded = df.select(
+        *keep, F.expr(term_buckets_sql(text, dims, cleaned)).alias("_buckets")
+    ).select("*", buckets_norm("_buckets").alias("_norm"), facets.alias("_facets"))
+    sim = cosine_sql(dot_buckets_sql("_buckets", "f.counts"), "_norm", "f.norm")
+    return encoded.select(
         *keep,
         F.expr(f"inline(transform(_facets, f -> struct(f.facet as facet, {sim} as sim)))"),
     )
