@@ -33,17 +33,25 @@ def text_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+# Whitespace, Unicode included, as a class of RE2 patterns.
+SPACES = (
+    "\\t-\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+    "\\x{202F}\\x{205F}\\x{3000}"
+)
+
+
 def split(c: str) -> str:
     return (
-        f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+        f"string_split(regexp_replace({c}, '([.!?])[{SPACES}]+', '\\1' || chr(1), 'g'), "
+        "chr(1))"
     )
 
 
 def clean(c: str) -> str:
     c = f"replace(regexp_replace({c}, '@[A-Za-z0-9]+', '', 'g'), '#', '')"
-    c = f"regexp_replace({c}, 'https?:\\/\\/\\S+', '', 'g')"
+    c = f"regexp_replace({c}, 'https?:\\/\\/[^{SPACES}]+', '', 'g')"
     c = f"regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')"
-    return f"regexp_replace({c}, '\\s+', ' ', 'g')"
+    return f"regexp_replace({c}, '[{SPACES}]+', ' ', 'g')"
 
 
 def words(c: str) -> str:

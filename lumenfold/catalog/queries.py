@@ -315,6 +315,7 @@ def _polarity(spark, folder):
         ["article_id", "pos"],
         "text",
         ad.sentiment_lexicon(spark, folder),
+        cleaned=True,
     )
 
 
@@ -330,6 +331,7 @@ def tx_subjectivity(spark, folder):
         ["article_id", "pos"],
         "text",
         ad.sentiment_lexicon(spark, folder),
+        cleaned=True,
     )
 
 

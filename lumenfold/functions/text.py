@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from lumenfold.fixed import PREVIEW_CHARS, WINDOW_DAYS
 
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
+# --- fixed values: whitespace, Unicode included (a class of Java patterns) ----
+_SPACES = (
+    r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+)
+SPACE = f"[{_SPACES}]"
+NOT_SPACE = f"[^{_SPACES}]"
+
+SENTENCE_BREAK = f"(?<=[.!?]){SPACE}+"
 NOT_WORD_RUN = r"[^\p{L}\p{N}]+"
 
 
@@ -43,7 +50,7 @@ def clean_text(c: Column | str) -> Column:
     """
     c = F.regexp_replace(col(c), r"@\p{Alnum}+", "")
     c = F.replace(c, F.lit("#"), F.lit(""))
-    c = F.regexp_replace(c, r"https?://\S+", "")
+    c = F.regexp_replace(c, f"https?://{NOT_SPACE}+", "")
     return F.regexp_replace(c, r"\P{Alnum}+", " ")
 
 
@@ -68,9 +75,8 @@ def hashtags_in(c: Column | str) -> Column:
 
 def normalise_hashtags(c: Column | str) -> Column:
     """'ai, #ml' → '#ai OR #ml'."""
-    tags = F.filter(
-        F.transform(F.split(col(c), ","), lambda t: F.trim(t)), lambda t: t != ""
-    )
+    trimmed = F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    tags = F.filter(F.split(trimmed, f"{SPACE}*,{SPACE}*"), lambda t: t != "")
     marked = F.transform(
         tags, lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t))
     )

@@ -115,7 +115,7 @@ def _nearest_in_block(k: int):
 def _nearest_distinct(distinct: DataFrame, k: int, pivots: int | None) -> DataFrame:
     """(rep, other, dist2, rk) among different vectors."""
     total = distinct.count()
-    pivots = max(1, min(pivots or isqrt(total), MAX_PIVOTS))
+    pivots = pivots or max(1, min(isqrt(total), MAX_PIVOTS))
     chosen = distinct.orderBy(F.xxhash64("v"), "rep").limit(pivots).select("v")
     centres = [list(r["v"]) for r in chosen.collect()]
 
@@ -185,7 +185,8 @@ def knn_graph(
     """Exact k nearest neighbours: (id, neighbour, rk, dist2).
 
     Ties go to the smaller id. ``pivots`` moves work but never the result; the
-    default is the square root of the number of different vectors.
+    default is the square root of the number of different vectors, up to
+    ``MAX_PIVOTS``.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
     distinct = materialise(_copies(rows, k))

@@ -20,14 +20,14 @@ def explode_zip(df: DataFrame, left: str, right: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(F.arrays_zip(left, right)))
 
 
-def limit_first(df: DataFrame, n: int, *tie: str) -> DataFrame:
-    """First n items of the feed, newest first."""
-    return df.orderBy(F.desc("created"), *tie).limit(n)
+def limit_first(df: DataFrame, n: int | str, *tie: str) -> DataFrame:
+    """First n items of the feed, newest first; n may come as text from a form."""
+    return df.orderBy(F.desc("created"), *tie).limit(int(n))
 
 
-def latest_then_ascending(df: DataFrame, n: int) -> DataFrame:
+def latest_then_ascending(df: DataFrame, n: int | str) -> DataFrame:
     """First n messages of the feed, then in time order."""
-    latest = df.orderBy(F.desc("ts"), F.desc("tweet_id")).limit(n)
+    latest = df.orderBy(F.desc("ts"), F.desc("tweet_id")).limit(int(n))
     return latest.orderBy("ts", "tweet_id")
 
 

@@ -20,9 +20,11 @@ from lumenfold.operators.lookups import lookup_join, small_literal
 MAX_FACETS = 64
 
 
-def _terms(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+def _terms(
+    df: DataFrame, ids: list[str], text: str, cleaned: bool = False
+) -> DataFrame:
     """One row per word; a text without words keeps one row with a NULL term."""
-    return df.select(*ids, F.explode_outer(words(text)).alias("term"))
+    return df.select(*ids, F.explode_outer(words(text, cleaned)).alias("term"))
 
 
 def _hundredths(column: str) -> Column:
@@ -30,11 +32,15 @@ def _hundredths(column: str) -> Column:
 
 
 def lexicon_scores(
-    df: DataFrame, ids: list[str], text: str, lexicon: DataFrame
+    df: DataFrame,
+    ids: list[str],
+    text: str,
+    lexicon: DataFrame,
+    cleaned: bool = False,
 ) -> DataFrame:
     """Mean polarity and subjectivity of a text's known words; 0.0 if it has none.
 
-    Weights are summed as integer hundredths, so the result does not depend on
+    ``ids`` name one text each; ``cleaned`` as in :func:`words`. Weights are summed as integer hundredths, so the result does not depend on
     the order of rows. All words of a text are in one task, and the partial
     aggregate leaves one row per text to shuffle.
     """
@@ -43,7 +49,7 @@ def lexicon_scores(
         _hundredths("polarity").alias("p"),
         _hundredths("subjectivity").alias("s"),
     )
-    hits = lookup_join(_terms(df, ids, text), weights, "term")
+    hits = lookup_join(_terms(df, ids, text, cleaned), weights, "term")
     sums = hits.groupBy(*ids).agg(
         F.count("p").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s")
     )
@@ -56,14 +62,16 @@ def lexicon_scores(
     return sums.select(*ids, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
 
 
-def polarity(df: DataFrame, ids: list[str], text: str, lexicon: DataFrame) -> DataFrame:
-    return lexicon_scores(df, ids, text, lexicon).select(*ids, "polarity")
+def polarity(
+    df: DataFrame, ids: list[str], text: str, lexicon: DataFrame, cleaned: bool = False
+) -> DataFrame:
+    return lexicon_scores(df, ids, text, lexicon, cleaned).select(*ids, "polarity")
 
 
 def subjectivity(
-    df: DataFrame, ids: list[str], text: str, lexicon: DataFrame
+    df: DataFrame, ids: list[str], text: str, lexicon: DataFrame, cleaned: bool = False
 ) -> DataFrame:
-    return lexicon_scores(df, ids, text, lexicon).select(*ids, "subjectivity")
+    return lexicon_scores(df, ids, text, lexicon, cleaned).select(*ids, "subjectivity")
 
 
 def emotion_scores(
@@ -73,7 +81,7 @@ def emotion_scores(
     lexicon: DataFrame,
     labels: list[str] = EMOTIONS,
 ) -> DataFrame:
-    """One score per label, as two lists in label order.
+    """One score per label, as two lists in label order; ``ids`` name one text each.
 
     One aggregate per label gives the complete grid of labels, zeros included,
     without a join to the labels.

@@ -34,11 +34,16 @@ def articles_from_json(pages: DataFrame, column: Column | str = "value") -> Data
     return pages.select(page.alias("p")).select(F.inline("p.articles"))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Every landed search page below ``path``; the file scan is their union."""
-    return spark.read.schema(schemas.ARTICLE_PAGE).json(path).select(
-        F.inline("articles")
-    )
+def read_articles(spark: SparkSession, path: str, fmt: str = "pages") -> DataFrame:
+    """Articles below ``path``; the scan of many files is the union of the pages.
+
+    ``fmt`` is ``pages`` (JSON search pages), ``json`` (one article per line) or
+    ``parquet``.
+    """
+    if fmt == "pages":
+        pages = spark.read.schema(schemas.ARTICLE_PAGE).json(path)
+        return pages.select(F.inline("articles"))
+    return spark.read.schema(schemas.ARTICLE).format(fmt).load(path)
 
 
 def posts_from_json(items: DataFrame, column: Column | str = "value") -> DataFrame:
