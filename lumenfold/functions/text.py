@@ -65,7 +65,7 @@ def words(c: Column | str, cleaned: bool = False) -> Column:
     space apart and the cheap split gives the same list.
     """
     pattern = " " if cleaned else NOT_WORD_RUN
-    return F.filter(F.split(F.lower(col(c)), pattern), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col(c)), pattern), "")
 
 
 def hashtags_in(c: Column | str) -> Column:
@@ -76,7 +76,7 @@ def hashtags_in(c: Column | str) -> Column:
 def normalise_hashtags(c: Column | str) -> Column:
     """'ai, #ml' → '#ai OR #ml'."""
     trimmed = F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
-    tags = F.filter(F.split(trimmed, f"{SPACE}*,{SPACE}*"), lambda t: t != "")
+    tags = F.array_remove(F.split(trimmed, f"{SPACE}*,{SPACE}*"), "")
     marked = F.transform(
         tags, lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t))
     )

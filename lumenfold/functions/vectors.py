@@ -1,8 +1,9 @@
 """Sparse term vectors and dense vectors, computed inside one row.
 
-A text is encoded as its sorted word buckets, or as counts per bucket. Both are
-one SQL expression over a column, so scoring texts needs no shuffle. A one-element ``transform(array(x), name -> ...)[0]`` names a value that
-is used several times, so that it is computed once per row.
+A text is encoded as its sorted word buckets, or as counts per bucket. Both are one
+SQL expression over a column, so scoring texts needs no shuffle. A one-element
+``transform(array(x), name -> ...)[0]`` names a value that is used several times, so
+that it is computed once per row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def term_buckets_sql(text: str, dims: int = ENCODER_DIMS, cleaned: bool = False)
     A word's bucket is the first 32 bits of its MD5 modulo ``dims``.
     """
     cut = "' '" if cleaned else f"r'{NOT_WORD_RUN}'"
-    terms = f"filter(split(lower({text}), {cut}), w -> w <> '')"
+    terms = f"array_remove(split(lower({text}), {cut}), '')"
     bucket = f"cast(cast(conv(left(md5(w), 8), 16, 10) as bigint) % {dims} as int)"
     return f"sort_array(transform({terms}, w -> {bucket}))"
 
@@ -91,14 +92,6 @@ def cosine_dense(a: Column | str, b: Column | str) -> Column:
     )
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    def gap(x, y):
-        d = x.cast("double") - y.cast("double")
-        return d * d
-
-    return _sum(F.zip_with(a, b, gap))
-
-
 def first_max(scores: Column | str, labels: Column | str) -> Column:
     """Label of the highest score; the first one wins a tie."""
     s = col(scores)

@@ -22,8 +22,9 @@ def top_emotion(scored: DataFrame) -> DataFrame:
 def label_counts(df: DataFrame, labels: list[str] = EMOTIONS) -> DataFrame:
     """(top_emotion, n, code, rank, total): one row per label present.
 
-    Any other label is an error. There are at most ``len(labels)`` rows, so the unpartitioned windows and the
-    broadcasts of this table are bounded by the label set, not by the data.
+    Any other label is an error. There are at most ``len(labels)`` rows, so the
+    unpartitioned windows and the broadcasts of this table are bounded by the label
+    set, not by the data.
     """
     unknown = F.raise_error(F.concat(F.lit("unknown label: "), "top_emotion"))
     label = F.when(F.col("top_emotion").isin(labels), F.col("top_emotion"))

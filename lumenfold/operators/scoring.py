@@ -18,6 +18,7 @@ from lumenfold.functions.vectors import (
 from lumenfold.operators.lookups import lookup_join, small_literal
 
 MAX_FACETS = 64
+UNIT = 1_000_000  # lexicon weights count to six decimals
 
 
 def _terms(
@@ -27,8 +28,9 @@ def _terms(
     return df.select(*ids, F.explode_outer(words(text, cleaned)).alias("term"))
 
 
-def _hundredths(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("long")
+def _units(column: str) -> Column:
+    """A lexicon weight as a whole number of millionths."""
+    return F.round(F.col(column) * UNIT).cast("long")
 
 
 def lexicon_scores(
@@ -40,14 +42,15 @@ def lexicon_scores(
 ) -> DataFrame:
     """Mean polarity and subjectivity of a text's known words; 0.0 if it has none.
 
-    ``ids`` name one text each; ``cleaned`` as in :func:`words`. Weights are summed as integer hundredths, so the result does not depend on
-    the order of rows. All words of a text are in one task, and the partial
-    aggregate leaves one row per text to shuffle.
+    ``ids`` name one text each; ``cleaned`` as in :func:`words`. Weights are summed
+    as integers, so the result does not depend on the order of rows. All words of a
+    text are in one task, and the partial aggregate leaves one row per text to
+    shuffle.
     """
     weights = lexicon.select(
         "term",
-        _hundredths("polarity").alias("p"),
-        _hundredths("subjectivity").alias("s"),
+        _units("polarity").alias("p"),
+        _units("subjectivity").alias("s"),
     )
     hits = lookup_join(_terms(df, ids, text, cleaned), weights, "term")
     sums = hits.groupBy(*ids).agg(
@@ -56,7 +59,7 @@ def lexicon_scores(
 
     def mean(total: str) -> Column:
         return F.when(F.col("n") == 0, F.lit(0.0)).otherwise(
-            F.col(total) / (F.col("n") * F.lit(100.0))
+            F.col(total) / (F.col("n") * F.lit(float(UNIT)))
         )
 
     return sums.select(*ids, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
@@ -90,12 +93,12 @@ def emotion_scores(
     weights = lexicon.select(
         "term",
         (F.array_position(F.lit(ordered), F.col("emotion")) - 1).alias("label"),
-        _hundredths("weight").alias("w"),
+        _units("weight").alias("w"),
     )
     hits = lookup_join(_terms(df, ids, text), weights, "term")
     sums = hits.groupBy(*ids).agg(
         *[
-            F.expr(f"coalesce(sum(w) filter (where label = {i}), 0) / 100.0D as _{i}")
+            F.expr(f"coalesce(sum(w) filter (where label = {i}), 0) / {UNIT}D as _{i}")
             for i in range(len(ordered))
         ]
     )

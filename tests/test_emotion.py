@@ -47,7 +47,8 @@ def test_projection_matches_numpy(spark):
     """x, y, z are the leading principal components, up to their sign."""
     rng = np.random.default_rng(5)
     data = rng.normal(size=(80, 6)) * np.array([9, 5, 3, 1, 0.5, 0.1])
-    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], "id int, v array<double>")
+    rows = [(i, row.tolist()) for i, row in enumerate(data)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
     placed = em.project_3d(df, "v").orderBy("id").select("x", "y", "z").toPandas().to_numpy()
     _, _, axes = np.linalg.svd(data - data.mean(0), full_matrices=False)
     want = data @ axes[:3].T

@@ -72,7 +72,8 @@ def test_topics(spark):
 
 
 def test_hashtags(spark):
-    df = spark.createDataFrame([(1, "x #AI"), (2, "ai"), (3, "#mlops"), (4, "#ml!")], "id int, text string")
+    rows = [(1, "x #AI"), (2, "ai"), (3, "#mlops"), (4, "#ml!")]
+    df = spark.createDataFrame(rows, "id int, text string")
     assert ids(fl.by_hashtags(df, "ai, #ml")) == [1, 4]
     with pytest.raises(ValueError):
         fl.by_hashtags(df, " , ")

@@ -48,7 +48,8 @@ def test_distinct_evidence(spark, folder):
 
 
 def test_evidence_keeps_rank_order(spark):
-    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "facet string, rk int, t string")
+    rows = [("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")]
+    df = spark.createDataFrame(rows, "facet string, rk int, t string")
     got = {r["facet"]: r["evidence"] for r in evidence_lists(df, "t").collect()}
     assert got == {"a": ["x", "y"], "b": ["z"]}
 
@@ -65,7 +66,8 @@ def test_cosine_dense(spark):
 
 
 def test_first_of_equal_scores_wins(spark):
-    df = spark.createDataFrame([(["anger", "fear", "joy"], [0.4, 0.1, 0.4])], "e array<string>, s array<double>")
+    row = (["anger", "fear", "joy"], [0.4, 0.1, 0.4])
+    df = spark.createDataFrame([row], "e array<string>, s array<double>")
     assert df.select(first_max("s", "e")).first()[0] == "anger"
 
 
@@ -82,8 +84,36 @@ def test_lexicon_beyond_the_broadcast_bound(spark, folder, monkeypatch):
     assert small.exceptAll(large).count() == 0 == large.exceptAll(small).count()
 
 
+def test_lexicon_means(spark):
+    """Weights finer than hundredths count; a text without known words scores 0."""
+    from lumenfold.operators.scoring import emotion_scores
+
+    texts = spark.createDataFrame(
+        [(1, "good, good bad other"), (2, "other"), (3, "")], "id int, t string"
+    )
+    lexicon = spark.createDataFrame(
+        [("good", 0.136364, 0.5), ("bad", -0.7, 1.0)],
+        "term string, polarity double, subjectivity double",
+    )
+    got = {r["id"]: r for r in lexicon_scores(texts, ["id"], "t", lexicon).collect()}
+    assert got[1]["polarity"] == pytest.approx((2 * 0.136364 - 0.7) / 3, abs=1e-12)
+    assert got[1]["subjectivity"] == pytest.approx(2 / 3, abs=1e-12)
+    assert [(got[i]["polarity"], got[i]["subjectivity"]) for i in (2, 3)] == [(0.0, 0.0)] * 2
+
+    moods = spark.createDataFrame(
+        [("good", "joy", 0.125), ("bad", "anger", 0.3)],
+        "term string, emotion string, weight double",
+    )
+    scored = emotion_scores(texts, ["id"], "t", moods, ["joy", "anger", "fear"])
+    rows = {r["id"]: r for r in scored.collect()}
+    assert rows[1]["emotion"] == ["anger", "fear", "joy"]
+    assert rows[1]["score"] == [0.3, 0.0, 0.25]
+    assert rows[3]["score"] == [0.0, 0.0, 0.0]
+
+
 def test_too_many_facets_is_an_error(spark):
-    vectors = spark.range(70).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    pair = F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))
+    vectors = spark.range(70).select("id", pair.alias("v"))
     facets = vectors.select(F.col("id").alias("facet"), F.col("v").alias("embedding"))
     with pytest.raises(ValueError):
         score_dense(vectors, ["id"], "v", facets)
@@ -156,7 +186,8 @@ def test_nearest_outlets_beyond_the_bound(spark, folder, monkeypatch):
 
 
 def test_centroids(spark):
-    df = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [0.0, 1.0])], "s string, v array<float>")
+    rows = [("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "s string, v array<float>")
     got = {r["s"]: r["embedding"] for r in source_centroids(df, "s", "v").collect()}
     assert got == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
     assert not any(math.isnan(x) for v in got.values() for x in v)
