@@ -31,17 +31,19 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=F.xxhash64) -> DataFrame:
+def identities(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=F.xxhash64, row: str | None = None
+) -> DataFrame:
     """One row per input row: its number ``row``, its id, ``n_chars`` of the original text, ``text_sha256``
     of the normalised one, and the identity (``level``, ``name``).
 
     A NULL text is empty. NULL and repeated ids are fine, because rows carry a number
-    of their own. Other columns are not read. ``hasher`` turns a binary block into a
-    long; a poor one costs time but never changes the result.
+    of their own. Other columns are not read. ``row`` names a column that numbers the rows, if
+    there is one. ``hasher`` turns a binary block into a long; a poor one costs time but never changes the result.
     """
     body = normalised(text_of(text_col))
     rows = df.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.col(f"`{id_col}`").alias("doc_id"),
         F.length(text_of(text_col)).cast("long").alias("n_chars"),
         F.sha2(body, 256).alias("text_sha256"),
@@ -131,7 +133,9 @@ def _name_pairs(named: DataFrame) -> DataFrame:
     return stored(hot_join(pairs, names, ["a", "b"], "n").select("row", "pos", "of", "name"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=F.xxhash64) -> DataFrame:
+def exact_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=F.xxhash64, row: str | None = None
+) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``, and
     ``n_chars`` of the original text.
 
@@ -139,7 +143,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one with the smallest id, NULL last. Of rows that are repeated whole one stays, and
     ``group_size`` counts each. An empty table gives no rows.
     """
-    rows = stored(identities(df, id_col, text_col, hasher))
+    rows = stored(identities(df, id_col, text_col, hasher, row))
     best = F.struct(
         (-F.col("n_chars")).alias("n"),
         F.col("doc_id").isNull().alias("no_id"),
@@ -158,21 +162,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
         "n_chars",
+        "row",
     )
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.
-
-    A row is found again by its id, the digest of its normalised text and its length.
-    Rows that agree in all three would tie, and one of them comes out.
-    """
-    sha, n = fresh(df, "_sha", "_n")
-    keyed = df.withColumns(
-        {sha: F.sha2(normalised(text_of(text_col)), 256), n: F.length(text_of(text_col)).cast("long")}
-    )
-    stay = exact_groups(df, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n")
-    )
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(sha) == F.col("__sha")) & (F.col(n) == F.col("__n"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates([id_col, sha, n]).drop(sha, n)
+    """The rows of ``df`` that stay, with all their columns."""
+    (row,) = fresh(df, "_row")
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    stay = exact_groups(numbered, id_col, text_col, row=row).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, simhash
+from lumenfold.llm import exact_dedup, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +34,10 @@ def op5_exact_dedup(spark, folder):
     """Group, decision and digest of every document."""
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op10_mixing(spark, folder):
+    """What the mix takes of every document."""
+    out = mixing.plan(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")

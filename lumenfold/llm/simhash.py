@@ -66,17 +66,22 @@ def _fingerprints(batches):
         prints = np.fromiter(
             (fingerprint(shingle_hashes(t.as_py() or "")) for t in texts), dtype=np.uint64, count=len(texts)
         )
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        rest = [batch.column(i) for i in range(batch.num_columns - 1)]
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row, ``fp`` as a signed long.
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None
+) -> DataFrame:
+    """(doc_id, fp), and ``row`` if such a column is named: one row per input row, ``fp``
+    as a signed long.
 
     A text without words, an empty one and NULL have fingerprint zero.
     """
-    two = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    keys = df.select(F.col(f"`{id_col}`").alias("doc_id"), *([F.col(row).alias("row")] if row else []), text_of(text_col).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields[:-1])
+    return keys.mapInArrow(_fingerprints, f"{kinds}, fp long")
 
 
 # ---- bit-sliced comparison --------------------------------------------------
@@ -261,30 +266,33 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row.
+def near_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None
+) -> DataFrame:
+    """(doc_id, fp, component_id, root, and row if named): one row per input row.
 
     ``component_id`` is the smallest id reachable over links, NULL if no document in
     reach has an id. Equal fingerprints are linked. Repeated rows and ids are kept as
     they are. An empty table gives no rows.
     """
-    docs = stored(fingerprints(df, id_col, text_col))
+    docs = stored(fingerprints(df, id_col, text_col, row))
     prints = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints.select("fp")))
     reach = stored(
         prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     )
     least = stored(reach.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("of")))
-    named = stored(hot_join(reach.select("fp", "n", "root"), least, ["root"], "of").select("fp", "n", "component_id"))
+    named = stored(hot_join(reach.select("fp", "n", "root"), least, ["root"], "of").select("fp", "n", "component_id", "root"))
     return hot_join(docs, named, ["fp"], "n")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of each component the
-    document with the smallest id. Rows without an id stay if nothing in reach has one,
-    one of each component. A repeated id comes out once."""
-    (fp,) = fresh(df, "_fp")
-    groups = stored(near_groups(df, id_col, text_col))
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    del fp
-    return df.join(stay, F.col(f"`{id_col}`").eqNullSafe(stay.doc_id), "left_semi").dropDuplicates([id_col])
+    document with the smallest id. Where nothing in reach has an id, and where an id is
+    repeated, one row stays all the same."""
+    (row,) = fresh(df, "_row")
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_groups(numbered, id_col, text_col, row)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    stay = groups.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)
