@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, mixing, simhash
+from lumenfold.llm import exact_dedup, mixing, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def toxicity_model(docs: DataFrame, folder: str):
+    """Fitted on the labelled rows that aren't held out."""
+    labels = table(docs.sparkSession, folder, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.fit(docs, labels)
+
+
+@query
+def op1_toxicity(spark, folder):
+    """Score and prediction of every document."""
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, folder))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_simhash(spark, folder):
     """Fingerprint and component of every document."""
@@ -41,3 +60,9 @@ def op10_mixing(spark, folder):
     """What the mix takes of every document."""
     out = mixing.plan(table(spark, folder, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_packing(spark, folder):
+    """Every piece of every document and its place."""
+    return packing.pack(packing.pieces(table(spark, folder, "documents")))
