@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, mixing, packing, simhash, toxicity
+from lumenfold.llm import exact_dedup, fertility, mixing, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,12 @@ def op2_simhash(spark, folder):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_fertility(spark, folder):
+    """Base counts, measures and verdict of every document."""
+    return fertility.quality(table(spark, folder, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, folder):
     """Group, decision and digest of every document."""
