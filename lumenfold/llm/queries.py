@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, fertility, mixing, packing, simhash, toxicity
+from lumenfold.llm import exact_dedup, fertility, mixing, packing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +61,24 @@ def op5_exact_dedup(spark, folder):
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _listed(spans: str):
+    """kind:start:end of every span, joined by commas."""
+    part = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, part), ",")
+
+
+@query
+def op6_pii(spark, folder):
+    """Counts, digest and spans of the personal data of every document."""
+    found = pii.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(f"n_{k}" for k in pii.KINDS),
+        F.sha2(_listed("base"), 256).alias("base_sha256"),
+        _listed("spans").alias("spans"),
+    )
+
+
 @query
 def op10_mixing(spark, folder):
     """What the mix takes of every document."""
