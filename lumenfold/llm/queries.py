@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, fertility, mixing, packing, pii, simhash, toxicity
+from lumenfold.llm import exact_dedup, fertility, html_crf, mixing, packing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,12 @@ def op6_pii(spark, folder):
     )
 
 
+@query
+def op9_html_crf(spark, folder):
+    """Main text of every page."""
+    return html_crf.extract(table(spark, folder, "pages"))
+
+
 @query
 def op10_mixing(spark, folder):
     """What the mix takes of every document."""
