@@ -31,14 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: later jobs read files that survive a lost executor, and
     values that depend on the order of rows are fixed once.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,3 +51,26 @@ SELECT doc_id, size, source_size, target,
              + (2 * (2 * source_size + start) + size <= 2 * target)::BIGINT) AS taken
 FROM p
 """
+
+ORACLE["op7_sharding"] = r"""
+WITH RECURSIVE shards AS (
+  SELECT i, printf('shard-%02d', i) AS name FROM range(16) r(i)),
+prefs AS (
+  SELECT list(('0x' || substr(md5(name || ' offset'), 1, 15))::BIGINT % 1621 ORDER BY i) AS off,
+         list(('0x' || substr(md5(name || ' skip'), 1, 15))::BIGINT % 1620 + 1 ORDER BY i) AS skip
+  FROM shards),
+fill AS (
+  SELECT 0 AS step, list_transform(range(1621), lambda x: -1::BIGINT) AS owner, off, skip FROM prefs
+  UNION ALL
+  SELECT step + 1, owner[1:k] || [(step % 16)::BIGINT] || owner[k + 2:], off, skip
+  FROM (SELECT *, (off[step % 16 + 1]
+                   + skip[step % 16 + 1] * list_filter(range(1621), lambda j:
+                       owner[(off[step % 16 + 1] + skip[step % 16 + 1] * j) % 1621 + 1] = -1)[1]) % 1621 AS k
+        FROM fill WHERE step < 1621)),
+slots AS (
+  SELECT unnest(range(1621)) AS slot, unnest(owner) AS i FROM fill WHERE step = 1621)
+SELECT doc_id, slot::INTEGER AS slot, name AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT % 1621 AS slot
+      FROM documents)
+JOIN slots USING (slot) JOIN shards USING (i)
+"""

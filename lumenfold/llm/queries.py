@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, fertility, html_crf, mixing, packing, pii, simhash, toxicity
+from lumenfold.llm import exact_dedup, fertility, html_crf, mixing, packing, pii, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,18 @@ def op6_pii(spark, folder):
     )
 
 
+@query
+def op7_sharding(spark, folder):
+    """Slot and shard of every document."""
+    return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+@query
+def op8_token_counts(spark, folder):
+    """Tokens of every document, counted from flat token files."""
+    return token_counts.document_counts(table(spark, folder, "documents")).select("doc_id", "n_tokens")
+
+
 @query
 def op9_html_crf(spark, folder):
     """Main text of every page."""
