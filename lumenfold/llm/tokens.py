@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 
 import numpy as np
+import regex
 
 #: Entries of a cache; it is emptied when it is full, so memory stays bounded.
-CHUNKS, CORES = 400_000, 600_000
-#: Latin letters, then ASCII marks other than the apostrophe: these never share a token,
-#: and lower-casing works letter by letter.
-SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)")
+CHUNKS, CORES = 400_000, 1_200_000
+# How the vocabulary splits a text in normal form into parts that share no
+# token, once for texts of ASCII and Latin-1 letters, once for all others.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
+_LATIN = re.compile(_PARTS)
+_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_IS_LATIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 
 
 def public_path(name: str) -> str:
@@ -21,54 +28,44 @@ def public_path(name: str) -> str:
 
 
 class WordTokens:
-    """Ids of a ``tokenizers`` vocabulary that drops white space.
+    """Ids of a ``tokenizers`` vocabulary that drops white space and lower-cases.
 
-    White space separates tokens, so a text's ids are those of its words in order. Words
-    repeat; their ids are kept as little-endian 32-bit bytes.
+    The vocabulary's own rule splits a text into parts; a text's ids are those of its
+    parts in order. Parts repeat, so the ids of each are kept as little-endian 32-bit
+    bytes. Texts with control characters are left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        parts, wanted = [], {}
-        for w in words:
-            text = w.decode("utf-8")
-            m = SPLIT.fullmatch(text)
-            keys = (m[1].lower(), m[2]) if m else (text,)
-            parts.append(keys)
-            for k in keys:
-                if k and k not in self.cores:
-                    wanted[k] = None
-        if wanted:
-            self.cores.update(zip(wanted, self._encode(list(wanted)), strict=True))
-        for w, keys in zip(words, parts, strict=True):
-            self.chunks[w] = b"".join(self.cores[k] for k in keys if k)
-
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = text.encode("utf-8").split()
-        missing = [w for w in dict.fromkeys(words) if w not in self.chunks]
-        for i in range(0, len(missing), 10_000):
-            self._learn(missing[i : i + 10_000])
-        if any(w not in self.chunks for w in missing):  # the cache was emptied on the way
-            return b"".join(self._encode([text]))
+        if "<|" in text or _CONTROL.search(text):  # a special token, or white space of its own kind
+            return self._encode([text])[0]
+        if _IS_LATIN.fullmatch(text):
+            parts = _LATIN.findall(text.lower())
+        else:
+            parts = _ANY.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        known = self.known
         try:
-            return b"".join(map(self.chunks.__getitem__, words))
+            return b"".join([known[p] for p in parts])
         except KeyError:
-            return b"".join(self._encode([text]))
+            pass
+        if len(known) > CORES:
+            known.clear()
+        missing = [p for p in dict.fromkeys(parts) if p not in known]
+        for lo in range(0, len(missing), 10_000):
+            some = missing[lo : lo + 10_000]
+            known.update(zip(some, self._encode(some), strict=True))
+        return b"".join([known[p] for p in parts])
 
 
 _loaded: dict[str, WordTokens] = {}
