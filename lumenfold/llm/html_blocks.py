@@ -160,7 +160,7 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             text.append(" ")
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in SKIP:
             close()
         if closing:
             if opened.get(name):
@@ -170,7 +170,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or page[end - 1] == "/":
             continue
-        if name not in INLINE and opened.get("p") and name != "p" or name == "p" and opened.get("p"):
+        if name not in INLINE and name not in SKIP and opened.get("p"):
             # A paragraph ends where the next block begins.
             depth = next((i for i in range(len(stack) - 1, max(0, len(stack) - 12), -1) if stack[i][0] == "p"), 0)
             if depth and all(t in INLINE for t, _, _ in stack[depth + 1 :]):

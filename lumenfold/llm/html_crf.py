@@ -129,6 +129,8 @@ class _Writer:
 
     def page(self) -> str:
         r = self.rng
+        if r.random() < 0.12:
+            return self.story()  # nothing but the article
         before = [f for f in (self.header, self.menu, self.notice, self.advert, self.form) if r.random() < 0.45]
         after = [f for f in (self.side, self.comments, self.advert, self.form, self.notice) if r.random() < 0.4]
         r.shuffle(before)
