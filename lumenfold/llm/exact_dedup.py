@@ -169,6 +169,6 @@ def exact_groups(
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     (row,) = fresh(df, "_row")
-    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "zstd")
     stay = exact_groups(numbered, id_col, text_col, row=row).filter("kept").select(F.col("row").alias(row))
     return numbered.join(stay, row, "left_semi").drop(row)

@@ -12,10 +12,10 @@ per cell, so a source with a third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WORD, fresh, hot_join, stored, text_of
+from lumenfold.llm.common import WORD, hot_join, stored, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -24,37 +24,40 @@ MOST = 3
 #: Slope of each weight's schedule: density 1 - slope at time 0, 1 + slope at time 1.
 SLOPES = (-0.5, 0.0, 0.5)
 #: Documents in a cell, on average.
-CELL = 8192
+CELL = 4096
+#: Sources whose table is broadcast; with more, source rows are matched by ``hot_join``.
+SOURCES = 100_000
 
 
-def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, row: str | None = None) -> DataFrame:
-    """Stored (row, doc_id, source, size, h): ``h`` has 60 bits and orders a source's stream.
+def _facts(id_col: str, source_col: str, text_col: str) -> dict[str, Column]:
+    """Columns that a row's place depends on. ``src`` is the source and never NULL; ``h``
+    has 60 bits and orders the stream of a source, by the id or else the text."""
+    source, ident = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`").cast("string")
+    digest = F.md5(F.coalesce(ident, F.concat(F.lit("text "), text_of(text_col))))
+    return {
+        "src": F.coalesce(F.concat(F.lit("="), source), F.lit("")),
+        "size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"),
+        "h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
+    }
 
-    ``row`` names a column that numbers the rows, if there is one.
-    """
-    source = F.col(f"`{source_col}`").cast("string")
-    rows = df.select(
-        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
-        F.col(f"`{id_col}`").alias("doc_id"),
-        source.alias("source"),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-    )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
-    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
-    return stored(rows.withColumn("h", h))
+
+def sized(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """Stored (doc_id, src, size, h), one row per input row."""
+    facts = _facts(id_col, source_col, text_col)
+    return stored(df.select(F.col(f"`{id_col}`").alias("doc_id"), *(c.alias(n) for n, c in facts.items())))
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """Stored (source, n, source_size, weight, slope, target), one row per source.
+    """Stored (src, n, source_size, slope, cells, target), one row per source.
 
     Sources are numbered by a range sort, with one count per partition as offset. Then
     targets above ``most`` times their source are held there and the rest is shared by
     weight again, until none is above; each round is one aggregate of two sums.
     """
     spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sums = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("source").isNull(), F.col("source")]
+    order = [F.col("src") == "", F.col("src")]
     ordered = stored(
         sums.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -69,7 +72,7 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFr
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), turn + 1)
     known = stored(
         ordered.join(F.broadcast(offsets), "part").select(
-            "source",
+            "src",
             "n",
             "source_size",
             pick(weights).alias("weight"),
@@ -90,40 +93,48 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFr
             break
         held = above
     target = F.when(held, F.col("cap").cast("double")).otherwise(F.lit(unit) * F.col("weight"))
-    return stored(known.withColumn("target", target).drop("cap"))
+    cells = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("long")
+    return stored(known.select("src", "n", "source_size", "slope", cells.alias("cells"), target.alias("target")))
+
+
+def with_cells(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows with the columns of their source and their cell in its stream."""
+    if targets.limit(SOURCES + 1).count() <= SOURCES:
+        met = rows.join(F.broadcast(targets.drop("n")), "src")
+    else:
+        met = hot_join(rows, targets, ["src"], "n")
+    return met.withColumn("cell", F.shiftright(F.shiftright("h", 30) * F.col("cells"), 30)).drop("cells")
+
 
+def cell_offsets(celled: DataFrame) -> DataFrame:
+    """Stored (src, cell, offset): the words of a source before the cell."""
+    sums = celled.groupBy("src", "cell").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(sums.select("src", "cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")))
 
-def demand(rows: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
-    """Every row with ``source_size``, ``target``, ``slope``, its offset ``start`` in one
-    reading of its source, and ``copies``, the times it is read.
+
+def demand(celled: DataFrame, offsets: DataFrame, *tie: Column, most: int = MOST) -> DataFrame:
+    """The rows with ``start``, their offset in one reading of their source, and
+    ``copies``, the times they are read.
 
     A reading counts if the middle of the document lies within the target, so a source
-    ends within half a document of it. A document without words is read once.
+    ends within half a document of it. A document without words is read once. Rows meet
+    their cell's offset and are summed up in it after one shuffle by cell; a cell holds
+    a few thousand rows, whatever the source.
     """
-    cells = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("long")
-    known = stored(targets.withColumn("cells", cells))
-    met = hot_join(rows, known, ["source"], "n")
-    cell = F.shiftright(F.shiftright("h", 30) * F.col("cells"), 30)
-    met = stored(met.withColumn("cell", cell).drop("cells", "weight"))
-    sums = met.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("in_cell"))
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(
-        sums.select("source", "cell", "in_cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    )
     inside = (
-        Window.partitionBy("source", "cell")
-        .orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "row")
+        Window.partitionBy("src", "cell")
+        .orderBy("h", *tie, "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = met.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    start = F.col("offset") + F.col("inside")
-    out = hot_join(placed, offsets, ["source", "cell"], "in_cell").withColumn("start", start)
+    placed = celled.join(offsets.hint("merge"), ["src", "cell"])
+    start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    placed = placed.withColumn("start", start).drop("offset", "cell", "h")
     copies = sum(
-        (2 * (k * F.col("source_size") + F.col("start")) + F.col("size") <= 2 * F.col("target")).cast("long")
+        (2 * (k * F.col("source_size") + F.col("start")) + F.col("size") <= 2 * F.col("target")).cast("int")
         for k in range(most)
     )
-    copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies)
-    return out.withColumn("copies", copies).drop("offset", "inside", "cell", "h")
+    return placed.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(copies))
 
 
 def position(copy):
@@ -144,7 +155,8 @@ def plan(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -
     table gives no rows.
     """
     rows = sized(df, id_col, source_col, text_col)
-    out = demand(rows, source_targets(rows))
+    celled = with_cells(rows, source_targets(rows))
+    out = demand(celled, cell_offsets(celled), F.col("doc_id").asc_nulls_last())
     return out.select(
         "doc_id",
         "size",
@@ -158,17 +170,21 @@ def plan(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -
 
 def mix(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
     """The documents in training order, each as many times as the mix reads it, with the
-    columns of ``df``. The partitions are ranges of training positions, sorted inside."""
-    row, copy, at = fresh(df, "_row", "_copy", "_position")
-    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
-    keyed = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("_i"), F.col(f"`{source_col}`").alias("_s"), text_of(text_col).alias("_t"))
-    rows = sized(keyed, "_i", "_s", "_t", row="row")
-    copies = (
-        demand(rows, source_targets(rows))
-        .filter("copies > 0")
-        .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-        .select(F.col("row").alias(row), F.col(copy), position(F.col(copy)).alias(at))
-    )
+    columns of ``df``. The partitions are ranges of training positions, sorted inside.
+
+    Texts are shuffled twice: once by cell, once by position.
+    """
+    rows = sized(df, id_col, source_col, text_col)
+    targets = source_targets(rows)
+    offsets = cell_offsets(with_cells(rows, targets))
+    # The documents travel as one struct, so their column names clash with nothing.
+    facts = _facts(id_col, source_col, text_col)
+    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), *(c.alias(n) for n, c in facts.items()))
+    tie = [F.col("doc").getField(id_col).asc_nulls_last(), F.xxhash64(F.col("doc").getField(text_col))]
+    placed = demand(with_cells(docs, targets), offsets, *tie).filter("copies > 0")
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    out = placed.withColumn("copy", copy).select("doc", position(F.col("copy")).alias("at"), "copy")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = numbered.join(stored(copies), row)
-    return out.repartitionByRange(parts, at, row).sortWithinPartitions(at, row, copy).drop(row, copy, at)
+    spread = F.xxhash64(F.col("doc").getField(id_col))
+    ranged = out.repartitionByRange(parts, "at", spread).sortWithinPartitions("at", spread, "copy")
+    return ranged.select("doc.*")

@@ -21,7 +21,7 @@ WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST)
 ORACLE["op10_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,

@@ -291,7 +291,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     document with the smallest id. Where nothing in reach has an id, and where an id is
     repeated, one row stays all the same."""
     (row,) = fresh(df, "_row")
-    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "zstd")
     groups = near_groups(numbered, id_col, text_col, row)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     stay = groups.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
