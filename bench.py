@@ -27,7 +27,7 @@ HEADLINE = [
     "swot_posts",
     "swot_tweets",
     "em_plot_table",
-    "knn_exact",
+    "tweets_hashtag_table",
 ]
 
 

@@ -64,6 +64,7 @@ def digits(c: str, start: int) -> str:
 
 
 def has_term(c: str, term: str) -> str:
+    term = term.replace(" ", "[^\\p{L}\\p{N}]+")
     return (
         f"regexp_matches(lower({c}), "
         f"'(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')"
@@ -102,7 +103,7 @@ TWEETS = f"""pieces AS (
     generate_subscripts({split('text')}, 1) - 1 AS pos
   FROM documents),
 numbered AS (
-  SELECT sentence, doc_id * 100000 + pos AS tweet_id,
+  SELECT sentence, doc_id * 2147483648 + pos AS tweet_id,
     (doc_id * 7919 + pos) % (SELECT count(*) FROM events) AS event_id,
     doc_id % (SELECT count(*) FROM pages) AS page_id FROM pieces),
 tweets AS (
@@ -200,8 +201,8 @@ sentiment AS (
   JOIN lexicon USING (term) GROUP BY article_id, pos),
 sentiments AS (
   SELECT c.article_id, c.pos,
-    coalesce(p / (n * 100.0::DOUBLE), 0.0) AS polarity,
-    coalesce(s / (n * 100.0::DOUBLE), 0.0) AS subjectivity
+    coalesce(p / 100.0::DOUBLE / n, 0.0) AS polarity,
+    coalesce(s / 100.0::DOUBLE / n, 0.0) AS subjectivity
   FROM cleaned c LEFT JOIN sentiment USING (article_id, pos))"""
 
 EMOTION = f"""{POSTS},
@@ -290,11 +291,18 @@ ORACLE: dict[str, str] = {
     " FROM posts",
     "src_tweets": ctes(TWEETS) + "SELECT * FROM tweets",
     "src_similarity_long": ctes(CENTROIDS)
-    + "SELECT a.label::VARCHAR AS src_a, b.label::VARCHAR AS src_b, "
-    f"round(list_cosine_similarity(a.c, b.c), {q.SIM_DIGITS}) AS sim "
-    "FROM centroids a CROSS JOIN centroids b",
+    + "SELECT centroids.label::VARCHAR AS src_a, vec_id::VARCHAR AS src_b, "
+    f"round(list_cosine_similarity(c, embedding::DOUBLE[]), {q.SIM_DIGITS}) AS sim "
+    "FROM centroids CROSS JOIN embeddings WHERE vec_id < 6",
     # filters
     "kw_title": where("articles", "article_id, title", keywords("title"), ARTICLES),
+    "kw_phrase": where(
+        "articles",
+        "article_id, title",
+        f"({has_term('summary', 'the or and')}) OR ({has_term('summary', 'of')} AND "
+        f"{has_term('summary', 'and the')})",
+        ARTICLES,
+    ),
     "kw_summary": where("articles", "article_id, source", keywords("summary"), ARTICLES),
     "flt_lang": where("articles", "article_id, lang", "lang = 'en'", ARTICLES),
     "flt_country": where("articles", "article_id, country", "country = 'us'", ARTICLES),
@@ -393,8 +401,8 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, emotion) = 1""",
     "jn_score_pairs": ctes(SENTENCES, SWOT, scored("cleaned", "article_id, pos", "text"))
     + "SELECT article_id, pos, facet, sim FROM scored",
     "jn_zip_explode": ctes(SENTENCES, SWOT, encoded("cleaned", "article_id, pos", "text"))
-    + "SELECT article_id, text AS sentence, coalesce(dot, 0) AS dot FROM cleaned "
-    "LEFT JOIN (SELECT * FROM dots WHERE facet = 'negative') USING (article_id, pos)",
+    + "SELECT article_id, facet, text AS sentence, coalesce(dot, 0) AS dot FROM cleaned "
+    "CROSS JOIN (SELECT facet FROM facet_norms) LEFT JOIN dots USING (article_id, pos, facet)",
     "similar_sources": ctes(CENTROIDS)
     + "SELECT a.label AS source, b.label AS similar, row_number() OVER (PARTITION BY a.label "
     "ORDER BY list_cosine_similarity(a.c, b.c) DESC, b.label) AS rk, "
@@ -464,7 +472,7 @@ LEFT JOIN palette USING (top_emotion)""",
     list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rk,
   round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2, {q.SIM_DIGITS})
     AS dist2
-FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rk <= {NEIGHBOURS}""",
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rk <= {NEIGHBOURS}""",
     # whole tables and reports
     "articles_table": where(
         "articles",

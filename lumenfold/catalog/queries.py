@@ -16,7 +16,7 @@ from lumenfold.operators import ranking as rk
 from lumenfold.operators import scoring as sc
 from lumenfold.operators.lookups import small_literal
 from lumenfold.operators.models import emotion_model, encode_model
-from lumenfold.operators.neighbours import knn_graph, nearest
+from lumenfold.operators.neighbours import knn, nearest
 from lumenfold.plans import emotion_map as maps
 from lumenfold.plans import evidence as ev
 from lumenfold.plans import reports as rp
@@ -106,11 +106,12 @@ def src_tweets(spark, folder):
 
 @query
 def src_similarity_long(spark, folder):
-    """Outlet centroids → wide similarity matrix → long form."""
-    centroids = sc.source_centroids(ad.vectors(spark, folder), "label", "embedding")
-    facets = centroids.select(F.col("label").alias("facet"), "embedding")
+    """Outlet centroids with the first six vectors as a wide matrix → long form."""
+    vectors = ad.vectors(spark, folder)
+    centroids = sc.source_centroids(vectors, "label", "embedding")
+    facets = vectors.filter("vec_id < 6").select(F.col("vec_id").alias("facet"), "embedding")
     long = sc.score_dense(centroids, ["label"], "embedding", facets)
-    wide = long.groupBy("label").pivot("facet").agg(F.first("sim"))
+    wide = long.groupBy("label").pivot("facet", list(range(6))).agg(F.first("sim"))
     return readers.unpivot_similarity(wide, "label").select(
         "src_a", "src_b", F.round("sim", SIM_DIGITS).alias("sim")
     )
@@ -126,6 +127,13 @@ def kw_title(spark, folder):
     )
 
 
+@query
+def kw_phrase(spark, folder):
+    """OR and AND inside quotes are words; a phrase crosses line breaks and marks."""
+    found = fl.keyword_filter(ad.articles(spark, folder), "'the OR and' OR of \"and the\"", "summary")
+    return found.select("article_id", "title")
+
+
 @query
 def kw_summary(spark, folder):
     return fl.keyword_filter(ad.articles(spark, folder), KEYWORDS, "summary").select(
@@ -452,18 +460,18 @@ def jn_score_pairs(spark, folder):
 
 @query
 def jn_zip_explode(spark, folder):
-    """List of sentences beside the list of their dots with one facet."""
+    """List of sentences beside the list of their dots with a facet, for both facets."""
     facets = small_literal(
-        sc.encode_facets(ad.swot_seeds(spark, folder)), sc.MAX_FACETS, "facets"
+        sc.encode_facets(ad.swot_seeds(spark, folder)), sc.FACETS, "facets"
     )
     lists = ad.articles(spark, folder).select(
         "article_id", tx.clean_each(tx.split_sentences("summary")).alias("sentence")
     )
-    dot = dot_buckets_sql(term_buckets_sql("s", cleaned=True), "negative")
-    scored = lists.select(
-        "*", F.get(facets, F.lit(0))["counts"].alias("negative")
-    ).select("article_id", "sentence", F.expr(f"transform(sentence, s -> {dot})").alias("dot"))
-    return rk.explode_zip(scored, "sentence", "dot", "article_id")
+    dot = dot_buckets_sql(term_buckets_sql("s", cleaned=True), "counts")
+    scored = lists.select("*", F.inline(facets)).select(
+        "article_id", "facet", "sentence", F.expr(f"transform(sentence, s -> {dot})").alias("dot")
+    )
+    return rk.explode_zip(scored, "sentence", "dot", "article_id", "facet")
 
 
 @query
@@ -643,7 +651,8 @@ def em_plot_table(spark, folder):
 
 @query
 def knn_exact(spark, folder):
-    found = knn_graph(ad.vectors(spark, folder))
+    """Neighbours of every vector whose id is divisible by 50, among all vectors."""
+    found = knn(ad.vectors(spark, folder))
     return found.select(
         "id", "neighbour", F.col("rk").cast("long").alias("rk"),
         F.round("dist2", SIM_DIGITS).alias("dist2"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,34 +14,37 @@ from lumenfold.fixed import MAX_RANK, PLACEHOLDERS, TOPIC_GROUPS, WINDOW_DAYS
 from lumenfold.functions.text import hashtags_in, normalise_username
 
 _NOT_WORD = r"[^\p{L}\p{N}]"
+_TOKEN = re.compile(r"\"([^\"]+)\"|'([^']+)'|(\S+)")
 
 
 def _has_term(text: Column, term: str) -> Column:
-    literal = re.sub(r"([^\w\s])", r"\\\1", term.lower())
-    return text.rlike(f"(^|{_NOT_WORD}){literal}($|{_NOT_WORD})")
+    """Whole words; between the words of a phrase any run of other characters."""
+    escaped = [re.sub(r"([^\w\s])", r"\\\1", w) for w in term.lower().split()]
+    phrase = f"{_NOT_WORD}+".join(escaped)
+    return text.rlike(f"(^|{_NOT_WORD}){phrase}($|{_NOT_WORD})")
 
 
 def keyword_filter(df: DataFrame, expression: str, search_in: str = "title") -> DataFrame:
     """Keep rows that match e.g. ``Mac AND Apple OR 'Steve Jobs'``.
 
-    AND binds tighter than OR, words next to each other are joined by AND, and a
-    term matches whole words in any letter case.
+    Quotes are read first: AND and OR inside them are words. AND binds tighter than OR,
+    words next to each other are joined by AND, and a term matches whole words in any
+    letter case. A phrase matches across line breaks and punctuation.
     """
     text = F.lower(F.col(search_in))
-    either: Column | None = None
-    for alternative in re.split(r"\s+OR\s+", expression.strip()):
-        terms = re.findall(r"\"([^\"]+)\"|'([^']+)'|(\S+)", alternative)
-        both: Column | None = None
-        for quoted, single, plain in terms:
-            if plain == "AND":
+    alternatives: list[list[Column]] = [[]]
+    for double, single, plain in _TOKEN.findall(expression):
+        if plain == "OR":
+            alternatives.append([])
+        elif plain != "AND":
+            term = double or single or plain
+            if not term.strip():
                 continue
-            hit = _has_term(text, quoted or single or plain)
-            both = hit if both is None else both & hit
-        if both is not None:
-            either = both if either is None else either | both
-    if either is None:
+            alternatives[-1].append(_has_term(text, term))
+    hits = [reduce(and_, terms) for terms in alternatives if terms]
+    if not hits:
         raise ValueError("the keyword expression has no terms")
-    return df.filter(either)
+    return df.filter(reduce(or_, hits))
 
 
 def lang_filter(df: DataFrame, lang: str = "en") -> DataFrame:
@@ -60,10 +65,18 @@ def rank_filter(df: DataFrame, max_rank: int = MAX_RANK) -> DataFrame:
     return df.filter(F.col("rank") <= max_rank)
 
 
+def _day(text: str | None, today: str) -> str | None:
+    """ISO form of a date as a form sends it: ``2022-06-01``, ``2022/06/01``, ``today``."""
+    text = (text or "").strip().lower()
+    return today if text == "today" else text.replace("/", "-") or None
+
+
 def _window(since: str | None, until: str | None, today: str | None):
     """(since, until) as date columns; NULL and '' both mean the default."""
-    end = F.to_date(F.lit(until or today or date.today().isoformat()))
-    start = F.to_date(F.lit(since)) if since else F.date_sub(end, WINDOW_DAYS)
+    now = _day(today, "") or date.today().isoformat()
+    end = F.to_date(F.lit(_day(until, now) or now))
+    first = _day(since, now)
+    start = F.to_date(F.lit(first)) if first else F.date_sub(end, WINDOW_DAYS)
     return start, end
 
 
@@ -115,7 +128,9 @@ def by_hashtags(df: DataFrame, hashtags: str) -> DataFrame:
 
 
 def originals_only(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("is_retweet") & ~F.col("is_reply"))
+    """Neither shared nor an answer; a missing flag counts as no."""
+    no = F.lit(False)
+    return df.filter(~F.coalesce("is_retweet", no) & ~F.coalesce("is_reply", no))
 
 
 def by_subreddit(df: DataFrame, name: str) -> DataFrame:

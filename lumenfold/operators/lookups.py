@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 def row_count(df: DataFrame) -> Column:
@@ -49,14 +48,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join to a lookup table that has one or few rows per key.
 
-    A lookup within the bound is broadcast. A larger one is shuffled, with the
-    key salted on both sides, so one key that holds a third of ``df`` is spread
-    over ``SALTS`` tasks.
+    A lookup within the bound is broadcast. A larger one is shuffled, with the key
+    salted on both sides by the number of tasks, so one key that holds a third of
+    ``df`` is spread over all of them. NULL matches nothing and goes round the join.
     """
     if is_small(lookup, max_rows):
         return df.join(F.broadcast(lookup), on, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    met = salted.filter(F.col(on).isNotNull()).join(copies, [on, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return met
+    return met.unionByName(df.filter(F.col(on).isNull()), allowMissingColumns=True)

@@ -1,265 +1,140 @@
-"""Exact nearest neighbours by cells, and nearest outlets.
+"""Nearest rows of a stated set of queries, in blocks.
 
-Every vector belongs to the cell of its closest pivot. Distances to the pivots
-and the radius of each cell bound, by the triangle inequality, which cells can
-hold a neighbour; only those are searched. Slices of queries meet blocks of a
-cell, both of bounded size, as two matrices in one task, and k rows per query
-leave it: pairs are never listed. (Method: kNN joins by Voronoi cells, Lu et al.,
-VLDB 2012.)
+Queries are cut into slices and members into blocks, both of bounded size. Every slice
+meets every block in a task of its own, as two matrices; k rows per query leave the task,
+and the ranking of these is all that is merged. Distances add up dimension by dimension,
+so equal vectors have equal distances and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from math import isqrt
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import NEIGHBOURS, SIMILAR_TAKE
-from lumenfold.functions.vectors import dot_dense
-from lumenfold.operators.lookups import is_small, lookup_join, small_literal
 from lumenfold.operators.ranking import topk
-from lumenfold.session import materialise
-
-BLOCK = 1024  # members of a cell per task
-SLICE = 4096  # queries per task
-MAX_PIVOTS = 1024
-MAX_SOURCES = 2000
-
 
-def _copies(df: DataFrame, k: int) -> DataFrame:
-    """Equal vectors → (v, rep, ids): the k + 1 smallest ids, rep the smallest.
-
-    A group of copies may be huge; only k + 1 of its ids can be a neighbour.
-    """
-    first = topk(df.select("id", "v"), k + 1, [F.col("id")], ["v"])
-    ids = F.sort_array(F.collect_list("id"))
-    return first.groupBy("v").agg(ids.alias("ids")).withColumn("rep", F.col("ids")[0])
-
-
-def _cell_of(pivots: list) -> Column:
-    """Own cell (number of the closest pivot) and the distance to its pivot."""
-
-    @F.pandas_udf("cell int, d double")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        centres = np.array(pivots, dtype="float64")
-        far = np.array(
-            [np.sqrt(((centres - np.asarray(x, "float64")) ** 2).sum(1)) for x in v]
-        ).reshape(-1, len(centres))
-        cell = far.argmin(1).astype("int32")
-        return pd.DataFrame({"cell": cell, "d": far[np.arange(len(cell)), cell]})
-
-    return assign("v")
-
-
-def _cells_to_search(pivots: list, cells: list, k: int) -> Column:
-    """Cells that can hold one of the k nearest.
-
-    A cell's k + 1 members closest to its pivot bound the k-th distance from
-    above; its radius bounds the distance to any member from below. The slack
-    only covers rounding.
-    """
-
-    @F.pandas_udf("array<int>")
-    def search(v: pd.Series) -> pd.Series:
-        import numpy as np
+BLOCK = 8192  # members in a task
+SLICE = 2048  # queries in a task
+CELLS = 4_000_000  # distances in memory at once
+EVERY = 50  # one query in so many ids
 
-        centres = np.array(pivots, dtype="float64")
-        number = np.array([c["cell"] for c in cells])
-        radius = np.array([c["radius"] for c in cells])
-        owner = np.repeat(np.arange(len(cells)), [len(c["near"]) for c in cells])
-        near = np.concatenate([c["near"] for c in cells])
-        out = []
-        for x in v:
-            far = np.sqrt(((centres - np.asarray(x, "float64")) ** 2).sum(1))[number]
-            upper = far[owner] + near
-            reach = np.partition(upper, k)[k] if len(upper) > k else np.inf
-            out.append(number[far - radius <= reach * (1 + 1e-9) + 1e-9].tolist())
-        return pd.Series(out)
 
-    return search("v")
+def _search(k: int, cosine: bool):
+    """k smallest (cost, id) per query; the cost is the squared distance or -cosine."""
 
-
-def _nearest_in_block(k: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
+        empty = pd.DataFrame({"id": [], "other": [], "cost": []})
         if queries.empty or members.empty:
-            return pd.DataFrame({"rep": [], "other": [], "dist2": []})
-        members = members.sort_values("rep")
-        other = members["rep"].to_numpy()
-        block = np.stack(members["v"].to_list()).astype("float64")
-        reps, others, dist2 = [], [], []
-        for rep, v in zip(queries["rep"], queries["v"]):
-            d = ((block - np.asarray(v, "float64")) ** 2).sum(1)
-            d[other == rep] = np.inf
-            top = np.argsort(d, kind="stable")[:k]
-            top = top[np.isfinite(d[top])]
-            reps.append(np.full(len(top), rep))
-            others.append(other[top])
-            dist2.append(d[top])
-        return pd.DataFrame(
-            {
-                "rep": np.concatenate(reps),
-                "other": np.concatenate(others),
-                "dist2": np.concatenate(dist2),
-            }
-        )
+            return empty
+        members = members.sort_values("id")
+        other = members["id"].to_numpy()
+        m = np.stack(members["v"].to_list()).astype("float64")
+        q = np.stack(queries["v"].to_list()).astype("float64")
+        ids = queries["id"].to_numpy()
+
+        def unit(x):
+            length = np.zeros(len(x))
+            for d in range(x.shape[1]):
+                length += x[:, d] ** 2
+            length = np.sqrt(length)[:, None]
+            return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+        if cosine:
+            m, q = unit(m), unit(q)
+        out = [empty]
+        step = max(1, CELLS // len(m))
+        for lo in range(0, len(q), step):
+            part, own = q[lo : lo + step], ids[lo : lo + step]
+            cost = np.zeros((len(part), len(m)))
+            for d in range(m.shape[1]):
+                a, b = part[:, d, None], m[None, :, d]
+                cost += -a * b if cosine else (a - b) ** 2
+            cost[own[:, None] == other[None, :]] = np.inf
+            top = np.argsort(cost, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(cost, top, axis=1)
+            row, col = np.nonzero(np.isfinite(best))
+            out.append(
+                pd.DataFrame({"id": own[row], "other": other[top[row, col]], "cost": best[row, col]})
+            )
+        return pd.concat(out[1:])
 
     return run
 
 
-def _nearest_distinct(distinct: DataFrame, k: int, pivots: int | None) -> DataFrame:
-    """(rep, other, dist2, rk) among different vectors."""
-    total = distinct.count()
-    pivots = pivots or max(1, min(isqrt(total), MAX_PIVOTS))
-    chosen = distinct.orderBy(F.xxhash64("v"), "rep").limit(pivots).select("v")
-    centres = [list(r["v"]) for r in chosen.collect()]
+def search(
+    queries: DataFrame,
+    members: DataFrame,
+    k: int,
+    cosine: bool = False,
+    block: int = BLOCK,
+    slice_: int = SLICE,
+) -> DataFrame:
+    """(id, other, cost, rk): the k best members of every query; both are (id, v).
 
-    assigned = materialise(
-        distinct.select("rep", "v", _cell_of(centres).alias("c")).select(
-            "rep", "v", "c.cell", "c.d"
-        )
-    )
-    near = (
-        topk(assigned.select("cell", "d", "rep"), k + 1, [F.col("d"), F.col("rep")], ["cell"])
-        .groupBy("cell")
-        .agg(F.sort_array(F.collect_list("d")).alias("near"))
-    )
-    sizes = assigned.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")
-    )
-    # One row per pivot at most.
-    cells = [r.asDict() for r in sizes.join(near, "cell").orderBy("cell").collect()]
+    The work is queries times members, the result k rows per query. A member is sent
+    once to each slice of queries. Rows without a vector and ids without one are left
+    out; a query never finds its own id.
+    """
+    usable = "id is not null and v is not null and size(v) > 0"
+    queries, members = queries.filter(usable), members.filter(usable)
+    slices = max(1, -(-queries.count() // slice_))
+    blocks = max(1, -(-members.count() // block))
 
-    # Number of blocks per cell and of slices of all queries.
-    blocks = [0] * len(centres)
-    for c in cells:
-        blocks[c["cell"]] = -(-c["n"] // BLOCK)
-    blocks_of = F.get(F.from_json(F.lit(str(blocks)), "array<long>"), F.col("cell"))
-    slices = F.lit(-(-total // SLICE)).cast("long")
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    def up_to(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    def part(n: int):
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    queries = (
-        assigned.select("rep", "v", _cells_to_search(centres, cells, k).alias("cells"))
-        .select("rep", "v", F.explode("cells").alias("cell"))
-        .select(
-            "rep",
-            "v",
-            "cell",
-            up_to(blocks_of).alias("block"),
-            F.pmod(F.xxhash64("rep"), slices).alias("slice"),
-        )
-    )
-    members = assigned.select(
-        "rep",
-        "v",
-        "cell",
-        F.pmod(F.xxhash64("rep"), blocks_of).alias("block"),
-        up_to(slices).alias("slice"),
-    )
-    key = ["cell", "block", "slice"]
-    kind = distinct.schema["rep"].dataType.simpleString()
+    q = queries.select("id", "v", part(slices).alias("slice"), every(blocks).alias("block"))
+    m = members.select("id", "v", every(slices).alias("slice"), part(blocks).alias("block"))
+    kind = members.schema["id"].dataType.simpleString()
     found = (
-        queries.groupBy(*key)
-        .cogroup(members.groupBy(*key))
-        .applyInPandas(
-            _nearest_in_block(k), f"rep {kind}, other {kind}, dist2 double"
-        )
+        q.groupBy("slice", "block")
+        .cogroup(m.groupBy("slice", "block"))
+        .applyInPandas(_search(k, cosine), f"id {kind}, other {kind}, cost double")
     )
-    return topk(found, k, [F.col("dist2"), F.col("other")], ["rep"], salted=False)
+    return topk(found, k, [F.col("cost"), F.col("other")], ["id"], salted=False)
 
 
-def knn_graph(
+def knn(
     df: DataFrame,
     ident: str = "vec_id",
     vector: str = "embedding",
     k: int = NEIGHBOURS,
-    pivots: int | None = None,
+    every: int = EVERY,
 ) -> DataFrame:
-    """Exact k nearest neighbours: (id, neighbour, rk, dist2).
-
-    Ties go to the smaller id. ``pivots`` moves work but never the result; the
-    default is the square root of the number of different vectors, up to
-    ``MAX_PIVOTS``.
-    """
+    """Exact k nearest neighbours of every row whose id is divisible by ``every``, among
+    all rows: (id, neighbour, rk, dist2). Ties go to the smaller id."""
     rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
-    distinct = materialise(_copies(rows, k))
-    found = _nearest_distinct(distinct, k, pivots)
-
-    # Ids of a vector's neighbours: own copies at distance 0, then the copies of
-    # the k closest other vectors. k + 1 of them serve every copy of the vector.
-    def hits(ids: str, dist2: Column) -> Column:
-        return F.transform(
-            ids, lambda i: F.struct(dist2.alias("dist2"), i.alias("neighbour"))
-        )
-
-    near = (
-        lookup_join(
-            found.select("rep", F.col("other"), "dist2"),
-            distinct.select(F.col("rep").alias("other"), "ids"),
-            "other",
-            "inner",
-        )
-        .groupBy("rep")
-        .agg(F.flatten(F.collect_list(hits("ids", F.col("dist2")))).alias("near"))
-    )
-    own = hits("ids", F.lit(0.0))
-    every = F.when(F.col("near").isNull(), own).otherwise(F.concat(own, "near"))
-    best = distinct.join(near, "rep", "left").select(
-        "v", F.slice(F.array_sort(every), 1, k + 1).alias("best")
-    )
-    mine = F.filter("best", lambda b: b["neighbour"] != F.col("id"))
-    return (
-        lookup_join(rows, best, "v", max_rows=20_000)
-        .select("id", F.posexplode(F.slice(mine, 1, k)).alias("pos", "b"))
-        .select("id", "b.neighbour", (F.col("pos") + 1).alias("rk"), "b.dist2")
+    found = search(rows.filter(F.col("id") % every == 0), rows, k)
+    return found.select(
+        "id", F.col("other").alias("neighbour"), "rk", F.col("cost").alias("dist2")
     )
 
 
 def nearest(
-    centroids: DataFrame, source: str, vector: str, take: int = SIMILAR_TAKE
+    centroids: DataFrame,
+    source: str,
+    vector: str,
+    take: int = SIMILAR_TAKE,
+    block: int = BLOCK,
+    slice_: int = SLICE,
 ) -> DataFrame:
     """The ``take`` most similar other outlets: (source, similar, rk, sim).
 
-    Up to ``MAX_SOURCES`` centroids are one constant, and each outlet ranks the
-    others inside its row. Beyond that, unit vectors have the same order by
-    distance as by cosine, so the cell search serves.
+    Outlets are a dimension table: all of them are queries, the work is the square of
+    their number and the result ``take`` rows each. A zero vector has cosine 0.
     """
-    length = F.sqrt(dot_dense(F.col(vector), F.col(vector)))
-    unit = centroids.select(
-        F.col(source).alias("source"),
-        F.transform(
-            vector, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length)
-        ).alias("unit"),
-    )
-    if not is_small(unit, MAX_SOURCES):
-        return knn_graph(unit, "source", "unit", take).select(
-            F.col("id").alias("source"),
-            F.col("neighbour").alias("similar"),
-            "rk",
-            (1 - F.col("dist2") / 2).alias("sim"),
-        )
-    others = small_literal(unit, MAX_SOURCES, "outlets")
-    ranked = F.array_sort(
-        F.transform(
-            F.filter(others, lambda o: o["source"] != F.col("source")),
-            lambda o: F.struct(
-                (-dot_dense(F.col("unit"), o["unit"])).alias("minus"),
-                o["source"].alias("similar"),
-            ),
-        )
-    )
-    return unit.select(
-        "source", F.posexplode(F.slice(ranked, 1, take)).alias("pos", "o")
-    ).select(
-        "source",
-        "o.similar",
-        (F.col("pos") + 1).alias("rk"),
-        (-F.col("o.minus")).alias("sim"),
+    rows = centroids.select(F.col(source).alias("id"), F.col(vector).alias("v"))
+    found = search(rows, rows, take, True, block, slice_)
+    return found.select(
+        F.col("id").alias("source"),
+        F.col("other").alias("similar"),
+        "rk",
+        (-F.col("cost")).alias("sim"),
     )

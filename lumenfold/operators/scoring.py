@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,25 @@ from lumenfold.functions.vectors import (
     term_buckets_sql,
     term_vector,
 )
-from lumenfold.operators.lookups import lookup_join, small_literal
+from lumenfold.operators.lookups import is_small, lookup_join, small_literal
 
-MAX_FACETS = 64
-UNIT = 1_000_000  # lexicon weights count to six decimals
+FACETS = 64  # facets in one literal, or in one block of a larger set
+WEIGHT = "decimal(28, 18)"  # lexicon weights; their sums do not depend on order
 
 
 def _terms(
     df: DataFrame, ids: list[str], text: str, cleaned: bool = False
 ) -> DataFrame:
-    """One row per word; a text without words keeps one row with a NULL term."""
-    return df.select(*ids, F.explode_outer(words(text, cleaned)).alias("term"))
+    """One row per word; a text without words keeps one row with a NULL term.
+
+    ``_row`` numbers the texts, so texts with equal ids stay apart.
+    """
+    rows = df.select(*ids, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    return rows.select(*ids, "_row", F.explode_outer(words("_text", cleaned)).alias("term"))
 
 
-def _units(column: str) -> Column:
-    """A lexicon weight as a whole number of millionths."""
-    return F.round(F.col(column) * UNIT).cast("long")
+def _weight(column: str) -> Column:
+    return F.col(column).cast(WEIGHT)
 
 
 def lexicon_scores(
@@ -42,24 +47,24 @@ def lexicon_scores(
 ) -> DataFrame:
     """Mean polarity and subjectivity of a text's known words; 0.0 if it has none.
 
-    ``ids`` name one text each; ``cleaned`` as in :func:`words`. Weights are summed
-    as integers, so the result does not depend on the order of rows. All words of a
-    text are in one task, and the partial aggregate leaves one row per text to
-    shuffle.
+    One row per row of ``df``, which carries ``ids``, also where they are equal;
+    ``cleaned`` as in :func:`words`. Weights are summed as decimals, so the result does
+    not depend on the order of rows. All words of a text are in one task, and the
+    partial aggregate leaves one row per text to shuffle.
     """
     weights = lexicon.select(
         "term",
-        _units("polarity").alias("p"),
-        _units("subjectivity").alias("s"),
+        _weight("polarity").alias("p"),
+        _weight("subjectivity").alias("s"),
     )
     hits = lookup_join(_terms(df, ids, text, cleaned), weights, "term")
-    sums = hits.groupBy(*ids).agg(
+    sums = hits.groupBy("_row", *ids).agg(
         F.count("p").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s")
     )
 
     def mean(total: str) -> Column:
         return F.when(F.col("n") == 0, F.lit(0.0)).otherwise(
-            F.col(total) / (F.col("n") * F.lit(float(UNIT)))
+            F.col(total).cast("double") / F.col("n")
         )
 
     return sums.select(*ids, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
@@ -84,21 +89,25 @@ def emotion_scores(
     lexicon: DataFrame,
     labels: list[str] = EMOTIONS,
 ) -> DataFrame:
-    """One score per label, as two lists in label order; ``ids`` name one text each.
+    """One score per label, as two lists in label order; one row per row of ``df``.
+
+    A lexicon row with a label beyond ``labels`` is an error.
 
     One aggregate per label gives the complete grid of labels, zeros included,
     without a join to the labels.
     """
     ordered = sorted(labels)
+    at = F.array_position(F.lit(ordered), F.col("emotion"))
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.col("emotion")))
     weights = lexicon.select(
         "term",
-        (F.array_position(F.lit(ordered), F.col("emotion")) - 1).alias("label"),
-        _units("weight").alias("w"),
+        F.when(at > 0, at - 1).otherwise(unknown.cast("long")).alias("label"),
+        _weight("weight").alias("w"),
     )
     hits = lookup_join(_terms(df, ids, text), weights, "term")
-    sums = hits.groupBy(*ids).agg(
+    sums = hits.groupBy("_row", *ids).agg(
         *[
-            F.expr(f"coalesce(sum(w) filter (where label = {i}), 0) / {UNIT}D as _{i}")
+            F.expr(f"double(coalesce(sum(w) filter (where label = {i}), 0)) as _{i}")
             for i in range(len(ordered))
         ]
     )
@@ -138,6 +147,32 @@ def encode_facets(seeds: DataFrame, dims: int = ENCODER_DIMS) -> DataFrame:
     return gathered.select("facet", full.alias("counts"), "norm")
 
 
+def _with_facets(df: DataFrame, facets: DataFrame) -> DataFrame:
+    """Add ``_facets``, facets as an array of structs; each row meets each facet once.
+
+    Up to ``FACETS`` facets are one literal of the plan: no join and no shuffle. More
+    are cut into blocks of about that size; a row is repeated for every block, as it
+    will be for every facet, and joined to it, with the block salted on both sides.
+    """
+    if is_small(facets, FACETS):
+        return df.withColumn("_facets", small_literal(facets, FACETS, "facets"))
+    blocks = -(-facets.count() // FACETS)
+    salts = df.sparkSession.sparkContext.defaultParallelism
+    block = F.pmod(F.xxhash64("facet"), F.lit(blocks)).cast("int")
+    packed = (
+        facets.withColumn("_block", block)
+        .groupBy("_block")
+        .agg(F.sort_array(F.collect_list(F.struct(*facets.columns))).alias("_facets"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    return (
+        df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .join(packed, ["_block", "_salt"])
+        .drop("_block", "_salt")
+    )
+
+
 def score_sparse(
     df: DataFrame,
     keep: list[str],
@@ -148,16 +183,14 @@ def score_sparse(
 ) -> DataFrame:
     """Every text with every facet → (keep..., facet, sim).
 
-    The facets are at most ``MAX_FACETS`` small vectors. They are a constant of
-    the plan, and a text is encoded and scored inside its own row: the job has no
-    join and no shuffle of texts.
+    A text is encoded and scored inside its own row. With up to ``FACETS`` facets the
+    job has no join and no shuffle of texts.
     """
-    facets = small_literal(encode_facets(seeds, dims), MAX_FACETS, "facets")
     encoded = df.select(
         *keep, F.expr(term_buckets_sql(text, dims, cleaned)).alias("_buckets")
-    ).select("*", buckets_norm("_buckets").alias("_norm"), facets.alias("_facets"))
+    ).select("*", buckets_norm("_buckets").alias("_norm"))
     sim = cosine_sql(dot_buckets_sql("_buckets", "f.counts"), "_norm", "f.norm")
-    return encoded.select(
+    return _with_facets(encoded, encode_facets(seeds, dims)).select(
         *keep,
         F.expr(f"inline(transform(_facets, f -> struct(f.facet as facet, {sim} as sim)))"),
     )
@@ -186,29 +219,23 @@ def score_dense(
     df: DataFrame, keep: list[str], vector: str, facets: DataFrame
 ) -> DataFrame:
     """Dense form of :func:`score_sparse`; ``facets`` is (facet, embedding)."""
-    queries = small_literal(facets.select("facet", "embedding"), MAX_FACETS, "facets")
     scores = F.transform(
-        queries,
+        "_facets",
         lambda f: F.struct(
             f["facet"].alias("facet"),
-            cosine_dense(vector, f["embedding"]).alias("sim"),
+            cosine_dense("_v", f["embedding"]).alias("sim"),
         ),
     )
-    return df.select(*keep, F.inline(scores))
+    rows = df.select(*keep, F.col(vector).alias("_v"))
+    return _with_facets(rows, facets.select("facet", "embedding")).select(*keep, F.inline(scores))
 
 
 def source_centroids(df: DataFrame, source: str, vector: str) -> DataFrame:
-    """Mean vector per source, in long form until the last step.
+    """Mean vector per source; rows without a vector do not count.
 
-    The partial aggregate leaves one row per (source, position) and task, so a
-    source that holds a third of all vectors is no hot key.
+    The partial aggregate leaves one row per source and task, so a source that holds
+    a third of all vectors is no hot key.
     """
-    means = (
-        df.select(source, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(source, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy(source).agg(
-        F.transform(ordered, lambda e: e["x"]).alias("embedding")
-    )
+    rows = df.filter(F.col(vector).isNotNull()).select(source, array_to_vector(vector).alias("_v"))
+    mean = vector_to_array(Summarizer.mean(F.col("_v")))
+    return rows.groupBy(source).agg(mean.alias("embedding"))

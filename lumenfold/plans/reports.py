@@ -6,6 +6,7 @@ fixed values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,10 +46,10 @@ PESTLE_SUMMARY = (
 )
 
 
-def _fill(template: Column, **values: Column) -> Column:
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+def _fill(template: str, **values: Column) -> Column:
+    """The template with its placeholders replaced once: what a value holds stays as it is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def _numbers(numbers: tuple) -> list[Column]:
@@ -60,22 +61,18 @@ def seed_prompts(subjects: DataFrame) -> DataFrame:
     templates = [
         ("swot_seed", f, t, *SWOT_SEED_NUMBERS) for f, t in SWOT_SEEDS.items()
     ] + [("pestle_seed", f, PESTLE_SEED, *PESTLE_SEED_NUMBERS) for f in PESTLE_FACETS]
-    names = ["stage", "facet", "template", *NUMBER_COLUMNS]
     rows = F.array(
         *[
-            F.struct(*[F.lit(v).alias(c) for v, c in zip(t, names)])
-            for t in templates
+            F.struct(
+                F.lit(stage).alias("stage"),
+                F.lit(facet).alias("facet"),
+                _fill(t, subject=F.col("subject"), facet=F.lit(facet)).alias("prompt"),
+                *_numbers(numbers),
+            )
+            for stage, facet, t, *numbers in templates
         ]
     )
-    return subjects.select("subject", F.inline(rows)).select(
-        "subject",
-        "stage",
-        "facet",
-        _fill(
-            F.col("template"), subject=F.col("subject"), facet=F.col("facet")
-        ).alias("prompt"),
-        *NUMBER_COLUMNS,
-    )
+    return subjects.select("subject", F.inline(rows))
 
 
 def swot_prompt(evidence: DataFrame, subject: str) -> DataFrame:
@@ -91,7 +88,7 @@ def swot_prompt(evidence: DataFrame, subject: str) -> DataFrame:
         F.lit("swot_summary").alias("stage"),
         F.lit("all").alias("facet"),
         _fill(
-            F.lit(SWOT_SUMMARY),
+            SWOT_SUMMARY,
             subject=F.lit(subject),
             positive=F.col("positive"),
             negative=F.col("negative"),
@@ -107,7 +104,7 @@ def pestle_prompts(evidence: DataFrame, subject: str) -> DataFrame:
         F.lit("pestle_summary").alias("stage"),
         "facet",
         _fill(
-            F.lit(PESTLE_SUMMARY),
+            PESTLE_SUMMARY,
             subject=F.lit(subject),
             facet=F.col("facet"),
             evidence=F.to_json("evidence"),

@@ -65,7 +65,8 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
     """One message per sentence of every document.
 
     Sender, kind and time come from an event, the link from a page; both are
-    found by an even modulo of the whole table, so neither join is skewed.
+    found by an even modulo of the whole table, so neither join is skewed. A sentence
+    stays where the event or page is missing.
     """
     d = spread(load(spark, folder, "documents"), "doc_id")
     events = load(spark, folder, "events")
@@ -74,25 +75,25 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.posexplode(split_sentences("text")).alias("pos", "sentence")
     ).select(
         "sentence",
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("tweet_id"),
+        (F.col("doc_id") * (1 << 31) + F.col("pos")).alias("tweet_id"),
         ((F.col("doc_id") * 7919 + F.col("pos")) % row_count(events)).alias("event_id"),
         (F.col("doc_id") % row_count(pages)).alias("page_id"),
     )
     return (
         sentence.join(
-            events.select("event_id", "ts", "user_id", "event_type"), "event_id"
+            events.select("event_id", "ts", "user_id", "event_type"), "event_id", "left"
         )
-        .join(pages.select("page_id", "url"), "page_id")
+        .join(pages.select("page_id", "url"), "page_id", "left")
         .select(
             "ts",
             "tweet_id",
             F.concat(
                 F.lit("@user"),
-                "user_id",
+                F.coalesce(F.col("user_id").cast("string"), F.lit("")),
                 F.lit(" #"),
-                "event_type",
+                F.coalesce("event_type", F.lit("")),
                 F.lit(" "),
-                "url",
+                F.coalesce("url", F.lit("")),
                 F.lit(" "),
                 "sentence",
             ).alias("text"),

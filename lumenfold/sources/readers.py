@@ -14,6 +14,9 @@ from lumenfold.fixed import palette_rows
 from lumenfold.functions.text import col, default_empty
 
 
+MAX_SPREAD = 64
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -21,16 +24,21 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash an input over the cores if its scan has fewer splits than cores.
 
-    Fewer splits than cores bounds the input by one split per core, so this
-    shuffle is small. A large input already has more splits and is left alone.
+    Fewer splits than ``MAX_SPREAD`` bounds the input by as many splits, so this
+    shuffle stays small on a cluster of any size. A larger input is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def _parsed(column: Column | str, schema) -> Column:
+    """JSON text as a struct; malformed text is an error, never a row of NULLs."""
+    return F.from_json(col(column), schema, {"mode": "FAILFAST"})
+
+
 def articles_from_json(pages: DataFrame, column: Column | str = "value") -> DataFrame:
     """One search page per row → one article per row."""
-    page = F.from_json(col(column), schemas.ARTICLE_PAGE)
+    page = _parsed(column, schemas.ARTICLE_PAGE)
     return pages.select(page.alias("p")).select(F.inline("p.articles"))
 
 
@@ -52,7 +60,7 @@ def posts_from_json(items: DataFrame, column: Column | str = "value") -> DataFra
     A missing body or parent becomes ''. A row without a url keeps its NULL and
     is dropped by ``require_url`` before any limit is counted.
     """
-    item = F.from_json(col(column), schemas.POST_ITEM)
+    item = _parsed(column, schemas.POST_ITEM)
     return items.select(item.alias("i")).select(
         F.col("i._type").alias("type"),
         F.col("i.author").alias("author"),
@@ -66,12 +74,12 @@ def posts_from_json(items: DataFrame, column: Column | str = "value") -> DataFra
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    return posts_from_json(spark.read.text(path))
+    return posts_from_json(spark.read.text(path).filter("trim(value) <> ''"))
 
 
 def tweets_from_json(items: DataFrame, column: Column | str = "value") -> DataFrame:
     """One message object per row; the name comes from the nested user."""
-    item = F.from_json(col(column), schemas.TWEET_ITEM)
+    item = _parsed(column, schemas.TWEET_ITEM)
     return items.select(item.alias("i")).select(
         F.col("i.date").cast("timestamp_ntz").alias("ts"),
         F.col("i.id").alias("tweet_id"),
@@ -83,7 +91,7 @@ def tweets_from_json(items: DataFrame, column: Column | str = "value") -> DataFr
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    return tweets_from_json(spark.read.text(path))
+    return tweets_from_json(spark.read.text(path).filter("trim(value) <> ''"))
 
 
 def read_emotion_palette(spark: SparkSession, path: str) -> DataFrame:

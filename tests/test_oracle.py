@@ -4,9 +4,9 @@ import pytest
 from check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lumenfold.catalog.oracle import ORACLE as SQL
+from lumenfold.catalog.queries import QUERIES
 
-SQL = oracle_sql()
-QUERIES = queries()
 ROWS_ONLY = {"em_xyz", "em_plot_table"}
 
 
@@ -16,6 +16,7 @@ def con(folder):
 
 
 def test_every_query_is_checked():
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
 

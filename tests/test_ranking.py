@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import cosine_dense, first_max
 from lumenfold.operators import lookups
-from lumenfold.operators.neighbours import knn_graph, nearest
+from lumenfold.operators.neighbours import knn, nearest, search
 from lumenfold.operators.ranking import evidence_lists, topk, union_batches
-from lumenfold.operators.scoring import lexicon_scores, score_dense, source_centroids
+from lumenfold.operators.scoring import (
+    emotion_scores,
+    lexicon_scores,
+    score_dense,
+    score_sparse,
+    source_centroids,
+)
 from lumenfold.plans.evidence import clean_sentences, pestle_articles, swot_articles
 from lumenfold.sources import adapters as ad
 
@@ -86,8 +92,6 @@ def test_lexicon_beyond_the_broadcast_bound(spark, folder, monkeypatch):
 
 def test_lexicon_means(spark):
     """Weights finer than hundredths count; a text without known words scores 0."""
-    from lumenfold.operators.scoring import emotion_scores
-
     texts = spark.createDataFrame(
         [(1, "good, good bad other"), (2, "other"), (3, "")], "id int, t string"
     )
@@ -111,12 +115,26 @@ def test_lexicon_means(spark):
     assert rows[3]["score"] == [0.0, 0.0, 0.0]
 
 
-def test_too_many_facets_is_an_error(spark):
-    pair = F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))
-    vectors = spark.range(70).select("id", pair.alias("v"))
-    facets = vectors.select(F.col("id").alias("facet"), F.col("v").alias("embedding"))
-    with pytest.raises(ValueError):
-        score_dense(vectors, ["id"], "v", facets)
+def test_any_number_of_facets(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(30, 3)), rng.normal(size=(200, 3))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    facets = spark.createDataFrame(
+        [(f"f{i}", v.tolist()) for i, v in enumerate(y)], "facet string, embedding array<double>"
+    )
+    got = {(r["id"], r["facet"]): r["sim"] for r in score_dense(vectors, ["id"], "v", facets).collect()}
+    cos = x @ y.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+    assert len(got) == 6000
+    assert all(abs(got[i, f"f{j}"] - cos[i, j]) < 1e-12 for i in range(30) for j in range(200))
+
+
+def test_many_sparse_facets_equal_few(spark):
+    texts = spark.createDataFrame([(i, f"w{i} w{i + 1} common") for i in range(40)], "id int, t string")
+    seeds = spark.createDataFrame([(f"f{i}", f"w{i} common") for i in range(150)], "facet string, text string")
+    many = {(r["id"], r["facet"]): r["sim"] for r in score_sparse(texts, ["id"], "t", seeds).collect()}
+    few = score_sparse(texts, ["id"], "t", seeds.limit(20)).collect()
+    assert len(many) == 6000 and len(few) == 800
+    assert all(many[r["id"], r["facet"]] == r["sim"] for r in few)
 
 
 def test_union_fills_missing_columns(spark):
@@ -153,36 +171,42 @@ def test_knn_is_exact(spark, shape):
     rows = [(i, [float(x) for x in vec]) for i, vec in zip(ids, v)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in knn_graph(df, k=8).collect():
+    for r in knn(df, k=8, every=1).collect():
         got.setdefault(r["id"], []).append((r["neighbour"], r["rk"]))
     got = {i: sorted(n, key=lambda t: t[1]) for i, n in got.items()}
     assert got == brute_neighbours(ids, v, 8)
 
 
-def test_knn_blocks_and_slices(spark, folder, monkeypatch):
-    """Many small blocks, slices and pivots give the same graph."""
-    from lumenfold.operators import neighbours
+def test_search_in_small_blocks_and_slices(spark, folder):
+    rows = ad.vectors(spark, folder).selectExpr("vec_id as id", "embedding as v")
+    some = rows.filter("id % 3 = 0")
+    one, many = search(some, rows, 8), search(some, rows, 8, block=10, slice_=100)
+    assert one.count() == 8 * some.count()
+    assert one.exceptAll(many).count() == 0
+    assert {tuple(r) for r in knn(ad.vectors(spark, folder)).select("id").distinct().collect()} == {
+        (i,) for i in range(0, 500, 50)
+    }
 
-    v = ad.vectors(spark, folder)
-    one = knn_graph(v, pivots=1)
-    monkeypatch.setattr(neighbours, "BLOCK", 10)
-    monkeypatch.setattr(neighbours, "SLICE", 100)
-    many = knn_graph(v, pivots=16)
-    assert one.count() == 8 * v.count()
-    columns = ["id", "neighbour", "rk", F.round("dist2", 9).alias("d")]
-    assert one.select(*columns).exceptAll(many.select(*columns)).count() == 0
 
+def test_nearest_outlets_with_zeros_and_ties(spark):
+    """One path for every size: blocks of three give what brute force gives."""
+    v = {"a": [1, 0], "b": [2, 2], "c": [0, 0], "d": [3, 0], "e": [1, 1], "f": [-1, 0], "g": [0, 1]}
+    rows = [(s, [float(x) for x in xs]) for s, xs in v.items()]
+    df = spark.createDataFrame([*rows, ("none", None)], "s string, v array<double>")
 
-def test_nearest_outlets_beyond_the_bound(spark, folder, monkeypatch):
-    from lumenfold.operators import neighbours
+    def cos(x, y):
+        n = math.hypot(*x) * math.hypot(*y)
+        return (x[0] * y[0] + x[1] * y[1]) / n if n else 0.0
 
-    centroids = source_centroids(ad.vectors(spark, folder), "label", "embedding")
-    columns = ["source", "similar", "rk", F.round("sim", 9).alias("sim")]
-    one = nearest(centroids, "label", "embedding").select(*columns)
-    monkeypatch.setattr(neighbours, "MAX_SOURCES", 3)
-    other = nearest(centroids, "label", "embedding").select(*columns)
-    assert one.count() == 40
-    assert one.exceptAll(other).count() == 0
+    want = {
+        (s, o, rk)
+        for s in v
+        for rk, (_, o) in enumerate(sorted((-round(cos(v[s], v[o]), 9), o) for o in v if o != s)[:4], 1)
+    }
+    for block in (3, 8192):
+        got = nearest(df, "s", "v", 4, block, block).collect()
+        assert {(r["source"], r["similar"], r["rk"]) for r in got} == want
+    assert {round(r["sim"], 9) for r in got if r["source"] == "c"} == {0.0}
 
 
 def test_centroids(spark):
@@ -191,3 +215,22 @@ def test_centroids(spark):
     got = {r["s"]: r["embedding"] for r in source_centroids(df, "s", "v").collect()}
     assert got == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
     assert not any(math.isnan(x) for v in got.values() for x in v)
+
+
+def test_equal_ids_stay_two_rows(spark):
+    texts = spark.createDataFrame([(1, "good"), (1, "bad"), (1, "bad")], "id int, t string")
+    lexicon = spark.createDataFrame(
+        [("good", 1.0, 0.5), ("bad", -1.0, 1.0)], "term string, polarity double, subjectivity double"
+    )
+    got = sorted(r["polarity"] for r in lexicon_scores(texts, ["id"], "t", lexicon).collect())
+    assert got == [-1.0, -1.0, 1.0]
+    moods = spark.createDataFrame([("good", "joy", 1.0)], "term string, emotion string, weight double")
+    scored = emotion_scores(texts, ["id"], "t", moods, ["joy"]).collect()
+    assert sorted(r["score"][0] for r in scored) == [0.0, 0.0, 1.0]
+
+
+def test_unknown_emotion_labels_are_an_error(spark):
+    texts = spark.createDataFrame([(1, "good")], "id int, t string")
+    moods = spark.createDataFrame([("good", "bliss", 1.0)], "term string, emotion string, weight double")
+    with pytest.raises(Exception, match="unknown label"):
+        emotion_scores(texts, ["id"], "t", moods, ["joy"]).collect()
