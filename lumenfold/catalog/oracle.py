@@ -265,6 +265,45 @@ PROMPTS = (
 )
 
 
+def component(n: int) -> str:
+    """Principal component n by power iteration on c{n}, and the matrix without it."""
+    return f"""p{n} AS (
+  SELECT 0 AS step, list_transform(range({len(EMOTIONS)}), lambda x: 1.0::DOUBLE / (1 + x)) AS v
+  UNION ALL
+  SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v
+  FROM (SELECT step, list_transform(c, lambda r: list_dot_product(r, v)) AS w
+        FROM p{n}, c{n} WHERE step < 3000)),
+e{n} AS (
+  SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l,
+    list_transform(v, lambda x: abs(x)) AS a
+  FROM p{n}, c{n} WHERE step = 3000),
+c{n + 1} AS (
+  SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS c
+  FROM c{n}, e{n})"""
+
+
+def axes(rows: str) -> str:
+    """Coordinates (id, x, y, z) of the ids in ``rows``, fitted on these rows."""
+    placed = ", ".join(
+        f"round(list_dot_product(d, {a}.v) * sign({a}.v[list_position({a}.a, list_max({a}.a))]), {q.SIM_DIGITS})"
+        f" + 0.0 AS {x}"
+        for a, x in (("e1", "x"), ("e2", "y"), ("e3", "z"))
+    )
+    return f"""centred AS (
+  SELECT id, emotion, score - avg(score) OVER (PARTITION BY emotion) AS d
+  FROM scores SEMI JOIN {rows} USING (id)),
+products AS (
+  SELECT a.emotion AS i, b.emotion AS j, sum(a.d * b.d) AS s
+  FROM centred a JOIN centred b USING (id) GROUP BY ALL),
+matrix_rows AS (SELECT i, list(s ORDER BY j) AS r FROM products GROUP BY i),
+c1 AS (SELECT list(r ORDER BY i) AS c FROM matrix_rows),
+{component(1)},
+{component(2)},
+{component(3)},
+lists AS (SELECT id, list(d ORDER BY emotion) AS d FROM centred GROUP BY id),
+coordinates AS (SELECT id, {placed} FROM lists, e1, e2, e3)"""
+
+
 def where(table: str, columns: str, condition: str, *parts: str) -> str:
     return ctes(*parts) + f"SELECT {columns} FROM {table} WHERE {condition}"
 
@@ -283,6 +322,65 @@ def latest(condition: str) -> str:
     )
 
 
+def seeded(named: dict[str, str]) -> str:
+    """Given seed paragraphs → counts and squared norms per facet."""
+    rows = ", ".join(f"('{f}', '{t}')" for f, t in named.items())
+    given = f"given AS (SELECT * FROM (VALUES {rows}) v(facet, text))"
+    return given + ",\n" + facets(list(named)).replace(
+        facets(list(named)).split("),\nfacet_terms")[0],
+        f"seed_terms AS (SELECT facet, unnest({words('text')}) AS term FROM given",
+    )
+
+
+def _named(templates: dict[str, str]) -> dict[str, str]:
+    return {
+        f: t.replace("{subject}", q.SUBJECT).replace("{facet}", f) for f, t in templates.items()
+    }
+
+
+SEEDED_SWOT = seeded(_named(rp.SWOT_SEEDS))
+SEEDED_PESTLE = seeded(_named({f: rp.PESTLE_SEED for f in PESTLE_FACETS}))
+FOUND = f"""found AS (
+  SELECT * FROM articles WHERE lang = 'en' AND country = 'us' AND source IN ({SOURCE_NAMES})
+    AND rank <= {MAX_RANK} AND published::DATE >= DATE '{q.SINCE}'
+    AND published::DATE < DATE '{q.UNTIL}' AND {keywords('summary')}),
+sentences AS (
+  SELECT article_id, (generate_subscripts({split('summary')}, 1) - 1)::INTEGER AS pos,
+    unnest({split('summary')}) AS sentence
+  FROM found),
+cleaned AS (SELECT article_id, pos, {clean('sentence')} AS text FROM sentences)"""
+
+
+def review(stage: str, names: list[str], *parts: str) -> str:
+    """Evidence in ``best`` → report, and the lists as JSON in facet order."""
+    digest = (
+        "length(prompt) || ' characters' || chr(10) || '- digest ' || md5(prompt) || chr(10) || '- end'"
+    )
+    if stage == "swot_summary":
+        listed = ", ".join(
+            f"coalesce(max(to_json(evidence)) FILTER (facet = '{f}'), '[]') AS {f}" for f in names
+        )
+        prompt = f"'{rp.SWOT_SUMMARY}'"
+        for f in names:
+            prompt = f"replace({prompt}, '{{{f}}}', {f})"
+        prompt = f"replace({prompt}, '{{subject}}', '{q.SUBJECT}')"
+        text = f"(SELECT 'Strengths: ' || {digest} FROM (SELECT {prompt} AS prompt FROM (SELECT {listed} FROM lists)))"
+    else:
+        prompt = (
+            f"replace(replace(replace('{rp.PESTLE_SUMMARY}', '{{subject}}', '{q.SUBJECT}'), "
+            "'{facet}', facet), '{evidence}', to_json(evidence))"
+        )
+        text = (
+            f"(SELECT string_agg([{text_list(PESTLE_TITLES.values())}][o] || ':' || chr(10) || {digest}, "
+            f"chr(10) || chr(10) ORDER BY o) FROM (SELECT o, {prompt} AS prompt FROM lists))"
+        )
+    return ctes(*parts) + f""", lists AS (
+  SELECT facet, list_position([{text_list(names)}], facet) AS o, list(text ORDER BY rk) AS evidence
+  FROM best GROUP BY facet)
+SELECT '{q.SUBJECT}' AS subject, '{stage}' AS stage, {text} AS report,
+  to_json(list(evidence ORDER BY o))::VARCHAR AS evidence FROM lists"""
+
+
 ORACLE: dict[str, str] = {
     # sources
     "src_articles": ctes(ARTICLES) + "SELECT * FROM articles",
@@ -450,8 +548,6 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, emotion) = 1""",
     "SELECT tweet_id::VARCHAR, text, NULL, username FROM tweets",
     # emotion map
     "em_top": ctes(EMOTION) + "SELECT id, top_emotion FROM topped",
-    "em_top_array": f"SELECT vec_id AS id, [{text_list(EMOTIONS)}][list_position("
-    "embedding[1:27], list_max(embedding[1:27]))] AS top_emotion FROM embeddings",
     "em_one": ctes(EMOTION)
     + "SELECT id, top_emotion FROM topped WHERE top_emotion = 'caring'",
     "em_counts": ctes(EMOTION) + "SELECT top_emotion, n FROM counts",
@@ -467,6 +563,8 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, emotion) = 1""",
     WHEN (SELECT sum(n) FROM kept) > 1000 THEN 1.5 ELSE 2.0 END AS dot_size
 FROM topped JOIN kept USING (top_emotion) JOIN usable USING (id)
 LEFT JOIN palette USING (top_emotion)""",
+    "em_xyz": ctes(EMOTION, axes("topped")).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT * FROM coordinates",
     "knn_exact": f"""SELECT a.vec_id AS id, b.vec_id AS neighbour,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY
     list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rk,
@@ -522,7 +620,61 @@ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50
 SELECT subject, stage, string_agg(CASE WHEN stage = 'swot_summary' THEN 'Strengths: ' || points
   ELSE title || ':' || chr(10) || points END, chr(10) || chr(10) ORDER BY o) AS report
 FROM completed GROUP BY subject, stage""",
+    "review_articles": review(
+        "swot_summary",
+        SWOT_FACETS,
+        ARTICLES,
+        FOUND,
+        SEEDED_SWOT,
+        scored("cleaned", "article_id, pos", "text"),
+        best(SWOT_ARTICLES_K, "article_id, pos"),
+    ),
+    "review_pestle": review(
+        "pestle_summary",
+        PESTLE_FACETS,
+        ARTICLES,
+        FOUND,
+        SEEDED_PESTLE,
+        DISTINCT,
+        scored("distinct_texts", "text", "text"),
+        best(PESTLE_K, "text"),
+    ).replace("t.text, t.text AS text", "t.text"),
+    "review_posts": review(
+        "swot_summary",
+        SWOT_FACETS,
+        POSTS,
+        SEEDED_SWOT,
+        f"bodies AS (SELECT id, coalesce(body, '') AS text FROM posts WHERE subreddit = "
+        f"'{q.COMMUNITY}' AND url IS NOT NULL ORDER BY created DESC, id LIMIT {q.POST_LIMIT})",
+        scored("bodies", "id", "text"),
+        best(SWOT_POSTS_K, "id"),
+    ),
+    "review_tweets": review(
+        "swot_summary",
+        SWOT_FACETS,
+        TWEETS,
+        SEEDED_SWOT,
+        f"messages AS (SELECT tweet_id, {clean('text')} AS text FROM (SELECT * FROM tweets "
+        f"WHERE {TAGGED} AND NOT is_retweet AND NOT is_reply AND ts >= DATE '{q.SINCE}' AND "
+        f"ts < DATE '{q.UNTIL}' ORDER BY ts DESC, tweet_id DESC LIMIT {q.TWEET_LIMIT}))",
+        scored("messages", "tweet_id", "text"),
+        best(SWOT_TWEETS_K, "tweet_id"),
+    ),
+    "tw_landed": ctes(TWEETS) + "SELECT tweet_id, ts, username FROM tweets",
+    "tx_criteria_tags": "SELECT event_type, '#' || event_type || ' OR #x since:' || "
+    "strftime(max(ts)::DATE - 7, '%Y-%m-%d') || ' until:' || strftime(max(ts), '%Y-%m-%d') "
+    "|| ' exclude:retweets exclude:replies' AS criteria FROM events GROUP BY event_type",
     "out_json_records": ctes(POSTS)
     + "SELECT to_json({'type': type, 'author': author, 'body': body, 'id': id, "
     "'parent_id': parent_id, 'url': url})::VARCHAR AS record FROM posts",
 }
+
+ORACLE["em_top_array"] = ORACLE["em_model"].replace(
+    "SELECT id, emotion AS top_emotion, score AS top_score", "SELECT id, emotion AS top_emotion"
+)
+ORACLE["em_plot_table"] = ctes(
+    EMOTION,
+    "staying AS (SELECT id FROM topped SEMI JOIN kept USING (top_emotion))",
+    axes("staying"),
+    "labels AS (" + ORACLE["em_labels"].removeprefix(ctes(EMOTION)) + ")",
+).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * FROM labels JOIN coordinates USING (id)"

@@ -20,6 +20,7 @@ from lumenfold.operators.neighbours import knn, nearest
 from lumenfold.plans import emotion_map as maps
 from lumenfold.plans import evidence as ev
 from lumenfold.plans import reports as rp
+from lumenfold.plans import reviews as rv
 from lumenfold.plans import tables as tb
 from lumenfold.sources import adapters as ad
 from lumenfold.sources import readers, sinks
@@ -213,6 +214,24 @@ def po_placeholders(spark, folder):
     return fl.drop_placeholders(ad.posts(spark, folder)).select("id", "body")
 
 
+@query
+def tw_landed(spark, folder):
+    """Messages as a feed without the two flags lands them: all are originals."""
+    t = ad.tweets(spark, folder)
+    landed = t.select(
+        F.to_json(
+            F.struct(
+                F.col("ts").cast("string").alias("date"),
+                F.col("tweet_id").alias("id"),
+                F.col("text").alias("content"),
+                F.struct("username").alias("user"),
+            )
+        ).alias("value")
+    )
+    found = fl.originals_only(readers.tweets_from_json(landed))
+    return found.select("tweet_id", "ts", "username")
+
+
 # ---- scalar functions --------------------------------------------------------
 
 
@@ -283,6 +302,17 @@ def tx_criteria(spark, folder):
     )
 
 
+@query
+def tx_criteria_tags(spark, folder):
+    """The hashtag form: the tags of each kind of event, joined by OR."""
+    typed = F.concat(F.lit(" "), "event_type", F.lit(" , #x,"))
+    last = readers.load(spark, folder, "events").groupBy("event_type").agg(F.max("ts").alias("last"))
+    criteria = tx.search_criteria(
+        tx.normalise_hashtags(typed), tx.iso_date(tx.minus_days("last")), tx.iso_date("last")
+    )
+    return last.select("event_type", criteria.alias("criteria"))
+
+
 @query
 def tx_preview(spark, folder):
     return ad.articles(spark, folder).select(
@@ -420,8 +450,7 @@ def em_scores(spark, folder):
     return rk.explode_zip(scored, "emotion", "score", "id")
 
 
-@query
-def em_model(spark, folder):
+def _modelled(spark, folder):
     """A stand-in classifier: one score per label from the text's length."""
     labels = list(reversed(EMOTIONS))
 
@@ -437,8 +466,12 @@ def em_model(spark, folder):
         return predict
 
     usable = fl.drop_placeholders(ad.posts(spark, folder)).select("id", "body")
-    scored = emotion_model(usable, "body", labels, loader)
-    return em.top_emotion(scored).select(
+    return emotion_model(usable, "body", labels, loader)
+
+
+@query
+def em_model(spark, folder):
+    return em.top_emotion(_modelled(spark, folder)).select(
         "id", "top_emotion", F.array_max("score").alias("top_score")
     )
 
@@ -573,15 +606,6 @@ def _topped(spark, folder):
     return em.top_emotion(_scored_posts(spark, folder)).select("id", "top_emotion")
 
 
-def _vector_emotions(spark, folder):
-    """Score lists from the first 27 numbers of a vector, labels sorted."""
-    return ad.vectors(spark, folder).select(
-        F.col("vec_id").alias("id"),
-        F.array(*[F.lit(e) for e in EMOTIONS]).alias("emotion"),
-        F.slice("embedding", 1, len(EMOTIONS)).alias("score"),
-    )
-
-
 @query
 def em_top(spark, folder):
     return _topped(spark, folder)
@@ -589,7 +613,8 @@ def em_top(spark, folder):
 
 @query
 def em_top_array(spark, folder):
-    return _vector_emotions(spark, folder).select(
+    """First label of the highest score, from a model's lists."""
+    return _modelled(spark, folder).select(
         "id", first_max("score", "emotion").alias("top_emotion")
     )
 
@@ -632,21 +657,25 @@ def em_labels(spark, folder):
     )
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Coordinates to six digits; adding 0.0 makes -0.0 plain zero."""
+    return df.withColumns({c: F.round(c, SIM_DIGITS) + 0.0 for c in "xyz"})
+
+
 @query
 def em_xyz(spark, folder):
-    return em.project_3d(_vector_emotions(spark, folder), "score").select(
-        "id", "x", "y", "z"
-    )
+    return _rounded(em.project_3d(_scored_posts(spark, folder), "score").select("id", "x", "y", "z"))
 
 
 @query
 def em_plot_table(spark, folder):
-    return maps.emotion_map(
+    plot = maps.emotion_map(
         ad.posts(spark, folder),
         ad.emotion_lexicon(spark, folder),
         readers.default_palette(spark),
         threshold=THRESHOLD,
     )
+    return _rounded(plot)
 
 
 @query
@@ -720,6 +749,47 @@ def report_rows(spark, folder):
     return rp.report(prompt_rows(spark, folder), fn)
 
 
+def _stub(batch):
+    """A stand-in completion: a seed prompt is its own paragraph, a summary its digest."""
+    import hashlib
+
+    return [
+        p if stage.endswith("_seed") else f"{len(p)} characters - digest {hashlib.md5(p.encode()).hexdigest()} - end"
+        for stage, p in zip(batch["stage"], batch["prompt"])
+    ]
+
+
+def _with_json(review: DataFrame) -> DataFrame:
+    lists = F.transform("evidence", lambda e: e["texts"])
+    return review.select("subject", "stage", "report", F.to_json(lists).alias("evidence"))
+
+
+SEARCH = dict(keyword=KEYWORDS, search_in="summary", sources=SOURCES, since=SINCE, until=UNTIL)
+
+
+@query
+def review_articles(spark, folder):
+    return _with_json(rv.article_review(ad.articles(spark, folder), SUBJECT, _stub, **SEARCH))
+
+
+@query
+def review_pestle(spark, folder):
+    return _with_json(rv.pestle_review(ad.articles(spark, folder), SUBJECT, _stub, **SEARCH))
+
+
+@query
+def review_posts(spark, folder):
+    return _with_json(rv.post_review(ad.posts(spark, folder), SUBJECT, _stub, COMMUNITY, POST_LIMIT))
+
+
+@query
+def review_tweets(spark, folder):
+    review = rv.tweet_review(
+        ad.tweets(spark, folder), SUBJECT, _stub, TWEET_LIMIT, hashtags=TAGS, since=SINCE, until=UNTIL
+    )
+    return _with_json(review)
+
+
 @query
 def out_json_records(spark, folder):
     return sinks.json_records(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import DOMINANT_K, DOMINANT_THRESHOLD, EMOTIONS
 from lumenfold.functions.text import marker_size
-from lumenfold.functions.vectors import first_max
+from lumenfold.functions.vectors import dot_dense, first_max
 from lumenfold.operators.lookups import lookup_join
 
 
@@ -68,17 +69,23 @@ def emotion_colour(df: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def project_3d(df: DataFrame, vector: str) -> DataFrame:
-    """Add x, y, z: the first three principal components of the score lists.
+    """Add x, y, z: the first three principal components of the centred score lists.
 
     The fit is one distributed covariance of label-set size. It is linear and
-    unsupervised, unlike the non-linear layout it stands in for.
+    unsupervised, unlike the non-linear layout it stands in for. The largest loading of
+    a component is positive. Without rows there is nothing to fit and none comes out.
     """
+    if df.isEmpty():
+        return df.withColumns({c: F.lit(None).cast("double") for c in "xyz"})
     with_features = df.withColumn("_f", array_to_vector(vector))
-    model = PCA(k=3, inputCol="_f", outputCol="_p").fit(with_features)
-    placed = model.transform(with_features).withColumn("_p", vector_to_array("_p"))
-    return placed.select(
-        *df.columns, *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate("xyz")]
-    )
+    center = with_features.agg(vector_to_array(Summarizer.mean(F.col("_f"))).alias("m")).first()["m"]
+    loadings = PCA(k=3, inputCol="_f", outputCol="_p").fit(with_features).pc.toArray().T
+    axes = {}
+    for name, axis in zip("xyz", loadings, strict=True):
+        axis = axis if axis[abs(axis).argmax()] > 0 else -axis
+        offset = float(axis @ center)
+        axes[name] = dot_dense(F.col(vector), F.lit(axis.tolist())) - F.lit(offset)
+    return df.withColumns(axes)
 
 
 def labelled_table(

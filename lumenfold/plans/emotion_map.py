@@ -23,29 +23,33 @@ def scored_posts(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def _labelled(
     posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """(plot rows without texts, texts): both are keyed by ``row``, a number of the post,
+    so posts that share an id stay apart."""
+    texts = materialise(usable_posts(posts).withColumn("row", F.monotonically_increasing_id()))
     # The scores serve the counts, the fit and the rows: compute them once. They
     # are written without the texts, which join back at the very end.
-    topped = top_emotion(scored_posts(posts, lexicon)).drop("emotion")
-    return labelled_table(materialise(topped), palette, **sizes)
+    scored = emotion_scores(texts, ["row", "id"], "text", lexicon)
+    topped = top_emotion(scored).drop("emotion")
+    return labelled_table(materialise(topped), palette, **sizes), texts.select("row", "text")
 
 
-def _with_text(table: DataFrame, posts: DataFrame) -> DataFrame:
-    texts = usable_posts(posts)
-    return table.join(texts, "id").withColumn("trimmed_text", preview("text"))
+def _with_text(table: DataFrame, texts: DataFrame) -> DataFrame:
+    return table.join(texts, "row").drop("row").withColumn("trimmed_text", preview("text"))
 
 
 def labelled_posts(
     posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
 ) -> DataFrame:
     """The plot table without its coordinates."""
-    table = _labelled(posts, lexicon, palette, **sizes).drop("score")
-    return _with_text(table, posts)
+    table, texts = _labelled(posts, lexicon, palette, **sizes)
+    return _with_text(table.drop("score"), texts)
 
 
 def emotion_map(
     posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
 ) -> DataFrame:
     """Plot-ready rows in label order."""
-    placed = project_3d(_labelled(posts, lexicon, palette, **sizes), "score")
-    return _with_text(placed.drop("score"), posts).orderBy("top_emotion", "id")
+    table, texts = _labelled(posts, lexicon, palette, **sizes)
+    placed = project_3d(table, "score").drop("score")
+    return _with_text(placed, texts).orderBy("top_emotion", "id")

@@ -44,15 +44,17 @@ def test_palette_covers_every_label():
 
 
 def test_projection_matches_numpy(spark):
-    """x, y, z are the leading principal components, up to their sign."""
+    """x, y, z are the leading principal components, the largest loading positive."""
     rng = np.random.default_rng(5)
     data = rng.normal(size=(80, 6)) * np.array([9, 5, 3, 1, 0.5, 0.1])
     rows = [(i, row.tolist()) for i, row in enumerate(data)]
     df = spark.createDataFrame(rows, "id int, v array<double>")
     placed = em.project_3d(df, "v").orderBy("id").select("x", "y", "z").toPandas().to_numpy()
     _, _, axes = np.linalg.svd(data - data.mean(0), full_matrices=False)
-    want = data @ axes[:3].T
-    assert np.allclose(np.abs(placed), np.abs(want), atol=1e-8)
+    signs = np.sign([a[abs(a).argmax()] for a in axes[:3]])
+    want = (data - data.mean(0)) @ (axes[:3].T * signs)
+    assert np.allclose(placed, want, atol=1e-8)
+    assert em.project_3d(df.filter("id < 0"), "v").count() == 0
     assert placed.var(0)[0] >= placed.var(0)[1] >= placed.var(0)[2]
 
 
@@ -68,3 +70,17 @@ def test_plot_table(spark, folder):
     flat = QUERIES["em_labels"](spark, folder)
     assert flat.count() == len(rows)
     assert table.filter(F.isnan("x") | F.col("x").isNull()).count() == 0
+
+
+def test_posts_with_equal_ids_stay_two_rows(spark):
+    from lumenfold.plans.emotion_map import labelled_posts
+    from lumenfold.sources.readers import default_palette
+
+    posts = spark.createDataFrame([("a", "good"), ("a", "bad"), ("b", "good")], "id string, body string")
+    lexicon = spark.createDataFrame(
+        [("good", "joy", 1.0), ("bad", "anger", 1.0)], "term string, emotion string, weight double"
+    )
+    rows = labelled_posts(posts, lexicon, default_palette(spark)).collect()
+    assert sorted((r["id"], r["text"], r["top_emotion"]) for r in rows) == [
+        ("a", "bad", "anger"), ("a", "good", "joy"), ("b", "good", "joy"),
+    ]

@@ -93,3 +93,36 @@ def test_filters_reach_the_scan(spark, folder):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in text
     assert "text" not in text.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize(
+    ("expression", "found"),
+    [
+        ("'trick OR treat'", [1]),
+        ("\"Steve Jobs\"", [2, 3]),
+        ("treat OR jobs", [1, 2, 3]),
+        ("'jobs AND x' OR", []),
+    ],
+)
+def test_phrases(spark, expression, found):
+    rows = [(1, "A trick or treat day"), (2, "steve\nJobs"), (3, "Steve - jobs!"), (4, "stevejobs")]
+    df = spark.createDataFrame(rows, "id int, title string")
+    got = [r["id"] for r in fl.keyword_filter(df, expression).orderBy("id").collect()]
+    assert got == found
+
+
+def test_form_dates(spark):
+    rows = [(i, f"2022-06-{i:02d}") for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "id int, day string").selectExpr("id", "date(day) as day")
+
+    def ids(**window):
+        return [r["id"] for r in fl.date_range(df, "day", **window).orderBy("id").collect()]
+
+    assert ids(since="2022/06/02", until="2022/06/04") == [2, 3]
+    assert ids(since="2022-06-08", until="today", today="2022/06/10") == [8, 9]
+
+
+def test_missing_flags_count_as_no(spark):
+    rows = [(1, None, None), (2, True, None), (3, False, False), (4, None, True)]
+    df = spark.createDataFrame(rows, "id int, is_retweet boolean, is_reply boolean")
+    assert [r["id"] for r in fl.originals_only(df).orderBy("id").collect()] == [1, 3]

@@ -1,3 +1,4 @@
+import pytest
 """Landed files in, result files out."""
 
 import json
@@ -113,3 +114,27 @@ def test_model_slots(spark):
 
     done = complete(df, lambda batch: [t.upper() for t in batch["t"]])
     assert done.filter(F.col("completion") != F.upper("t")).count() == 0
+
+
+def test_lists_as_csv_and_no_silent_overwrite(spark, tmp_path):
+    df = spark.createDataFrame([("a", ["x", "y"])], "facet string, evidence array<string>")
+    sinks.write_table(df, str(tmp_path / "csv"), "csv")
+    row = spark.read.csv(str(tmp_path / "csv"), header=True).first()
+    assert row["evidence"] == '["x","y"]'
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_table(df, str(tmp_path / "csv"), "csv")
+
+
+def test_malformed_items_are_an_error(spark):
+    lines = spark.createDataFrame([("{not json",)], "value string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.posts_from_json(lines).collect()
+
+
+def test_prompts_keep_placeholders_in_evidence(spark):
+    from lumenfold.plans.reports import swot_prompt
+
+    rows = [("positive", ["say {negative} {subject}"]), ("negative", ["no"])]
+    lists = spark.createDataFrame(rows, "facet string, evidence array<string>")
+    prompt = swot_prompt(lists, "tea").first()["prompt"]
+    assert '["say {negative} {subject}"]' in prompt and '["no"]' in prompt and "review of tea" in prompt
