@@ -83,7 +83,7 @@ ARTICLES = f"""articles AS (
     CASE WHEN doc_id % 3 <> 0 THEN 'us' ELSE 'gb' END AS country, source,
     (doc_id * 37 % 10000)::INTEGER AS rank,
     [{text_list(TOPICS)}][(doc_id % 5 + 1)::INTEGER] AS topic,
-    strftime(DATE '2024-01-01' + (doc_id % 30)::INTEGER, '%Y-%m-%d') AS published
+    (DATE '2024-01-01' + (doc_id % 30)::INTEGER)::DATE AS published
   FROM documents)"""
 
 POSTS = """posts AS (
@@ -342,8 +342,8 @@ SEEDED_SWOT = seeded(_named(rp.SWOT_SEEDS))
 SEEDED_PESTLE = seeded(_named({f: rp.PESTLE_SEED for f in PESTLE_FACETS}))
 FOUND = f"""found AS (
   SELECT * FROM articles WHERE lang = 'en' AND country = 'us' AND source IN ({SOURCE_NAMES})
-    AND rank <= {MAX_RANK} AND published::DATE >= DATE '{q.SINCE}'
-    AND published::DATE < DATE '{q.UNTIL}' AND {keywords('summary')}),
+    AND rank <= {MAX_RANK} AND published >= DATE '{q.SINCE}'
+    AND published < DATE '{q.UNTIL}' AND {keywords('summary')}),
 sentences AS (
   SELECT article_id, (generate_subscripts({split('summary')}, 1) - 1)::INTEGER AS pos,
     unnest({split('summary')}) AS sentence
@@ -411,7 +411,7 @@ ORACLE: dict[str, str] = {
     "flt_dates": where(
         "articles",
         "article_id, published",
-        f"published::DATE >= DATE '{q.SINCE}' AND published::DATE < DATE '{q.UNTIL}'",
+        f"published >= DATE '{q.SINCE}' AND published < DATE '{q.UNTIL}'",
         ARTICLES,
     ),
     "flt_topics": where(
@@ -576,8 +576,8 @@ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50
         "articles",
         "*",
         f"lang = 'en' AND country = 'us' AND source IN ({SOURCE_NAMES}) AND "
-        f"rank <= {MAX_RANK} AND published::DATE >= DATE '{q.SINCE}' AND "
-        f"published::DATE < DATE '{q.UNTIL}' AND {keywords('summary')}",
+        f"rank <= {MAX_RANK} AND published >= DATE '{q.SINCE}' AND "
+        f"published < DATE '{q.UNTIL}' AND {keywords('summary')}",
         ARTICLES,
     ),
     "posts_table": ctes(POSTS)

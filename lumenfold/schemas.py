@@ -12,7 +12,7 @@ ARTICLE = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("rank", T.IntegerType()),
         T.StructField("topic", T.StringType()),
-        T.StructField("published", T.StringType()),
+        T.StructField("published", T.DateType()),
     ]
 )
 

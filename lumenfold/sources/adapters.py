@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import EMOTIONS, PESTLE_FACETS, SWOT_FACETS
-from lumenfold.functions.text import first_sentence, iso_date, split_sentences, words
+from lumenfold.functions.text import first_sentence, split_sentences, words
 from lumenfold.operators.lookups import row_count
 from lumenfold.sources.readers import load, spread
 
@@ -30,7 +30,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         "source",
         (F.col("doc_id") * 37 % 10000).cast("int").alias("rank"),
         F.get(topics, (F.col("doc_id") % 5).cast("int")).alias("topic"),
-        iso_date(day).alias("published"),
+        day.alias("published"),
     )
 
 
