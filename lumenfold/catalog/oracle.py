@@ -664,6 +664,9 @@ FROM completed GROUP BY subject, stage""",
     "tx_criteria_tags": "SELECT event_type, '#' || event_type || ' OR #x since:' || "
     "strftime(max(ts)::DATE - 7, '%Y-%m-%d') || ' until:' || strftime(max(ts), '%Y-%m-%d') "
     "|| ' exclude:retweets exclude:replies' AS criteria FROM events GROUP BY event_type",
+    "out_csv_evidence": SWOT_BEST
+    + "SELECT facet, to_json(list(text ORDER BY rk))::VARCHAR AS evidence FROM best GROUP BY facet",
+    "out_parquet_articles": ctes(ARTICLES) + "SELECT * FROM articles",
     "out_json_records": ctes(POSTS)
     + "SELECT to_json({'type': type, 'author': author, 'body': body, 'id': id, "
     "'parent_id': parent_id, 'url': url})::VARCHAR AS record FROM posts",

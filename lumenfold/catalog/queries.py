@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from lumenfold.plans import reports as rp
 from lumenfold.plans import reviews as rv
 from lumenfold.plans import tables as tb
 from lumenfold.sources import adapters as ad
+from lumenfold.session import checkpoint_ready
 from lumenfold.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -790,6 +792,28 @@ def review_tweets(spark, folder):
     return _with_json(review)
 
 
+def _written(df: DataFrame, fmt: str) -> DataFrame:
+    """The table as a writer leaves it in the shared folder, read back."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+    sinks.write_table(df, path, fmt)
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    return reader.format(fmt).load(path)
+
+
+@query
+def out_csv_evidence(spark, folder):
+    """Evidence lists as csv, where they are JSON text."""
+    return _written(rk.evidence_lists(swot_articles(spark, folder), "text"), "csv")
+
+
+@query
+def out_parquet_articles(spark, folder):
+    """Articles written as Parquet and read back."""
+    return _written(ad.articles(spark, folder), "parquet")
+
+
 @query
 def out_json_records(spark, folder):
     return sinks.json_records(
