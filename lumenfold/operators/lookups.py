@@ -14,6 +14,10 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+class TooManyRows(ValueError):
+    """A table that should be a literal has more rows than its bound."""
+
+
 def small_literal(df: DataFrame, max_rows: int, what: str) -> Column:
     """A small table as one literal array of structs, sorted.
 
@@ -30,7 +34,7 @@ def small_literal(df: DataFrame, max_rows: int, what: str) -> Column:
         .first()
     )
     if packed["n"] > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows")
+        raise TooManyRows(f"{what}: more than {max_rows} rows")
     return F.from_json(F.lit(packed["rows"]), T.ArrayType(df.schema))
 
 

@@ -17,7 +17,7 @@ from lumenfold.functions.vectors import (
     term_buckets_sql,
     term_vector,
 )
-from lumenfold.operators.lookups import is_small, lookup_join, small_literal
+from lumenfold.operators.lookups import TooManyRows, lookup_join, small_literal
 
 FACETS = 64  # facets in one literal, or in one block of a larger set
 WEIGHT = "decimal(28, 18)"  # lexicon weights; their sums do not depend on order
@@ -154,8 +154,10 @@ def _with_facets(df: DataFrame, facets: DataFrame) -> DataFrame:
     are cut into blocks of about that size; a row is repeated for every block, as it
     will be for every facet, and joined to it, with the block salted on both sides.
     """
-    if is_small(facets, FACETS):
+    try:
         return df.withColumn("_facets", small_literal(facets, FACETS, "facets"))
+    except TooManyRows:
+        pass
     blocks = -(-facets.count() // FACETS)
     salts = df.sparkSession.sparkContext.defaultParallelism
     block = F.pmod(F.xxhash64("facet"), F.lit(blocks)).cast("int")
