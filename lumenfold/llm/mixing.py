@@ -129,7 +129,7 @@ def demand(celled: DataFrame, offsets: DataFrame, *tie: Column, most: int = MOST
     )
     placed = celled.join(offsets.hint("merge"), ["src", "cell"])
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = placed.withColumn("start", start).drop("offset", "cell", "h")
+    placed = placed.withColumn("start", start).drop("offset", "cell")
     copies = sum(
         (2 * (k * F.col("source_size") + F.col("start")) + F.col("size") <= 2 * F.col("target")).cast("int")
         for k in range(most)
@@ -146,6 +146,43 @@ def position(copy):
     return F.when(s == 0, u).otherwise((s - 1 + root) / (2 * s))
 
 
+def training_order(*tie: Column) -> list[Column]:
+    """What copies are sorted by: the training position, then the digest of the id."""
+    return [F.col("position"), F.col("h"), *tie, F.col("copy")]
+
+
+def each_copy(placed: DataFrame) -> DataFrame:
+    """The rows of ``demand`` once per copy, with ``copy`` and its ``position``."""
+    copies = placed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return copies.withColumn("position", position(F.col("copy")))
+
+
+def schedule(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
+    """One row per copy: ``doc_id, copy, position, rank``.
+
+    ``position`` is the training time from 0 to 1, ``rank`` the place of the copy among
+    all copies, from 0; ``mix`` writes the documents in this order. Ranks are the places in
+    the partitions of a range sort plus one offset per partition.
+    """
+    rows = sized(df, id_col, source_col, text_col)
+    celled = with_cells(rows, source_targets(rows))
+    tie = F.col("doc_id").asc_nulls_last()
+    copies = each_copy(demand(celled, cell_offsets(celled), tie))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(
+        copies.select("doc_id", "copy", "position", "h", "size")
+        .repartitionByRange(parts, *training_order(tie))
+        .sortWithinPartitions(*training_order(tie), "size")
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))  # at most one row per partition
+    offsets = offsets.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
+    rank = (F.col("at") + F.col("offset")).alias("rank")
+    return ranged.join(F.broadcast(offsets), "part").select("doc_id", "copy", "position", rank)
+
+
 def plan(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``, with
     ``copies`` and ``position`` of the first copy (NULL if there is none).
@@ -181,10 +218,8 @@ def mix(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") ->
     facts = _facts(id_col, source_col, text_col)
     docs = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), *(c.alias(n) for n, c in facts.items()))
     tie = [F.col("doc").getField(id_col).asc_nulls_last(), F.xxhash64(F.col("doc").getField(text_col))]
-    placed = demand(with_cells(docs, targets), offsets, *tie).filter("copies > 0")
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    out = placed.withColumn("copy", copy).select("doc", position(F.col("copy")).alias("at"), "copy")
+    copies = each_copy(demand(with_cells(docs, targets), offsets, *tie)).select("doc", "position", "h", "copy")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64(F.col("doc").getField(id_col))
-    ranged = out.repartitionByRange(parts, "at", spread).sortWithinPartitions("at", spread, "copy")
+    ident = F.col("doc").getField(id_col).asc_nulls_last()
+    ranged = copies.repartitionByRange(parts, *training_order(ident)).sortWithinPartitions(*training_order(ident))
     return ranged.select("doc.*")

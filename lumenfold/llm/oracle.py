@@ -52,6 +52,49 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+ORACLE["op10_mixing_order"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
+         [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight,
+         [-0.5, 0.0, 0.5][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS slope
+  FROM d GROUP BY source),
+-- k sources with the lowest cap per weight are held at their cap
+o AS (
+  SELECT *, row_number() OVER w - 1 AS k,
+         coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS caps,
+         (sum(weight) OVER ())::BIGINT
+           - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS free,
+         (sum(source_size) OVER ())::BIGINT AS total
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+u AS (SELECT (total - caps)::DOUBLE / free AS unit FROM o
+      WHERE (total - caps)::DOUBLE / free * weight <= 3 * source_size ORDER BY k LIMIT 1),
+t AS (SELECT s.source, source_size, slope,
+             CASE WHEN unit * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE unit * weight END AS target
+      FROM s, u),
+p AS (
+  SELECT d.doc_id, h, size, source_size, target, slope,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, (2 * (copy * source_size + start) + size) / 2 AS words
+  FROM p, (SELECT unnest([0, 1, 2]) AS copy)
+  WHERE CASE WHEN size = 0 THEN copy = 0 ELSE 2 * (copy * source_size + start) + size <= 2 * target END),
+v AS (
+  SELECT *, least(1.0::DOUBLE, CASE WHEN target > 0 THEN words / target ELSE 0.0 END) AS u FROM c),
+w AS (
+  SELECT *, CASE WHEN slope = 0 THEN u
+                 ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) / (2 * slope) END AS position
+  FROM v)
+SELECT doc_id, copy, position,
+       row_number() OVER (ORDER BY position, h, doc_id NULLS LAST, copy, size) - 1 AS rank
+FROM w
+"""
+
 ORACLE["op7_sharding"] = r"""
 WITH RECURSIVE shards AS (
   SELECT i, printf('shard-%02d', i) AS name FROM range(16) r(i)),

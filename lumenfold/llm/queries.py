@@ -104,6 +104,12 @@ def op10_mixing(spark, folder):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op10_mixing_order(spark, folder):
+    """Training position and rank of every copy that the mix takes."""
+    return mixing.schedule(table(spark, folder, "documents"))
+
+
 @query
 def op3_packing(spark, folder):
     """Every piece of every document and its place."""

@@ -78,6 +78,29 @@ def test_position_inverts_the_integrated_schedule(spark):
         assert r.t + r.slope * (r.t * r.t - r.t) == pytest.approx((r.start + 0.5) / 10)
 
 
+def test_mixing_order_agrees_with_sql_and_needs_the_slopes(spark, folder, monkeypatch):
+    from check import compare, connect
+
+    from lumenfold.llm.oracle import ORACLE
+    from lumenfold.llm.queries import QUERIES
+
+    args = (spark, connect(folder), "op10_mixing_order", QUERIES["op10_mixing_order"], ORACLE["op10_mixing_order"], folder)
+    assert compare(*args) == ""
+    monkeypatch.setattr(mixing, "SLOPES", (0.0, 0.0, 0.0))
+    assert "differ" in compare(*args)
+
+
+def test_mix_writes_copies_by_rank(spark):
+    df = frame(spark, some_rows())
+    order = mixing.schedule(df).orderBy("rank").collect()
+    assert [r.rank for r in order] == list(range(len(order)))
+    assert [r.position for r in order] == sorted(r.position for r in order)
+    first = {r.doc_id: r.position for r in mixing.plan(df).collect() if r.doc_id is not None and r.doc_id > 6}
+    assert all(first[r.doc_id] == r.position for r in order if r.doc_id in first and r.copy == 0)
+    assert [r.doc_id for r in mixing.mix(df).collect()] == [r.doc_id for r in order]
+    assert mixing.schedule(frame(spark, [])).count() == 0
+
+
 # ---- packing ----------------------------------------------------------------
 
 
