@@ -36,8 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in training sequences."""
-    return packing.pack(packing.pieces(docs))
+    """Pieces of documents with their places in training sequences, which are numbered in
+    the order in which the mix wrote the documents."""
+    return packing.pack(packing.pieces(docs, order=packing.file_order(docs)))
 
 
 STAGES = [

@@ -1,10 +1,11 @@
 """Sum-of-squares packing of token sequences.
 
 Documents become token ids and an end id, and are cut into pieces only where they exceed a
-sequence. Full pieces are sequences as they stand. The others are dealt evenly to shards
-of bounded size. A shard places its pieces, longest first, where the sum over all residual
-gaps of the squared number of open sequences with that gap becomes smallest; it knows its
-open sequences by their gap only, so a step costs one vector operation on the counts.
+sequence. Full pieces are sequences as they stand. The others are dealt to shards of bounded
+size that are contiguous ranges of the documents' order. A shard places its pieces, longest
+first, where the sum over all residual gaps of the squared number of open sequences with
+that gap becomes smallest; it knows its open sequences by their gap only, so a step costs
+one vector operation on the counts. Sequences are numbered in the documents' order.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import stored, text_of
@@ -24,6 +25,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a shard on average. A shard wastes a few sequences, whatever its size.
 SHARD = 65_536
+#: Cells of documents that a shard is made of, on average.
+CELLS = 16
+#: Above the number of pieces of a document: a text has fewer than 2 ** 31 bytes.
+PIECES = 1 << 26
 _NEVER = np.int64(1) << 40
 
 
@@ -56,6 +61,18 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
     return seq, off
 
 
+def file_order(df: DataFrame) -> tuple[Column, Column] | None:
+    """The order in which the rows of a Parquet table were written: number and path of the
+    part file, and the row in it. ``df`` must read the table as it is. None if it is no table.
+    """
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    part = F.lpad(F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1), 10, "0")
+    return F.concat(part, F.col("_metadata.file_path")), F.col("_metadata.row_index")
+
+
 def pieces(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -63,21 +80,25 @@ def pieces(
     vocabulary: str | None = None,
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    order: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), and the ids as bytes if wanted.
+    """(doc_id, piece, start, length, ids_crc32), and the ids as bytes if wanted; then the
+    document's place as (file, row), which ``pack`` takes off. ``order`` gives the place,
+    another one for each row; without it, rows are in the order of ``df``.
 
     ``vocabulary`` is the path of a ``tokenizers`` file on the executors; without one,
     each executor asks the installed public vocabularies for ``word_bpe_49k.json``.
     """
-    two = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+    file, row = order or (F.lit(""), F.monotonically_increasing_id())
+    two = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"), file.alias("file"), row.alias("row"))
     kind = two.schema["doc_id"].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["file", "row"]
 
     def cut(batches):
         tokenizer = word_tokens(vocabulary or public_path("word_bpe_49k.json"))
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
+            rows: list[list] = [[] for _ in names[:-2]]
             at: list[int] = []
             for i, text in enumerate(batch.column(1)):
                 ids = tokenizer.ids(text.as_py() or "") + end
@@ -89,11 +110,11 @@ def pieces(
                         column.append(fact)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=False)]
-            docs = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs, *arrays], names=names)
+            docs, files, places = (batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([docs, *arrays, files, places], names=names)
 
     ids = ", ids binary" if with_ids else ""
-    return two.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{ids}")
+    return two.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{ids}, file string, row long")
 
 
 def _pack_shard(capacity: int):
@@ -101,29 +122,50 @@ def _pack_shard(capacity: int):
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if table is None:
             return
-        table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending")])
+        table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending"), ("key", "ascending")])
         seq, off = place(table.column("length").to_numpy(), capacity)
-        shard = np.int64(TaskContext.get().partitionId()) << 32
-        table = table.append_column("sequence_id", pa.array(shard + seq)).append_column("offset", pa.array(off))
+        numbers = pa.array(middle(seq, table.column("key").to_numpy()))
+        table = table.drop_columns("key").append_column("sequence_id", numbers).append_column("offset", pa.array(off))
         yield from table.to_batches(max_chunksize=10_000)
 
     return pack
 
 
+def middle(seq: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For every row, the middle one of the keys of its sequence; sequences count from 0."""
+    by = np.lexsort((key, seq))
+    first = np.searchsorted(seq[by], np.arange(seq.max() + 1))
+    last = np.append(first[1:], len(seq)) - 1
+    return key[by][(first + last) // 2][seq]
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.
 
-    Offsets of a sequence are gapless from 0. Pieces without ids and repeated rows are
-    pieces like any other. An empty table gives no rows.
+    Shards are ranges of the order of ``pieces``, made of whole cells of documents. A
+    sequence is numbered by its middle piece, so ids increase in that order, from shard to
+    shard and inside a shard. Offsets of a sequence are gapless from 0. Pieces without ids
+    and repeated rows are pieces like any other. An empty table gives no rows.
     """
     cut = stored(cut)
-    full = cut.filter(F.col("length") == capacity).withColumns(
-        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
-    )
-    rest = cut.filter(F.col("length") < capacity)
-    shards = max(1, -(-rest.count() // shard))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    packed = rest.repartition(shards).mapInArrow(_pack_shard(capacity), f"{kinds}, sequence_id long, offset long")
+    width = max(1, shard // CELLS)
+    cell = F.floor(F.col("row") / width).alias("cell")
+    order = Window.orderBy("file", "cell")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy("file", cell).agg(F.count_if(F.col("length") < capacity).alias("n"))  # a row for some thousand documents
+    number = (F.row_number().over(order) - 1).cast("long").alias("number")
+    cells = stored(cells.select("file", "cell", "n", number, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard))
+    key = (F.col("number") * width + F.col("row") % width) * PIECES + F.col("piece")
+    names = [c for c in cut.columns if c not in ("file", "row")]
+    keyed = cut.withColumn("cell", cell).join(F.broadcast(cells), ["file", "cell"]).withColumn("key", key)
+    full = keyed.filter(F.col("length") == capacity).select(*names, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(names).schema)
+    rest = keyed.filter(F.col("length") < capacity)
+    at = F.floor(F.col("before") * shards / max(1, total)).cast("int")
+    dealt = rest.select(*names, "key", at.alias("shard")).repartitionById(shards, F.col("shard")).drop("shard")
+    packed = dealt.mapInArrow(_pack_shard(capacity), f"{kinds}, sequence_id long, offset long")
     return packed.unionByName(full)
 
 

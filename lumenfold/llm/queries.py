@@ -113,4 +113,5 @@ def op10_mixing_order(spark, folder):
 @query
 def op3_packing(spark, folder):
     """Every piece of every document and its place."""
-    return packing.pack(packing.pieces(table(spark, folder, "documents")))
+    docs = table(spark, folder, "documents")
+    return packing.pack(packing.pieces(docs, order=packing.file_order(docs)))

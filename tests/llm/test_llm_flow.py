@@ -168,6 +168,34 @@ def test_packing_rows(spark):
     assert packing.pack(packing.pieces(frame(spark, []))).count() == 0
 
 
+def test_packing_keeps_the_order_of_the_mix(spark, tmp_path):
+    rng = random.Random(10)
+    df = frame(spark, [(i, f"w{i} " * rng.randrange(1, 60), rng.choice("abc")) for i in range(400)])
+    mixing.mix(df).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    rank = defaultdict(list)
+    for r in mixing.schedule(df).collect():
+        rank[r.doc_id].append(r.rank)
+
+    def ranks(packed):
+        """Mean rank of the documents of each sequence, in the order of the sequences."""
+        by_seq = defaultdict(list)
+        for r in packed.collect():
+            if len(rank[r.doc_id]) == 1:
+                by_seq[r.sequence_id].append(rank[r.doc_id][0])
+        return [by_seq[k] for k in sorted(by_seq)]
+
+    cut = packing.pieces(mixed, capacity=512, order=packing.file_order(mixed))
+    high = 0
+    for found in ranks(packing.pack(cut, 512, shard=48)):
+        assert max(found) - min(found) <= 64 and min(found) >= high - 64
+        high = max(high, *found)
+    assert high > 300
+    means = [float(np.mean(x)) for x in ranks(corpus_pipeline.pack_sequences(spark, mixed, ""))]
+    assert len(means) > 3 and np.corrcoef(means, range(len(means)))[0, 1] > 0.5
+    assert packing.file_order(df) is None
+
+
 # ---- sharding ---------------------------------------------------------------
 
 
