@@ -216,8 +216,14 @@ def normalise(text: str) -> Tape:
     return tape
 
 
+#: Matches wherever ``normalise`` changes a text: its first two steps are listed as they are;
+#: the third writes at a spaced @ or a dot between words; the fourth at such a dot, at
+#: "plus" before a digit, at "dash" or "minus" before one, or at a spelled digit, which has a
+#: digit on one side. Digits may be spelled; what ends a digit is no letter.
+_ANY_DIGIT = rf"(?:(?:{_WORD_DIGIT})(?!\w)|[0-9])"
 _HINT = re.compile(
-    rf"[^\x00-\x7f¡-¬®-ɏ]|{_OPEN}[\x20]?(?:@|{_AT_WORDS})[\x20]?{_CLOSE}|[\x20_-](?:{_DOT_WORDS})[\x20_-]|[\x20]@|@[\x20]|(?<!\w)(?:{_WORD_DIGIT})[\x20,.-]{{1,2}}(?:{_WORD_DIGIT}|[0-9])(?!\w)|{_OPEN}[\x20]?(?:\.|{_DOT_WORDS})[\x20]?{_CLOSE}",
+    rf"{_ODD.pattern}|{_OPEN}[\x20]?(?:@|{_AT_WORDS}|\.|{_DOT_WORDS})[\x20]?{_CLOSE}|[\x20_-](?:{_DOT_WORDS}|\.)[\x20_-]|[\x20]@|@[\x20]"
+    rf"|(?<!\w)(?:plus[\x20]{{1,2}}{_ANY_DIGIT}|(?:{_WORD_DIGIT})[\x20,.-]{{1,2}}{_ANY_DIGIT})|[\x20](?:dash|minus)[\x20]{_ANY_DIGIT}|[0-9][\x20,.-]{{1,2}}(?:{_WORD_DIGIT})(?!\w)",
     re.I,
 )
 

@@ -174,6 +174,29 @@ def test_disguises_map_back_to_the_source(text):
     assert pii.redact(text) == text[:a] + f"[{kind.upper()}]" + text[b:]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["+one 202 555 0143", "plus 1 202 555 0143", "+1 dash 202 dash 555 dash 0143", "+1 minus 202 555 01 minus 43", "+1 202 55 014 three", "bob@mail . com", "bob at mail . com"],
+)
+def test_disguises_need_no_other_hint(text):
+    (a, b, _), = pii.spans(text)
+    assert (a, b) == (0, len(text))
+
+
+def test_hint_covers_all_that_is_rewritten():
+    rng = random.Random(11)
+    words = "one two sept un null plus dash minus dot punkt at arroba bob mail com it 1 202 555 0143 + @ . , - _ ( ) [ ] é \u017f".split() + ["b​c"]
+    changed = 0
+    for _ in range(60_000):
+        t = "".join(rng.choice(words) + rng.choice(["", " ", " ", " ", "-", "  "]) for _ in range(rng.randrange(1, 10)))
+        if pii.normalise(t).text != t:
+            changed += 1
+            assert pii._HINT.search(t), t
+        if rng.random() < 0.2:
+            assert pii.spans(t) == pii.spans(t + " ’"), t
+    assert changed > 1000
+
+
 @pytest.mark.parametrize("text", ["meet at noon at example.com", "one two three", "look at it. dot", "1, 2, 3, 4, 5", ""])
 def test_plain_text_has_none(text):
     assert pii.spans(text) == []
