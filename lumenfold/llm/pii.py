@@ -229,8 +229,9 @@ _HINT = re.compile(
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
-    """All spans: those of the base rules, and those of the rewritten text that do not
-    overlap a base span of their kind."""
+    """All spans: those of the base rules, and those of the rewritten text that do not lie
+    inside another span of their kind. An identifier disguised in one part has both: its
+    plain part as a base span, and the whole."""
     found = base_spans(text)
     if not _HINT.search(text):
         return found
@@ -240,7 +241,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     taken = {k: [(a, b) for a, b, kind in found if kind == k] for k in KINDS}
     for a, b, kind in base_spans(tape.text):
         lo, hi = tape.source(a, b)
-        if not any(lo < y and x < hi for x, y in taken[kind]):
+        if not any(x <= lo and hi <= y for x, y in taken[kind]):
             found.append((lo, hi, kind))
             taken[kind].append((lo, hi))
     return sorted(set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -280,10 +281,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(text: str, mark: str = "[{}]") -> str:
-    """The text with every span replaced by its kind. Overlaps go to the first span."""
-    out, at = [], 0
+    """The text with every span replaced by its kind. Overlapping spans are replaced as
+    one, by the kind of the longest, the first one among equals."""
+    merged: list[tuple[int, int, int, str]] = []  # start, end, length of the longest, its kind
     for a, b, kind in spans(text):
-        if a >= at:
-            out += [text[at:a], mark.format(kind.upper())]
-            at = b
+        if merged and a < merged[-1][1]:
+            start, end, most, named = merged.pop()
+            merged.append((start, max(end, b), *((b - a, kind) if b - a > most else (most, named))))
+        else:
+            merged.append((a, b, b - a, kind))
+    out, at = [], 0
+    for a, b, _, kind in merged:
+        out += [text[at:a], mark.format(kind.upper())]
+        at = b
     return "".join(out) + text[at:]

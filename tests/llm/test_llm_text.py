@@ -183,6 +183,23 @@ def test_disguises_need_no_other_hint(text):
     assert (a, b) == (0, len(text))
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "plain"),
+    [
+        ("john dot smith@mail.com", "email", "smith@mail.com"),
+        ("jane@mail.co dot uk", "email", "jane@mail.co"),
+        ("аlice@mail.com", "email", "lice@mail.com"),
+        ("+1 202 555 014 three", "phone", "+1 202 555 014"),
+    ],
+)
+def test_partly_disguised_identifiers_are_whole(text, kind, plain):
+    at = text.index(plain)
+    want = {(0, len(text), kind), (at, at + len(plain), kind)}
+    assert set(pii.spans(f"{text}, ok")) == want and len(pii.spans(text)) == 2
+    assert set(pii.base_spans(text)) <= set(pii.spans(text))
+    assert pii.redact(f"to {text}, ok") == f"to [{kind.upper()}], ok"
+
+
 def test_hint_covers_all_that_is_rewritten():
     rng = random.Random(11)
     words = "one two sept un null plus dash minus dot punkt at arroba bob mail com it 1 202 555 0143 + @ . , - _ ( ) [ ] é \u017f".split() + ["b​c"]
