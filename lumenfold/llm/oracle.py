@@ -117,3 +117,66 @@ FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1
       FROM documents)
 JOIN slots USING (slot) JOIN shards USING (i)
 """
+
+
+def _tree(name: str, group: str, levels: int) -> str:
+    """Levels 0 to ``levels`` of the trees in ``{name}0`` (group, pos, h); a root stays as it is."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}{k + 1} AS (
+  SELECT {group}, pos // 8 AS pos,
+         CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h,
+         (max(n) + 7) // 8 AS n
+  FROM {name}{k} GROUP BY {group}, pos // 8)""")
+    return ",".join(out)
+
+
+def _climb(name: str, start: str, match: str, levels: int, carried: str) -> str:
+    """Proof and folded digest of every row of ``start`` along the levels of ``name``."""
+    out, last = [], start
+    for k in range(levels):
+        now = f"{start}_{k + 1}"
+        out.append(f"""
+{now}_s AS (
+  SELECT s.row, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.pos), '') AS l,
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.pos), '') AS r, max(t.n) AS n
+  FROM {last} s JOIN {name}{k} t ON {match} AND t.pos // 8 = s.pos // 8 GROUP BY s.row),
+{now} AS (
+  SELECT {carried}, s.row, s.pos // 8 AS pos, proof || l || r AS proof,
+         CASE WHEN x.n > 1 THEN sha256(l || fold || r) ELSE fold END AS fold
+  FROM {last} s JOIN {now}_s x ON s.row = x.row)""")
+        last = now
+    return ",".join(out)
+
+
+def _leaf(text: str) -> str:
+    part = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')".format
+    return "sha256(" + " || ".join(map(part, ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text])) + ")"
+
+
+#: Levels that the SQL lays out: enough for 8 ** 7 rows of a language and 8 ** 3 languages.
+_HIGH, _WIDE = 7, 3
+
+ORACLE["op13_merkle"] = f"""
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+-- Decimal ids are short ASCII texts.
+d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf("text")} AS leaf,
+         {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+         coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS changed
+  FROM documents, crcs),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t0 AS (SELECT lang, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed),{_tree("t", "lang", _HIGH)},
+u0 AS (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS n FROM t{_HIGH}),{_tree("u", "one", _WIDE)},
+f AS (SELECT doc_id, lang, leaf, row, pos, '' AS proof, CASE WHEN changed THEN other ELSE leaf END AS fold FROM placed),{_climb("t", "f", "t.lang IS NOT DISTINCT FROM s.lang", _HIGH, "doc_id, s.lang, leaf")},
+g AS (
+  SELECT doc_id, s.lang, leaf, row, u0.pos, u0.h AS subroot, proof, fold
+  FROM f_{_HIGH} s JOIN u0 ON u0.lang IS NOT DISTINCT FROM s.lang),{_climb("u", "g", "true", _WIDE, "doc_id, lang, leaf, subroot")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+FROM g_{_WIDE}, u{_WIDE}
+"""

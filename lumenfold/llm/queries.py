@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, fertility, html_crf, mixing, packing, pii, sharding, simhash, token_counts, toxicity
+from lumenfold.llm import exact_dedup, fertility, html_crf, merkle, mixing, packing, pii, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +115,10 @@ def op3_packing(spark, folder):
     """Every piece of every document and its place."""
     docs = table(spark, folder, "documents")
     return packing.pack(packing.pieces(docs, order=packing.file_order(docs)))
+
+
+@query
+def op13_merkle(spark, folder):
+    """Leaf, proof and folded root of every document after tampering with a third of them."""
+    found = merkle.manifest(table(spark, folder, "documents"), merkle.tampered())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
