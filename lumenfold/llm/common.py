@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are neither a blank nor one of \t \n \v \f \r.
@@ -14,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than this share of the rows is hot. At most 1 / HOT_SHARE keys
 #: can be hot, which is the bound on what ``hot_join`` broadcasts.
 HOT_SHARE = 1 / 500
+#: Bits of Spark's row numbers that count inside a partition.
+INSIDE = 33
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,3 +90,43 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str
     rest = first.filter(~is_hot).drop("__hot").join(cold, same, how).drop(*marked)
     met = first.filter(is_hot).drop("__hot").join(F.broadcast(hot.drop(n, "__hot")), same).drop(*marked)
     return rest.unionByName(met)
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Stored rows with ``pos``, their place in their group from 0, and ``n``, its size.
+
+    Rows are sorted by range over all tasks, so that a group of any size is spread; one
+    count per partition and group gives the offsets. A group has at most one such count
+    in each partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in (*group, *order)]
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else rows
+    dealt = stored(dealt.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", INSIDE)
+    counts = dealt.groupBy(part.alias("_part"), *(F.col(g).alias(f"_{g}") for g in group)).agg(
+        F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_k")
+    )
+    whole = Window.partitionBy(*(f"_{g}" for g in group))
+    before = F.sum("_k").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = stored(counts.select("*", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("n")))
+    same = part == F.col("_part")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    met = dealt.join(counts, same).withColumn("pos", F.col("_row") - F.col("_low") + F.col("_before"))
+    return stored(met.select(*rows.columns, "pos", "n"))
+
+
+def blocks(batches, starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.Table]:
+    """Whole blocks of sorted rows; a block may run on over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        edges = [0, *np.flatnonzero(starts(batch)).tolist(), batch.num_rows]
+        for k, (lo, hi) in enumerate(pairwise(edges)):
+            if k and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -16,22 +16,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored
+from lumenfold.llm.common import blocks, ranked, stored
 
 #: Children of a node, and levels of an aligned block.
 WIDTH, LEVELS = 8, 4
 BLOCK = WIDTH**LEVELS
 #: Columns of a leaf in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Bits of a row number that count inside a partition.
-INSIDE = 33
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,31 +51,6 @@ def chosen(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string")) % 3 == 0, F.lit(False))
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Stored rows with ``pos``, their place in their group from 0, and ``n``, its size.
-
-    Rows are sorted by range over all tasks, so that a group of any size is spread; one
-    count per partition and group gives the offsets. A group has at most one such count
-    in each partition.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(c) for c in (*group, *order)]
-    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else rows
-    dealt = stored(dealt.withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", INSIDE)
-    counts = dealt.groupBy(part.alias("_part"), *(F.col(g).alias(f"_{g}") for g in group)).agg(
-        F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_k")
-    )
-    whole = Window.partitionBy(*(f"_{g}" for g in group))
-    before = F.sum("_k").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = stored(counts.select("*", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("n")))
-    same = part == F.col("_part")
-    for g in group:
-        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
-    met = dealt.join(counts, same).withColumn("pos", F.col("_row") - F.col("_low") + F.col("_before"))
-    return stored(met.select(*rows.columns, "pos", "n"))
-
-
 # ---- one block --------------------------------------------------------------
 
 
@@ -123,26 +94,11 @@ def fold(node: str, siblings: list[str]) -> list[str]:
     return out
 
 
-def _blocks(batches, starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.Table]:
-    """Whole blocks of sorted rows; a block may run on over several batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        edges = [0, *np.flatnonzero(starts(batch)).tolist(), batch.num_rows]
-        for k, (lo, hi) in enumerate(pairwise(edges)):
-            if k and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            if hi > lo:
-                held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 # ---- up and down the tiers --------------------------------------------------
 
 
 def _up(batches):
-    for block in _blocks(batches, lambda b: b.column("pos").to_numpy() % BLOCK == 0):
+    for block in blocks(batches, lambda b: b.column("pos").to_numpy() % BLOCK == 0):
         n, first = block.column("n")[0].as_py(), block.column("pos")[0].as_py()
         levels = grow(block.column("digest").to_pylist(), height(n))
         rows = [(k, first // WIDTH**k + i, d) for k, nodes in enumerate(levels) if k for i, d in enumerate(nodes)]
@@ -216,7 +172,7 @@ def trace(tiers: list[DataFrame], starts: DataFrame, last: Callable, kinds: str,
 def led(batches) -> Iterator[tuple[pa.Table, list[list[str]], list[str], str, int]]:
     """The blocks of ``trace``: rows, levels, the path above the block, its info, and the
     place of its first leaf."""
-    for block in _blocks(batches, lambda b: b.column("pos").to_numpy() == -1):
+    for block in blocks(batches, lambda b: b.column("pos").to_numpy() == -1):
         above, info, rows = block.column("above")[0].as_py(), block.column("info")[0].as_py(), block.slice(1)
         levels = grow(rows.column("digest").to_pylist(), height(rows.column("n")[0].as_py()))
         yield rows, levels, above, info, rows.column("pos")[0].as_py()

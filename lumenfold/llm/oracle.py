@@ -158,16 +158,24 @@ def _leaf(text: str) -> str:
 #: Levels that the SQL lays out: enough for 8 ** 7 rows of a language and 8 ** 3 languages.
 _HIGH, _WIDE = 7, 3
 
-ORACLE["op13_merkle"] = f"""
-WITH crcs AS (
+#: The table of CRC-32, and the checksum of a short ASCII text.
+_CRCS = """crcs AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
-           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
--- Decimal ids are short ASCII texts.
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+ORACLE["op13_merkle"] = f"""
+WITH {_CRCS},
 d AS (
   SELECT row_number() OVER () AS row, doc_id, lang, {_leaf("text")} AS leaf,
          {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
-         coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
-           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS changed
+         coalesce({_crc("doc_id::VARCHAR")} % 3 = 0, false) AS changed
   FROM documents, crcs),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
@@ -180,3 +188,72 @@ g AS (
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
 FROM g_{_WIDE}, u{_WIDE}
 """
+
+ORACLE["op12_conversations"] = f"""
+WITH RECURSIVE {_CRCS},
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE kind <> 0),
+-- A conversation is named by a text, so that NULL is one like any other.
+placed AS (
+  SELECT coalesce(conv_id::VARCHAR, 'none') AS c, turn, role, text, substr(role, 1, 1) AS initial,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER w - 1 AS i, lead(substr(role, 1, 1)) OVER w AS ahead
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS (
+  SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2
+                   WHEN substr(body, -1, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault
+  FROM placed),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (initial || ahead NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY c),
+-- Up to two inserted rows lead from one state to another.
+ins(a, b, more, price) AS (VALUES ('', '', '', 0), ('s', 's', '', 0), ('u', 'u', '', 0), ('a', 'a', '', 0),
+  ('', 'u', 'I', 5), ('', 'a', 'II', 10), ('s', 'u', 'I', 5), ('s', 'a', 'II', 10), ('u', 'a', 'I', 5), ('a', 'u', 'I', 5)),
+asks(a, b) AS (VALUES ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+-- The least (cost, edits) of every state after each row.
+walk AS (
+  SELECT c, 0 AS i, '' AS state, {{'cost': 0, 'audit': ''}} AS best FROM counts
+  UNION ALL
+  SELECT c, i + 1, x.state, min({{'cost': x.cost, 'audit': x.audit}}) FROM (
+    SELECT w.c, w.i, unnest([
+        {{'state': ins.b, 'cost': w.best.cost + price + 2, 'audit': w.best.audit || more || 'D'}},
+        CASE WHEN fault NOT IN (1, 2) THEN
+          {{'state': asks.b, 'cost': w.best.cost + price + 1 + CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'audit': w.best.audit || more || 'R'}} END,
+        CASE WHEN fault NOT IN (1, 2) AND (initial = asks.b OR (initial = 's' AND ins.b = '')) THEN
+          {{'state': initial, 'cost': w.best.cost + price + CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'audit': w.best.audit || more || 'K'}} END]) AS x
+    FROM walk w JOIN ins ON ins.a = w.state JOIN asks ON asks.a = ins.b JOIN r ON r.c = w.c AND r.i = w.i)
+  WHERE x IS NOT NULL GROUP BY c, i, x.state),
+done AS (
+  SELECT w.c, min({{'cost': w.best.cost + price, 'audit': w.best.audit || more}}) AS best
+  FROM walk w JOIN counts n ON n.c = w.c AND n.n = w.i JOIN ins ON ins.a = w.state AND ins.b IN ('', 'a') GROUP BY w.c),
+steps AS (
+  SELECT c, unnest(string_split(best.audit, '')) AS edit, generate_subscripts(string_split(best.audit, ''), 1) AS nr
+  FROM done WHERE best.audit <> ''),
+read AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w - 1 AS i, count(*) FILTER (edit <> 'D') OVER w AS place
+  FROM steps WINDOW w AS (PARTITION BY c ORDER BY nr)),
+told AS (
+  SELECT s.c, s.nr, s.edit, s.place, r.role, r.text,
+         coalesce(max((s.place = 1 AND s.edit = 'K' AND r.initial = 's')::INT) OVER (PARTITION BY s.c), 0) AS led
+  FROM read s LEFT JOIN r ON r.c = s.c AND r.i = s.i AND s.edit <> 'I' WHERE s.edit <> 'D'),
+texts AS (
+  SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                       || ':' || coalesce(text, ''), chr(10) ORDER BY nr) AS body
+  FROM told GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS c FROM conversations) o
+LEFT JOIN counts USING (c) LEFT JOIN done USING (c) LEFT JOIN texts USING (c)
+"""

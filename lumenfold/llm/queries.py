@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact_dedup, fertility, html_crf, merkle, mixing, packing, pii, sharding, simhash, token_counts, toxicity
+from lumenfold.llm import (
+    conversations,
+    credentials,
+    exact_dedup,
+    fertility,
+    html_crf,
+    merkle,
+    mixing,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,6 +131,24 @@ def op3_packing(spark, folder):
     return packing.pack(packing.pieces(docs, order=packing.file_order(docs)))
 
 
+@query
+def op11_secrets(spark, folder):
+    """Counts, digest and spans of the secrets of every document."""
+    found = credentials.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(f"n_{k}" for k in credentials.KINDS),
+        F.sha2(_listed("base"), 256).alias("base_sha256"),
+        _listed("spans").alias("spans"),
+    )
+
+
+@query
+def op12_conversations(spark, folder):
+    """Faults, least repair and its digest of every conversation."""
+    return conversations.audit(table(spark, folder, "conversations"))
+
+
 @query
 def op13_merkle(spark, folder):
     """Leaf, proof and folded root of every document after tampering with a third of them."""
