@@ -25,6 +25,8 @@ from lumenfold.fixed import (
     TOPIC_GROUPS,
     palette_rows,
 )
+from lumenfold.operators import emotion as em
+from lumenfold.operators import sentiment_rules as sr
 from lumenfold.plans import reports as rp
 from lumenfold.sources.adapters import TOPICS
 
@@ -304,13 +306,105 @@ lists AS (SELECT id, list(d ORDER BY emotion) AS d FROM centred GROUP BY id),
 coordinates AS (SELECT id, {placed} FROM lists, e1, e2, e3)"""
 
 
+def times(a: str, b: str) -> str:
+    """The product of two matrices as lists of rows, the second one symmetric."""
+    return f"list_transform({a}, lambda r: list_transform({b}, lambda c: list_dot_product(r, c)))"
+
+
+def fisher(n: int) -> str:
+    """Axis n: the direction of most scatter between labels, of length one and at right
+    angles to the earlier ones as the scatter within labels measures it."""
+    found = "u"
+    for k in range(1, n):
+        found = f"list_transform({found}, lambda x, i: x - f{k}.v[i] * list_dot_product(f{k}.wv, u))"
+    return f"""q{n} AS (
+  SELECT 0 AS step, list_transform(range({len(EMOTIONS)}), lambda x: 1.0::DOUBLE / (1 + x)) AS v
+  UNION ALL
+  SELECT step + 1, list_transform(d, lambda x: x / sqrt(list_dot_product(d, list_transform(w, lambda r: list_dot_product(r, d)))))
+  FROM (SELECT step, w, {found} AS d
+        FROM (SELECT step, list_transform(x, lambda r: list_dot_product(r, list_transform(b, lambda s: list_dot_product(s, q{n}.v)))) AS u
+              FROM q{n}, inverse, between_m WHERE step < 3000), within_m{"".join(f", f{k}" for k in range(1, n))})),
+f{n} AS (
+  SELECT v, list_transform(w, lambda r: list_dot_product(r, v)) AS wv, list_transform(v, lambda x: abs(x)) AS a
+  FROM q{n}, within_m WHERE step = 3000)"""
+
+
+def fisher_axes(rows: str) -> str:
+    """Coordinates (id, x, y, z) of the ids in ``rows`` (id, top_emotion), fitted on them."""
+    placed = ", ".join(
+        f"round(list_dot_product(d, {a}.v) * sign({a}.v[list_position({a}.a, list_max({a}.a))]), {q.SIM_DIGITS})"
+        f" + 0.0 AS {x}"
+        for a, x in (("f1", "x"), ("f2", "y"), ("f3", "z"))
+    )
+    size = len(EMOTIONS)
+    return f"""placed AS (
+  SELECT id, top_emotion, emotion, score - avg(score) OVER (PARTITION BY top_emotion, emotion) AS inner_d,
+    score - avg(score) OVER (PARTITION BY emotion) AS d
+  FROM scores JOIN (SELECT id, top_emotion FROM {rows}) USING (id)),
+total AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM placed),
+scatter AS (
+  SELECT a.emotion AS i, b.emotion AS j, sum(a.inner_d * b.inner_d) / any_value(n) AS w,
+    sum((a.d - a.inner_d) * (b.d - b.inner_d)) / any_value(n) AS b
+  FROM placed a JOIN placed b USING (id), total GROUP BY ALL),
+ridge AS (SELECT {em.RIDGE} * sum(w) / {size} AS e FROM scatter WHERE i = j),
+scatter_rows AS (
+  SELECT i, list(w + CASE WHEN i = j THEN e ELSE 0 END ORDER BY j) AS w, list(b ORDER BY j) AS b
+  FROM scatter, ridge GROUP BY i),
+within_m AS (SELECT list(w ORDER BY i) AS w FROM scatter_rows),
+between_m AS (SELECT list(b ORDER BY i) AS b FROM scatter_rows),
+newton AS (
+  SELECT 0 AS step, list_transform(w, lambda r: list_transform(r, lambda x: x / m / m)) AS x
+  FROM within_m, (SELECT list_max(list_transform(w, lambda r: list_sum(list_transform(r, lambda x: abs(x))))) AS m FROM within_m)
+  UNION ALL
+  SELECT step + 1, list_transform(y, lambda r, i: list_transform(r, lambda t, j: x[i][j] + x[j][i] - t))
+  FROM (SELECT step, x, {times(times("x", "w"), "x")} AS y FROM newton, within_m WHERE step < 60)),
+inverse AS (SELECT x FROM newton WHERE step = 60),
+{fisher(1)},
+{fisher(2)},
+{fisher(3)},
+lists AS (SELECT id, list(d ORDER BY emotion) AS d FROM placed GROUP BY id),
+coordinates AS (SELECT id, {placed} FROM lists, f1, f2, f3)"""
+
+
+# Known words of every sentence with their places, and one step of the rules.
+RULED = f"""{SENTIMENT},
+rules AS (
+  SELECT term, {digits('term', 17)} % 40 AS kind, ({digits('term', 25)} % 11 + 5) / 10.0::DOUBLE AS factor FROM vocabulary),
+known AS (
+  SELECT l.term, CASE WHEN kind < 3 THEN least(kind, 1) ELSE 2 END AS kind,
+    CASE WHEN kind = 0 THEN 0.0 WHEN kind < 3 THEN factor ELSE p / 100.0::DOUBLE END AS p,
+    CASE WHEN kind < 3 THEN 0.0 ELSE s / 100.0::DOUBLE END AS s
+  FROM lexicon l JOIN rules USING (term)),
+pieces AS (
+  SELECT article_id, pos, list_filter({words('text')}, lambda w: w <> '') AS ws FROM cleaned),
+placed AS (
+  SELECT article_id, pos, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS place FROM pieces),
+found AS (
+  SELECT article_id, pos, list({{'p': p::DOUBLE, 's': s::DOUBLE, 'n': 0, 'boost': 1.0::DOUBLE, 'reach': 0,
+    'place': place::BIGINT, 'kind': kind::BIGINT}} ORDER BY place) AS hits
+  FROM placed JOIN known USING (term) GROUP BY article_id, pos),
+folded AS (
+  SELECT article_id, pos, list_reduce(hits, lambda z, w: CASE
+    WHEN w.kind = 0 THEN {{'p': z.p, 's': z.s, 'n': z.n, 'boost': 1.0::DOUBLE, 'reach': {sr.REACH}, 'place': w.place, 'kind': w.kind}}
+    WHEN w.kind = 1 THEN {{'p': z.p, 's': z.s, 'n': z.n,
+      'boost': CASE WHEN w.place - z.place > 1 THEN 1.0 ELSE z.boost END * w.p,
+      'reach': greatest(0, z.reach - (w.place - z.place - 1)), 'place': w.place, 'kind': w.kind}}
+    ELSE {{
+      'p': z.p + greatest(-1.0, least(1.0, w.p * CASE WHEN w.place - z.place > 1 THEN 1.0::DOUBLE ELSE z.boost END
+           * CASE WHEN z.reach - (w.place - z.place - 1) > 0 THEN {sr.TURNED}::DOUBLE ELSE 1.0::DOUBLE END)),
+      's': z.s + least(1.0, w.s * CASE WHEN w.place - z.place > 1 THEN 1.0::DOUBLE ELSE z.boost END),
+      'n': z.n + 1, 'boost': 1.0::DOUBLE, 'reach': 0, 'place': w.place, 'kind': w.kind}} END,
+    {{'p': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'n': 0, 'boost': 1.0::DOUBLE, 'reach': 0, 'place': -1::BIGINT, 'kind': 2::BIGINT}}) AS z
+  FROM found)"""
+
+
 def where(table: str, columns: str, condition: str, *parts: str) -> str:
     return ctes(*parts) + f"SELECT {columns} FROM {table} WHERE {condition}"
 
 
 SOURCE_NAMES = text_list(s.strip() for s in q.SOURCES.split(","))
 TAG_NAMES = text_list(t.strip().removeprefix("#") for t in q.TAGS.split(","))
-TAGGED = f"list_has_any(regexp_extract_all(lower(text), '#(\\w+)', 1), [{TAG_NAMES}])"
+TAGGED = f"list_has_any(regexp_extract_all(lower(text), '#([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', 1), [{TAG_NAMES}])"
 GROUP_TOPICS = text_list(t for g in q.GROUPS for t in TOPIC_GROUPS[g])
 USERNAME = q.USER.removeprefix("@")
 
@@ -389,9 +483,10 @@ ORACLE: dict[str, str] = {
     " FROM posts",
     "src_tweets": ctes(TWEETS) + "SELECT * FROM tweets",
     "src_similarity_long": ctes(CENTROIDS)
-    + "SELECT centroids.label::VARCHAR AS src_a, vec_id::VARCHAR AS src_b, "
-    f"round(list_cosine_similarity(c, embedding::DOUBLE[]), {q.SIM_DIGITS}) AS sim "
-    "FROM centroids CROSS JOIN embeddings WHERE vec_id < 6",
+    + ", classes AS (SELECT f, list(x ORDER BY i) AS d FROM "
+    "(SELECT vec_id % 6 AS f, i, avg(x) AS x FROM axes GROUP BY ALL) GROUP BY f) "
+    "SELECT label::VARCHAR AS src_a, f::VARCHAR AS src_b, "
+    f"round(list_cosine_similarity(c, d), {q.SIM_DIGITS}) AS sim FROM centroids CROSS JOIN classes",
     # filters
     "kw_title": where("articles", "article_id, title", keywords("title"), ARTICLES),
     "kw_phrase": where(
@@ -401,6 +496,7 @@ ORACLE: dict[str, str] = {
         f"{has_term('summary', 'and the')})",
         ARTICLES,
     ),
+    "kw_index": where("articles", "article_id, source", keywords("summary"), ARTICLES),
     "kw_summary": where("articles", "article_id, source", keywords("summary"), ARTICLES),
     "flt_lang": where("articles", "article_id, lang", "lang = 'en'", ARTICLES),
     "flt_country": where("articles", "article_id, country", "country = 'us'", ARTICLES),
@@ -484,6 +580,14 @@ ORACLE: dict[str, str] = {
     "embedding::DOUBLE[], c.c) AS sim FROM embeddings CROSS JOIN centroids c), "
     + best(PESTLE_K, "vec_id")
     + f" SELECT facet, rk, vec_id, round(sim, {q.SIM_DIGITS}) AS sim FROM best",
+    "tx_polarity_rules": ctes(SENTENCES, RULED)
+    + ", ".join(
+        [
+            "SELECT c.article_id, c.pos",
+            *(f"round(CASE WHEN z.n > 0 THEN z.{a} / z.n ELSE 0.0 END, {q.SIM_DIGITS}) + 0.0 AS {b}" for a, b in (("p", "polarity"), ("s", "subjectivity"))),
+        ]
+    )
+    + " FROM cleaned c LEFT JOIN folded USING (article_id, pos)",
     "em_scores": ctes(EMOTION) + "SELECT id, emotion, score FROM scores",
     "em_model": ctes(POSTS)
     + f""", usable AS (
@@ -555,6 +659,11 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, emotion) = 1""",
     + "SELECT id, top_emotion, code FROM topped JOIN counts USING (top_emotion)",
     "em_top10": ctes(EMOTION)
     + "SELECT id, top_emotion FROM topped SEMI JOIN kept USING (top_emotion)",
+    "em_axes": ctes(EMOTION, fisher_axes("topped")).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT id, x, y, z FROM coordinates",
+    "em_palette": ctes(EMOTION)
+    + ", own AS (SELECT emotion AS top_emotion, '#' || upper(substr(md5(min(term)), 1, 6)) AS colour FROM lexicon GROUP BY emotion) "
+    "SELECT id, top_emotion, colour FROM topped LEFT JOIN own USING (top_emotion)",
     "em_colours": ctes(EMOTION)
     + "SELECT id, top_emotion, colour FROM topped LEFT JOIN palette USING (top_emotion)",
     "em_labels": ctes(EMOTION)
@@ -681,3 +790,10 @@ ORACLE["em_plot_table"] = ctes(
     axes("staying"),
     "labels AS (" + ORACLE["em_labels"].removeprefix(ctes(EMOTION)) + ")",
 ).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * FROM labels JOIN coordinates USING (id)"
+ORACLE["em_plot_supervised"] = ctes(
+    EMOTION,
+    "staying AS (SELECT id, top_emotion FROM topped SEMI JOIN kept USING (top_emotion))",
+    fisher_axes("staying"),
+    "labels AS (" + ORACLE["em_labels"].removeprefix(ctes(EMOTION)) + ")",
+).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * FROM labels JOIN coordinates USING (id)"
+ORACLE["knn_graph"] = ORACLE["knn_exact"].replace("WHERE a.vec_id % 50 = 0 ", "")

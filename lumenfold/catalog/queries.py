@@ -8,16 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.fixed import EMOTIONS, PAGE_SIZE, PESTLE_K
+from lumenfold.fixed import EMOTIONS, PAGE_SIZE, PESTLE_K, SWOT_ARTICLES_K
 from lumenfold.functions import text as tx
 from lumenfold.functions.vectors import dot_buckets_sql, first_max, term_buckets_sql
 from lumenfold.operators import emotion as em
 from lumenfold.operators import filters as fl
 from lumenfold.operators import ranking as rk
 from lumenfold.operators import scoring as sc
+from lumenfold.operators import keyword_index as ki
+from lumenfold.operators import semantic as sem
 from lumenfold.operators.lookups import small_literal
 from lumenfold.operators.models import emotion_model, encode_model
+from lumenfold.operators.neighbour_graph import knn_graph as graph_of
 from lumenfold.operators.neighbours import knn, nearest
+from lumenfold.operators.sentiment_rules import ruled_scores
 from lumenfold.plans import emotion_map as maps
 from lumenfold.plans import evidence as ev
 from lumenfold.plans import reports as rp
@@ -109,10 +113,10 @@ def src_tweets(spark, folder):
 
 @query
 def src_similarity_long(spark, folder):
-    """Outlet centroids with the first six vectors as a wide matrix → long form."""
+    """Outlet centroids with the means of six classes of vectors as a wide matrix → long form."""
     vectors = ad.vectors(spark, folder)
     centroids = sc.source_centroids(vectors, "label", "embedding")
-    facets = vectors.filter("vec_id < 6").select(F.col("vec_id").alias("facet"), "embedding")
+    facets = sc.source_centroids(vectors.withColumn("facet", F.col("vec_id") % 6), "facet", "embedding")
     long = sc.score_dense(centroids, ["label"], "embedding", facets)
     wide = long.groupBy("label").pivot("facet", list(range(6))).agg(F.first("sim"))
     return readers.unpivot_similarity(wide, "label").select(
@@ -375,6 +379,43 @@ def tx_subjectivity(spark, folder):
     )
 
 
+@query
+def tx_polarity_rules(spark, folder):
+    """Polarity and subjectivity with negation and intensifiers."""
+    found = ruled_scores(
+        ev.clean_sentences(ad.articles(spark, folder)),
+        ["article_id", "pos"],
+        "text",
+        ad.sentiment_lexicon(spark, folder),
+        ad.modifiers(spark, folder),
+        cleaned=True,
+    )
+    rounded = [(F.round(c, SIM_DIGITS) + 0.0).alias(c) for c in ("polarity", "subjectivity")]
+    return found.select("article_id", "pos", *rounded)
+
+
+def _semantic(spark, folder):
+    """Cleaned sentences, and the encoder fitted on them."""
+    sentences = ev.clean_sentences(ad.articles(spark, folder))
+    return sentences, sem.fit_semantic(sentences, "text", cleaned=True)
+
+
+@query
+def enc_semantic(spark, folder):
+    """Every sentence on the latent axes of all sentences."""
+    sentences, model = _semantic(spark, folder)
+    placed = sem.encode_semantic(sentences, ["article_id", "pos"], "text", model)
+    return placed.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, SIM_DIGITS) + 0.0))
+
+
+@query
+def swot_semantic(spark, folder):
+    """The SWOT evidence of articles by the semantic encoder."""
+    sentences, model = _semantic(spark, folder)
+    best = sem.semantic_evidence(sentences, ["article_id", "pos"], "text", ad.swot_seeds(spark, folder), model, SWOT_ARTICLES_K)
+    return best.withColumn("sim", F.round("sim", SIM_DIGITS))
+
+
 @query
 def enc_terms(spark, folder):
     return sc.encode_terms(
@@ -680,6 +721,53 @@ def em_plot_table(spark, folder):
     return _rounded(plot)
 
 
+@query
+def em_axes(spark, folder):
+    """The supervised layout: score lists on the axes that hold the labels apart."""
+    topped = em.top_emotion(_scored_posts(spark, folder))
+    return _rounded(em.project_by_label(topped, "score", "top_emotion").select("id", "x", "y", "z"))
+
+
+@query
+def em_plot_supervised(spark, folder):
+    """The plot table in the supervised layout."""
+    plot = maps.emotion_map(
+        ad.posts(spark, folder),
+        ad.emotion_lexicon(spark, folder),
+        readers.default_palette(spark),
+        supervised=True,
+        threshold=THRESHOLD,
+    )
+    return _rounded(plot)
+
+
+@query
+def em_palette(spark, folder):
+    """Colours from a palette that was written as csv and read back."""
+    path = _path(spark)
+    sinks.write_table(ad.palette(spark, folder), path, "csv")
+    return em.emotion_colour(_topped(spark, folder), readers.read_emotion_palette(spark, path))
+
+
+@query
+def kw_index(spark, folder):
+    """The keyword search through a positional index of the summaries."""
+    articles = ad.articles(spark, folder)
+    path = _path(spark)
+    ki.write_index(articles, "article_id", "summary", path)
+    return ki.matching(articles, "article_id", path, KEYWORDS, "summary").select("article_id", "source")
+
+
+@query
+def knn_graph(spark, folder):
+    """Neighbours of every vector; exact for as few as the SQL can compare."""
+    found = graph_of(ad.vectors(spark, folder))
+    return found.select(
+        "id", "neighbour", F.col("rk").cast("long").alias("rk"),
+        F.round("dist2", SIM_DIGITS).alias("dist2"),
+    )
+
+
 @query
 def knn_exact(spark, folder):
     """Neighbours of every vector whose id is divisible by 50, among all vectors."""
@@ -792,11 +880,15 @@ def review_tweets(spark, folder):
     return _with_json(review)
 
 
+def _path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame, fmt: str) -> DataFrame:
     """The table as a writer leaves it in the shared folder, read back."""
-    spark = df.sparkSession
-    checkpoint_ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, _path(df.sparkSession)
     sinks.write_table(df, path, fmt)
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     return reader.format(fmt).load(path)

@@ -69,8 +69,8 @@ def words(c: Column | str, cleaned: bool = False) -> Column:
 
 
 def hashtags_in(c: Column | str) -> Column:
-    """Hashtags of a text, lower case, without the '#'."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"#(\w+)"), 1)
+    """Hashtags of a text, lower case, without the '#'; letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"#([\p{L}\p{M}\p{N}_]+)"), 1)
 
 
 def normalise_hashtags(c: Column | str) -> Column:

@@ -88,6 +88,65 @@ def project_3d(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumns(axes)
 
 
+RIDGE = 0.01  # of the mean variance within labels, added to each direction
+
+
+def fisher_axes(df: DataFrame, vector: str, label: str, ridge: float = RIDGE) -> tuple[list[list[float]], list[float]]:
+    """Up to three axes along which labels lie furthest apart, and the mean of all vectors.
+
+    One aggregate leaves, per label, its mean vector and mean products, a table whose
+    size is that of the label set; the driver solves the generalised eigenproblem of the
+    scatter between labels against the scatter within them. An axis has variance one
+    within labels, and its largest loading is positive. With c labels there are c - 1
+    axes at most; the others are zero.
+    """
+    import numpy as np
+
+    products = F.flatten(F.transform(vector, lambda a: F.transform(vector, lambda b: a * b)))
+    both = array_to_vector(F.concat(vector, products))
+    means = vector_to_array(Summarizer.mean(both)).alias("m")
+    rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), means)
+    rows = sorted(rows.collect(), key=lambda r: r[label])
+    if not rows:
+        return [], []
+    n = np.array([r.n for r in rows], dtype="float64")
+    told = np.array([r.m for r in rows])
+    dims = int((np.sqrt(1 + 4 * told.shape[1]) - 1) / 2)
+    mean, second = told[:, :dims], told[:, dims:].reshape(-1, dims, dims)
+    share = n / n.sum()
+    centre = share @ mean
+    within = np.einsum("l,lij->ij", share, second - mean[:, :, None] * mean[:, None, :])
+    apart = mean - centre
+    between = np.einsum("l,li,lj->ij", share, apart, apart)
+    spread = np.trace(within) / dims
+    within += (ridge * spread if spread > 0 else 1.0) * np.eye(dims)
+    half = np.linalg.inv(np.linalg.cholesky(within))
+    values, turn = np.linalg.eigh(half @ between @ half.T)
+    axes = []
+    for i in np.argsort(-values, kind="stable")[:3]:
+        axis = half.T @ turn[:, i]
+        axis = axis if axis[abs(axis).argmax()] > 0 else -axis
+        axes.append((axis if values[i] > 1e-9 * max(values.max(), 1e-300) and values[i] > 1e-12 else axis * 0).tolist())
+    return axes, centre.tolist()
+
+
+def project_by_label(df: DataFrame, vector: str, label: str, ridge: float = RIDGE) -> DataFrame:
+    """Add x, y, z: score lists on the axes of :func:`fisher_axes`, centred.
+
+    The layout is supervised, as labels are its target, and linear. Without rows there is
+    nothing to fit and none comes out.
+    """
+    axes, centre = fisher_axes(df, vector, label, ridge)
+    if not axes:
+        return df.withColumns({c: F.lit(None).cast("double") for c in "xyz"})
+    axes += [[0.0] * len(centre)] * (3 - len(axes))
+    out = {}
+    for name, axis in zip("xyz", axes, strict=True):
+        offset = sum(a * c for a, c in zip(axis, centre, strict=True))
+        out[name] = dot_dense(F.col(vector), F.lit(axis)) - F.lit(offset)
+    return df.withColumns(out)
+
+
 def labelled_table(
     topped: DataFrame,
     palette: DataFrame,

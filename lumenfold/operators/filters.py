@@ -24,26 +24,34 @@ def _has_term(text: Column, term: str) -> Column:
     return text.rlike(f"(^|{_NOT_WORD}){phrase}($|{_NOT_WORD})")
 
 
-def keyword_filter(df: DataFrame, expression: str, search_in: str = "title") -> DataFrame:
-    """Keep rows that match e.g. ``Mac AND Apple OR 'Steve Jobs'``.
+def parse_keywords(expression: str) -> list[list[str]]:
+    """Alternatives of an expression, each a list of terms that all have to match.
 
     Quotes are read first: AND and OR inside them are words. AND binds tighter than OR,
-    words next to each other are joined by AND, and a term matches whole words in any
-    letter case. A phrase matches across line breaks and punctuation.
+    and words next to each other are joined by AND.
     """
-    text = F.lower(F.col(search_in))
-    alternatives: list[list[Column]] = [[]]
+    alternatives: list[list[str]] = [[]]
     for double, single, plain in _TOKEN.findall(expression):
         if plain == "OR":
             alternatives.append([])
         elif plain != "AND":
             term = double or single or plain
-            if not term.strip():
-                continue
-            alternatives[-1].append(_has_term(text, term))
-    hits = [reduce(and_, terms) for terms in alternatives if terms]
-    if not hits:
+            if term.strip():
+                alternatives[-1].append(term)
+    found = [terms for terms in alternatives if terms]
+    if not found:
         raise ValueError("the keyword expression has no terms")
+    return found
+
+
+def keyword_filter(df: DataFrame, expression: str, search_in: str = "title") -> DataFrame:
+    """Keep rows that match e.g. ``Mac AND Apple OR 'Steve Jobs'``.
+
+    The expression is read by :func:`parse_keywords`. A term matches whole words in any
+    letter case, and a phrase across line breaks and punctuation.
+    """
+    text = F.lower(F.col(search_in))
+    hits = [reduce(and_, [_has_term(text, t) for t in terms]) for terms in parse_keywords(expression)]
     return df.filter(reduce(or_, hits))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import preview
-from lumenfold.operators.emotion import labelled_table, project_3d, top_emotion
+from lumenfold.operators.emotion import labelled_table, project_3d, project_by_label, top_emotion
 from lumenfold.operators.filters import drop_placeholders
 from lumenfold.operators.scoring import emotion_scores
 from lumenfold.session import materialise
@@ -47,9 +47,10 @@ def labelled_posts(
 
 
 def emotion_map(
-    posts: DataFrame, lexicon: DataFrame, palette: DataFrame, **sizes
+    posts: DataFrame, lexicon: DataFrame, palette: DataFrame, supervised: bool = False, **sizes
 ) -> DataFrame:
-    """Plot-ready rows in label order."""
+    """Plot-ready rows in label order; ``supervised`` lays them out by their labels."""
     table, texts = _labelled(posts, lexicon, palette, **sizes)
-    placed = project_3d(table, "score").drop("score")
+    placed = project_by_label(table, "score", "top_emotion") if supervised else project_3d(table, "score")
+    placed = placed.drop("score")
     return _with_text(placed, texts).orderBy("top_emotion", "id")

@@ -24,27 +24,28 @@ def build_session(cores: str = "*", app: str = "lumenfold") -> SparkSession:
     return spark
 
 
-def checkpoint_ready(spark: SparkSession) -> bool:
-    """Point the context at the shared checkpoint folder, if there is one.
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Point the context at the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder: on a cluster that would not be shared.
+    The folder comes from ``spark.checkpoint.dir``. Only a master that runs in this one
+    process, ``local`` or ``local[n]``, may fall back to a temporary folder: elsewhere
+    that would not be shared, and a job without a shared folder is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
-        return True
+        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and sc.master.startswith("local"):
+    if not folder and (sc.master == "local" or sc.master.startswith("local[")):
         folder = tempfile.mkdtemp(prefix="lumenfold-checkpoint-")
-    if folder:
-        sc.setCheckpointDir(folder)
-    return bool(folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder because it is read repeatedly.
 
-    Without a shared folder the frame is returned as it is: Spark recomputes it,
-    which costs time but never changes the result.
+    Row numbers and other values that depend on the order of rows are fixed by it.
     """
-    return df.checkpoint() if checkpoint_ready(df.sparkSession) else df
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()

@@ -155,3 +155,17 @@ def emotion_lexicon(spark: SparkSession, folder: str) -> DataFrame:
         F.get(labels, _hash(1, len(EMOTIONS)).cast("int")).alias("emotion"),
         ((_hash(9, 100) + 1) / 100.0).alias("weight"),
     )
+
+
+def modifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """(term, factor): one benchmark word in forty negates, two in forty intensify by
+    0.5 to 1.5."""
+    kind, factor = _hash(17, 40), (_hash(25, 11) + 5) / 10.0
+    rows = _vocabulary(spark, folder).withColumn("kind", kind).filter("kind < 3")
+    return rows.select("term", F.when(F.col("kind") > 0, factor).alias("factor"))
+
+
+def palette(spark: SparkSession, folder: str) -> DataFrame:
+    """(emotion, colour): a colour per label from the first of its words."""
+    first = emotion_lexicon(spark, folder).groupBy("emotion").agg(F.min("term").alias("term"))
+    return first.select("emotion", F.concat(F.lit("#"), F.upper(F.substring(F.md5("term"), 1, 6))).alias("colour"))
