@@ -1,15 +1,17 @@
 """Leaf blocks of a web page: a forgiving one-pass reader of tags.
 
 A block is the text between two borders of block-level elements, with inline markup taken
-out and white space made single. It knows which kinds of ancestors it stands in, told from
-tag names and from the words of class, id and role attributes.
+out and white space made single. It knows which kinds of ancestors it stands in, and which
+the nearest one is, told from tag names and from the words of class, id and role. A word tells
+a kind as a whole, or by its last part: ``site-header`` is a header, ``header-fixed`` and
+``has-header`` are not. Words on the page's own elements, html and body, tell nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split()
@@ -34,15 +36,22 @@ WORD_KIND = {
         "notice": "notice cookie cookies consent gdpr banner alert popup modal overlay dialog newsletter paywall alertdialog",
         "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted adsense dfp",
         "form": "form search signup login subscribe subscription contact",
-        "comments": "comment comments commentlist disqus discussion reply replies respond reader-comments",
+        "comments": "comment comments commentlist comment-list disqus discussion reply replies respond reader-comments",
         "article": "article post story entry hentry article-body post-content entry-content story-body articlebody",
         "main": "main content main-content body-content",
     }.items()
     for w in words.split()
 }
+#: Kinds that the last part of a word tells; the others take the whole word.
+BY_PART = frozenset("menu header footer side notice advert comments".split())
+#: First parts of words that say something else about the element: what it has, lacks or is filed under.
+FILED = frozenset("has have with without no not is hide show hidden sticky toggle category tag type format status page post-type".split())
+#: Elements whose open tags may stand without a closing one before the next.
+ALONE = frozenset("button select".split())
+WHOLE_PAGE = frozenset(("html", "body"))
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_SPACE = re.compile(r"\s+")
+_SPACE, _PART = re.compile(r"\s+"), re.compile(r"[-_]+")
 
 
 @dataclass
@@ -50,20 +59,31 @@ class Block:
     text: str
     tag: str
     kinds: frozenset[str]
+    near: frozenset[str] = frozenset()
     chars: int = 0
     linked: int = 0
-    depth: int = 0
-    extra: dict = field(default_factory=dict)
+
+
+def word_kind(word: str) -> str | None:
+    """The kind that a word of class, id or role tells."""
+    if word in WORD_KIND:
+        return WORD_KIND[word]
+    parts = _PART.split(word)
+    if len(parts) < 2 or parts[0] in FILED:
+        return None
+    if parts[0] == "comment":
+        return "comments"
+    kind = WORD_KIND.get(parts[-1])
+    return kind if kind in BY_PART else None
 
 
 def _kinds(name: str, attributes: str) -> frozenset[str]:
+    if name in WHOLE_PAGE:
+        return frozenset()
     found = {TAG_KIND[name]} if name in TAG_KIND else set()
     for m in _ATTR.finditer(attributes):
         for word in _SPACE.split((m[2] or m[3] or m[4] or "").lower()):
-            kind = WORD_KIND.get(word)
-            if not kind:
-                kind = next((WORD_KIND[p] for p in re.split(r"[-_]+", word) if p in WORD_KIND), None)
-            if kind:
+            if kind := word_kind(word):
                 found.add(kind)
     return frozenset(found)
 
@@ -99,37 +119,51 @@ def _tag_end(page: str, at: int, missing: set[str]) -> int:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; a page that ends early gives what it has."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]  # tag, kinds so far, inside a link
+    # Of each open element: tag, kinds of it and its ancestors, kinds of the nearest that has
+    # some, whether it is inside a link, and the place of the nearest block-level element.
+    stack: list[tuple[str, frozenset[str], frozenset[str], bool, int]] = [("", frozenset(), frozenset(), False, 0)]
     opened: dict[str, int] = {}
     text: list[str] = []
     linked, skipped = 0, 0
     missing: set[str] = set()
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            tag = next((t for t, _, _ in reversed(stack[-12:]) if t and t not in INLINE), "")
-            kinds = stack[-1][1]
-            out.append(Block(whole, tag, kinds, len(whole), min(linked, len(whole)), len(stack) - 1))
+            _, kinds, near, _, block = stack[-1]
+            out.append(Block(whole, stack[block][0], kinds, near, len(whole), min(linked, len(whole))))
         text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skipped
-        name, _, _ = stack.pop()
+        name = stack.pop()[0]
         opened[name] -= 1
         skipped -= name in SKIP
 
+    def ends(name: str, at: int) -> bool:
+        """Whether an element that opens before ``at`` has an end tag of its own."""
+        if name in unclosed:
+            return False
+        stop = re.compile(rf"</{name}\b", re.I).search(page, at)
+        if not stop:
+            unclosed.add(name)
+            return False
+        return name not in ALONE or not re.compile(rf"<{name}\b", re.I).search(page, at, stop.start())
+
     at, size = 0, len(page)
+    mute = False  # behind an open tag of SKIP without an end tag: its text goes up to the next tag
     while at < size:
         lt = page.find("<", at)
         piece = page[at : lt if lt >= 0 else size]
-        if piece and not skipped:
+        if piece and not skipped and not mute:
             decoded = html.unescape(piece) if "&" in piece else piece
             text.append(decoded)
-            if stack[-1][2]:
+            if stack[-1][3]:
                 linked += len(decoded)
+        mute = False
         if lt < 0:
             break
         following = page[lt + 1 : lt + 2]
@@ -168,16 +202,20 @@ def blocks(page: str) -> list[Block]:
                     pop()
                 pop()
             continue
-        if name in VOID or page[end - 1] == "/":
+        if name in VOID:
             continue
-        if name not in INLINE and name not in SKIP and opened.get("p"):
+        if name in SKIP and name not in RAW and not ends(name, at):
+            mute = True
+            continue
+        block = stack[-1][4]
+        if name not in INLINE and name not in SKIP and stack[block][0] == "p":
             # A paragraph ends where the next block begins.
-            depth = next((i for i in range(len(stack) - 1, max(0, len(stack) - 12), -1) if stack[i][0] == "p"), 0)
-            if depth and all(t in INLINE for t, _, _ in stack[depth + 1 :]):
-                while len(stack) > depth:
-                    pop()
+            while len(stack) > block:
+                pop()
+        _, above, near, link, block = stack[-1]
         kinds = _kinds(name, page[m.end() : end])
-        stack.append((name, stack[-1][1] | kinds if kinds else stack[-1][1], stack[-1][2] or name == "a"))
+        entry = (name, above | kinds if kinds else above, kinds or near, link or name == "a", block if name in INLINE else len(stack))
+        stack.append(entry)
         opened[name] = opened.get(name, 0) + 1
         skipped += name in SKIP
         if name in RAW:

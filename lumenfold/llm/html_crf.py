@@ -27,7 +27,7 @@ LOOKS = (
     "bias words<4 words<10 words<25 words>=25 linked>0.3 linked>0.8 sentence marks copyright question "
     "first last near_start near_end"
 ).split()
-FEATURES = {f: i for i, f in enumerate([f"in {k}" for k in KINDS] + [f"tag {t}" for t in TAGS] + LOOKS + ["plain"])}
+FEATURES = {f: i for i, f in enumerate([f"in {k}" for k in KINDS] + [f"near {k}" for k in KINDS] + [f"tag {t}" for t in TAGS] + LOOKS + ["plain"])}
 
 
 def features(found: list[Block]) -> list[list[int]]:
@@ -35,7 +35,7 @@ def features(found: list[Block]) -> list[list[int]]:
     out, n = [], len(found)
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
-        names = ["bias", f"tag {b.tag if b.tag in TAGS else 'other'}", *(f"in {k}" for k in b.kinds)]
+        names = ["bias", f"tag {b.tag if b.tag in TAGS else 'other'}", *(f"in {k}" for k in b.kinds), *(f"near {k}" for k in b.near)]
         names.append("words<4" if words < 4 else "words<10" if words < 10 else "words<25" if words < 25 else "words>=25")
         share = b.linked / b.chars
         names += ["linked>0.3"] * (share > 0.3) + ["linked>0.8"] * (share > 0.8)
@@ -110,6 +110,17 @@ class _Writer:
         inner = f"&copy; {self.words(1, 3)} &middot; {self.words(3, 25, '.')}"
         return self.rng.choice((f"<footer>{inner}</footer>", f"<footer><p>{inner}</p>{self.menu()}</footer>", f"<div{self.attr('footer', 'legal', 'copyright')}><p>{inner}</p></div>"))
 
+    def theme(self) -> str:
+        """Classes that speak of other parts of the page, as themes put them on any element."""
+        r = self.rng
+        words = ("has-sidebar", "no-sidebar", "with-ads", "search-open", "sticky-header", "share-enabled", "comments-open", "header-fixed", "category-news", "page-header-wrapper", "footer-dark", "wide", "is-menu-open")
+        return f' class="{" ".join(r.sample(words, r.randint(1, 3)))}"'
+
+    def linked(self, text: str) -> str:
+        """A paragraph of the article in which a link has most of the text, or all of it."""
+        r = self.rng
+        return r.choice((f"<p>{self.main(1, 4)} <a href=/x/>{text}</a></p>", f'<p><a href="#">{text}</a></p>', f"<p>{text} <a href='/y'>{self.words(1, 5)}</a> {self.words(1, 20, '.')}</p>"))
+
     def story(self) -> str:
         r = self.rng
         parts = [f"<h1>{self.main(1, 12, r.choice(('', '', '.')))}</h1>"] if r.random() < 0.9 else []
@@ -119,9 +130,15 @@ class _Writer:
             parts.append(
                 r.choice((f"<p>{text}</p>",) * 8 + (f"<p><b>{text}<br>", f"<div>{text}</div>", f"<h2>{self.main(1, 8)}</h2>", f"<ul><li>{text}</li><li>{self.main(2, 20)}</li></ul>", f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<table><tr><td>{text}<td>{self.main(1, 4)}</table>"))
             )
+            if r.random() < 0.12:
+                parts.append(self.linked(self.main(6, 30, stop)))
             if r.random() < 0.06:
                 parts.append(r.choice((self.advert, self.side, self.form))())
+        if r.random() < 0.12:
+            parts.append(self.comments())
         inner = "".join(parts)
+        if r.random() < 0.3:
+            return r.choice((f"<article{self.theme()}>{inner}</article>", f"<div{self.theme()}><article>{inner}</article></div>", f"<div{self.theme()}><div{self.theme()}>{inner}</div></div>"))
         return r.choice(
             (f"<article>{inner}</article>",) * 4
             + (f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div{self.attr('content', 'article', 'post', 'entry-content', 'story')}>{inner}</div>", f"<div>{inner}</div>")
@@ -157,9 +174,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[list[tuple[Block, i
 # ---- the field --------------------------------------------------------------
 
 
-def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, moves): the weight of each feature for content, and the score of going
-    from one label to the next."""
+def padded(pages: list[list[tuple[Block, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, mask) of pages, padded to the longest."""
     longest, size = max(map(len, pages)), len(FEATURES)
     x = np.zeros((len(pages), longest, size), dtype=np.float32)
     y = np.zeros((len(pages), longest), dtype=np.int64)
@@ -169,33 +185,46 @@ def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> tuple[np.nd
             x[i, t, f] = 1
         y[i, : len(page)] = [label for _, label in page]
         mask[i, : len(page)] = True
+    return x, y, mask
+
+
+def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Of the mean log likelihood less the penalty, by forward and backward sums."""
+    n, longest, size = x.shape
     both = mask[:, 1:]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    w, moves = theta[:size], theta[size:].reshape(2, 2)
+    emit = np.zeros((n, longest, 2))
+    emit[:, :, 1] = x @ w.astype(np.float32)
+    alpha, beta = np.empty_like(emit), np.zeros_like(emit)
+    alpha[:, 0] = emit[:, 0]
+    for t in range(1, longest):
+        go = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1]) + emit[:, t]
+        alpha[:, t] = np.where(mask[:, t, None], go, alpha[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = emit[:, t + 1] + beta[:, t + 1]
+        go = np.logaddexp(moves[:, 0] + nxt[:, 0, None], moves[:, 1] + nxt[:, 1, None])
+        beta[:, t] = np.where(mask[:, t + 1, None], go, 0.0)
+    total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
+    grad = np.zeros_like(theta)
+    grad[:size] = ((y - p) * mask).ravel() @ x.reshape(-1, size)
+    for a in (0, 1):
+        for b in (0, 1):
+            pair = alpha[:, :-1, a] + moves[a, b] + emit[:, 1:, b] + beta[:, 1:, b] - total[:, None]
+            grad[size + 2 * a + b] = seen[a, b] - np.exp(pair[both]).sum()
+    return grad / n - PENALTY * theta
+
+
+def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, moves): the weight of each feature for content, and the score of going
+    from one label to the next."""
+    given, size = padded(pages), len(FEATURES)
     theta = np.zeros(size + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, moves = theta[:size], theta[size:].reshape(2, 2)
-        emit = np.zeros((len(pages), longest, 2))
-        emit[:, :, 1] = x @ w.astype(np.float32)
-        alpha, beta = np.empty_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            go = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1]) + emit[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], go, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = emit[:, t + 1] + beta[:, t + 1]
-            go = np.logaddexp(moves[:, 0] + nxt[:, 0, None], moves[:, 1] + nxt[:, 1, None])
-            beta[:, t] = np.where(mask[:, t + 1, None], go, 0.0)
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
-        grad = np.zeros_like(theta)
-        grad[:size] = ((y - p) * mask).ravel() @ x.reshape(-1, size)
-        for a in (0, 1):
-            for b in (0, 1):
-                pair = alpha[:, :-1, a] + moves[a, b] + emit[:, 1:, b] + beta[:, 1:, b] - total[:, None]
-                grad[size + 2 * a + b] = seen[a, b] - np.exp(pair[both]).sum()
-        grad = grad / len(pages) - PENALTY * theta
+        grad = gradient(theta, *given)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:size], theta[size:].reshape(2, 2)
