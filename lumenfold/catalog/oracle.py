@@ -797,3 +797,9 @@ ORACLE["em_plot_supervised"] = ctes(
     "labels AS (" + ORACLE["em_labels"].removeprefix(ctes(EMOTION)) + ")",
 ).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * FROM labels JOIN coordinates USING (id)"
 ORACLE["knn_graph"] = ORACLE["knn_exact"].replace("WHERE a.vec_id % 50 = 0 ", "")
+ORACLE["out_published"] = ORACLE["review_articles"]
+ORACLE["po_newest"] = (
+    ctes(POSTS)
+    + f"""SELECT subreddit, row_number() OVER (PARTITION BY subreddit ORDER BY created DESC, id) AS rk, id, created, author
+FROM posts QUALIFY rk <= {q.POST_LIMIT}"""
+)

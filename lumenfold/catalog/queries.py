@@ -17,6 +17,7 @@ from lumenfold.operators import ranking as rk
 from lumenfold.operators import scoring as sc
 from lumenfold.operators import keyword_index as ki
 from lumenfold.operators import semantic as sem
+from lumenfold.operators.emotion_trained import fit_emotions, trained_scores
 from lumenfold.operators.lookups import small_literal
 from lumenfold.operators.models import emotion_model, encode_model
 from lumenfold.operators.neighbour_graph import knn_graph as graph_of
@@ -29,7 +30,10 @@ from lumenfold.plans import reviews as rv
 from lumenfold.plans import tables as tb
 from lumenfold.sources import adapters as ad
 from lumenfold.session import checkpoint_ready
+from lumenfold.sources import publish as pub
 from lumenfold.sources import readers, sinks
+from lumenfold.streaming import feeds as fd
+from lumenfold.streaming import newest as nw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,6 +725,15 @@ def em_plot_table(spark, folder):
     return _rounded(plot)
 
 
+@query
+def em_trained(spark, folder):
+    """Labels of a classifier that is trained on the lexicon's labels of two posts in three."""
+    posts = maps.usable_posts(ad.posts(spark, folder))
+    labels = em.top_emotion(_scored_posts(spark, folder)).filter(F.crc32("id") % 3 != 1)
+    model = fit_emotions(posts.join(labels.select("id", "top_emotion"), "id"), "text", "top_emotion")
+    return em.top_emotion(trained_scores(posts, ["id"], "text", model)).select("id", "top_emotion")
+
+
 @query
 def em_axes(spark, folder):
     """The supervised layout: score lists on the axes that hold the labels apart."""
@@ -906,6 +919,34 @@ def out_parquet_articles(spark, folder):
     return _written(ad.articles(spark, folder), "parquet")
 
 
+@query
+def out_published(spark, folder):
+    """A review whose report and evidence are published together and read back."""
+    review = rv.article_review(ad.articles(spark, folder), SUBJECT, _stub, **SEARCH)
+    path = _path(spark)
+    pub.publish(path, rv.review_tables(review))
+    return _with_json(rv.from_tables(pub.read_published(spark, path, "report"), pub.read_published(spark, path, "evidence")))
+
+
+@query
+def po_newest(spark, folder):
+    """The newest posts of every community, from a feed that lands in pieces with repeated
+    and late items."""
+    posts = ad.posts(spark, folder).filter("created is not null and id is not null")
+    path = _path(spark)
+    # The feed lands three times: each time its share of the posts, and some of the last one again.
+    part = F.pmod(F.crc32("id"), F.lit(3))
+    for n in range(3):
+        again = (part == n) | ((part == (n - 1) % 3) & (F.crc32(F.reverse("id")) % 4 == 0))
+        _post_json(posts.filter(again)).write.mode("append").text(f"{path}/feed")
+    feed = fd.stream_posts(nw.with_state_store(spark), f"{path}/feed", files=8).withColumn("created", F.col("created").cast("timestamp"))
+    lists = nw.newest(nw.first_seen(feed, "id", "created", "10000 days"), "subreddit", "id", "created", POST_LIMIT)
+    nw.keep_newest(lists, f"{path}/lists", f"{path}/state").awaitTermination()
+    schema = f"{lists.schema.simpleString()[7:-1]}, batch:int".replace(":", " ")
+    found = nw.read_newest(spark, f"{path}/lists", schema, "subreddit", "id", "created", POST_LIMIT)
+    return found.select("subreddit", F.col("rk").cast("long").alias("rk"), "id", F.col("created").cast("timestamp_ntz").alias("created"), "author")
+
+
 @query
 def out_json_records(spark, folder):
     return sinks.json_records(

@@ -79,12 +79,14 @@ def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame
     return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("term").isin(terms))
 
 
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
 def _found(places: Column, phrase: list[str]) -> Column:
     """The words of a phrase at places that follow each other."""
-    starts = [
-        F.transform(F.coalesce(F.try_element_at(places, F.lit(w)), F.array().cast("array<bigint>")), lambda p, i=i: p - i)
-        for i, w in enumerate(phrase)
-    ]
+    none = F.array().cast("array<bigint>")
+    starts = [_shifted(F.coalesce(F.try_element_at(places, F.lit(w)), none), i) for i, w in enumerate(phrase)]
     return F.size(reduce(F.array_intersect, starts)) > 0
 
 

@@ -23,15 +23,27 @@ FACETS = 64  # facets in one literal, or in one block of a larger set
 WEIGHT = "decimal(28, 18)"  # lexicon weights; their sums do not depend on order
 
 
-def _terms(
-    df: DataFrame, ids: list[str], text: str, cleaned: bool = False
-) -> DataFrame:
-    """One row per word; a text without words keeps one row with a NULL term.
+def text_words(df: DataFrame, ids: list[str], text: str, cleaned: bool = False) -> DataFrame:
+    """One row per word: (ids..., _text, _place, term); a text without words keeps one row.
 
-    ``_row`` numbers the texts, so texts with equal ids stay apart.
+    ``_text`` is a digest, and a text is known by it and its ids: no row number that a
+    task computed again could change. Rows that are equal in both give equal scores:
+    :func:`copies` counts them, and :func:`each_copy` gives every one its own row.
     """
-    rows = df.select(*ids, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    return rows.select(*ids, "_row", F.explode_outer(words("_text", cleaned)).alias("term"))
+    rows = df.select(*ids, F.md5(F.coalesce(F.col(text), F.lit("-"))).alias("_text"), words(text, cleaned).alias("_words"))
+    return rows.select(*ids, "_text", F.posexplode_outer("_words").alias("_place", "term"))
+
+
+def copies() -> Column:
+    """The number of equal rows behind one group of :func:`text_words`."""
+    return F.count_if(F.coalesce(F.col("_place"), F.lit(0)) == 0).alias("_copies")
+
+
+def each_copy(df: DataFrame, ids: list[str], columns: list[Column]) -> DataFrame:
+    """One row per copy, with the ids and some columns of ``df``."""
+    found = df.select(*ids, *columns, F.col("_copies"))
+    names = [c for c in found.columns if c != "_copies"]
+    return found.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
 
 
 def _weight(column: str) -> Column:
@@ -57,9 +69,9 @@ def lexicon_scores(
         _weight("polarity").alias("p"),
         _weight("subjectivity").alias("s"),
     )
-    hits = lookup_join(_terms(df, ids, text, cleaned), weights, "term")
-    sums = hits.groupBy("_row", *ids).agg(
-        F.count("p").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s")
+    hits = lookup_join(text_words(df, ids, text, cleaned), weights, "term")
+    sums = hits.groupBy("_text", *ids).agg(
+        F.count("p").alias("n"), F.sum("p").alias("p"), F.sum("s").alias("s"), copies()
     )
 
     def mean(total: str) -> Column:
@@ -67,7 +79,7 @@ def lexicon_scores(
             F.col(total).cast("double") / F.col("n")
         )
 
-    return sums.select(*ids, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
+    return each_copy(sums, ids, [mean("p").alias("polarity"), mean("s").alias("subjectivity")])
 
 
 def polarity(
@@ -104,18 +116,16 @@ def emotion_scores(
         F.when(at > 0, at - 1).otherwise(unknown.cast("long")).alias("label"),
         _weight("weight").alias("w"),
     )
-    hits = lookup_join(_terms(df, ids, text), weights, "term")
-    sums = hits.groupBy("_row", *ids).agg(
+    hits = lookup_join(text_words(df, ids, text), weights, "term")
+    sums = hits.groupBy("_text", *ids).agg(
         *[
             F.expr(f"double(coalesce(sum(w) filter (where label = {i}), 0)) as _{i}")
             for i in range(len(ordered))
-        ]
-    )
-    return sums.select(
-        *ids,
-        F.lit(ordered).alias("emotion"),
-        F.array(*[f"_{i}" for i in range(len(ordered))]).alias("score"),
+        ],
+        copies(),
     )
+    scores = F.array(*[F.col(f"_{i}") / F.col("_copies") for i in range(len(ordered))])
+    return each_copy(sums, ids, [F.lit(ordered).alias("emotion"), scores.alias("score")])
 
 
 def encode_terms(

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import words
 from lumenfold.operators.lookups import lookup_join
+from lumenfold.operators.scoring import copies, each_copy, text_words
 
 # --- fixed values: the rules ---------------------------------------------------
 REACH = 3  # words after a negation that it can still turn
@@ -56,15 +56,13 @@ def ruled_scores(
     Intensifiers multiply polarity and subjectivity of the word that follows at once, and
     each other. Every word stays within [-1, 1] and [0, 1].
     """
-    numbered = df.select(*ids, F.monotonically_increasing_id().alias("_row"), words(text, cleaned).alias("_words"))
-    each = numbered.select(*ids, "_row", F.posexplode_outer("_words").alias("_place", "term"))
-    hits = lookup_join(each, known_words(lexicon, modifiers), "term")
+    hits = lookup_join(text_words(df, ids, text, cleaned), known_words(lexicon, modifiers), "term")
     entry = F.when(F.col("kind").isNotNull(), F.struct(F.col("_place").alias("pos"), "kind", "p", "s"))
-    # All words of a text are in one task already; NULL entries are not collected.
-    rows = hits.groupBy("_row", *ids).agg(F.sort_array(F.collect_list(entry)).alias("_known"))
+    # All words of a text are in one task already; copies of it share their entries.
+    rows = hits.groupBy("_text", *ids).agg(F.sort_array(F.collect_set(entry)).alias("_known"), copies())
     folded = rows.withColumn("_z", F.expr(f"aggregate(_known, {_START}, (z, w) -> {_STEP})"))
 
     def mean(total: str):
         return F.when(F.col("_z.n") == 0, F.lit(0.0)).otherwise(F.col(f"_z.{total}") / F.col("_z.n"))
 
-    return folded.select(*ids, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
+    return each_copy(folded, ids, [mean("p").alias("polarity"), mean("s").alias("subjectivity")])

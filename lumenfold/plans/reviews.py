@@ -66,3 +66,25 @@ def tweet_review(tweets: DataFrame, subject: str, fn: Callable, limit: int, **se
     found = tb.tweets_table(tweets, limit, **search)
     best = ev.swot_tweets(found, seeds(tweets, subject, "swot_seed", fn))
     return _review(best, subject, SWOT_FACETS, rp.swot_prompt, fn)
+
+
+def review_tables(review: DataFrame) -> dict[str, DataFrame]:
+    """A review as two tables to publish together: ``report`` (subject, stage, report) and
+    ``evidence`` (subject, stage, place, facet, texts)."""
+    # Both tables hold the answers of the same calls.
+    review = materialise(review)
+    lists = review.select("subject", "stage", F.posexplode("evidence").alias("place", "e"))
+    return {
+        "report": review.select("subject", "stage", "report"),
+        "evidence": lists.select("subject", "stage", "place", "e.facet", "e.texts"),
+    }
+
+
+def from_tables(report: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The review again: (subject, stage, report, evidence)."""
+    entry = F.struct("place", "facet", "texts")
+    lists = evidence.groupBy("subject", "stage").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    lists = lists.select(
+        "subject", "stage", F.transform("e", lambda e: F.struct(e["facet"].alias("facet"), e["texts"].alias("texts"))).alias("evidence")
+    )
+    return report.join(lists, ["subject", "stage"])

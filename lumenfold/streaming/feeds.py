@@ -14,12 +14,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 from lumenfold.sources.readers import posts_from_json, tweets_from_json
 
 
-def stream_posts(spark: SparkSession, folder: str) -> DataFrame:
-    return posts_from_json(spark.readStream.text(folder))
+def _landed(spark: SparkSession, folder: str, files: int | None) -> DataFrame:
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    return reader.text(folder)
 
 
-def stream_tweets(spark: SparkSession, folder: str) -> DataFrame:
-    return tweets_from_json(spark.readStream.text(folder))
+def stream_posts(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """``files`` bounds the files of one micro-batch."""
+    return posts_from_json(_landed(spark, folder, files))
+
+
+def stream_tweets(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    return tweets_from_json(_landed(spark, folder, files))
 
 
 def land(
