@@ -10,6 +10,9 @@ histograms with fixed bins: counts add up in any order, so reruns agree.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -30,16 +33,24 @@ BANDS = {
 }
 #: Documents that a language and length needs for a band of its own. Below it entropy,
 #: which depends on the length, goes by the length over all languages; the other measures,
-#: which depend on the language, by the language over all lengths. Below it there too,
-#: nothing is rejected.
+#: which depend on the language, by the language over all lengths, then by the script. Where
+#: these have fewer documents too, the band is that of all documents.
 LEAST = 50
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai")
 _SCRIPT = [(s, regex.compile(rf"\p{{{s}}}")) for s in SCRIPTS]
 
 
+_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+_NO_LETTERS = bytes(set(range(256)) - set(_LETTERS))
+_ASCII = bytes(range(128))
+
+
 def script(text: str) -> str:
     """The script with the most characters; the first listed of equals, Other if none."""
-    counts = [(len(p.findall(text)), -i, s) for i, (s, p) in enumerate(_SCRIPT)]
+    data = text.encode("utf-8")
+    rest = "" if text.isascii() else data.translate(None, _ASCII).decode("utf-8")
+    counts = [(len(p.findall(rest)) if rest else 0, -i, s) for i, (s, p) in enumerate(_SCRIPT)]
+    counts[0] = (counts[0][0] + len(data.translate(None, _NO_LETTERS)), *counts[0][1:])  # Latin
     best = max(counts)
     return best[2] if best[0] else "Other"
 
@@ -49,12 +60,11 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words) - 2
     if n < 2:
         return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    code = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    pair = code[:-1] * len(number) + code[1:]  # below 2**62 for texts under 2**31 words
-    _, pair = np.unique(pair, return_inverse=True)
-    _, inverse, count = np.unique(pair[:-1] * len(number) + code[2:], return_inverse=True, return_counts=True)
-    again = count[inverse] > 1
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == n:
+        return 0  # as most texts
+    count = Counter(windows)
+    again = np.fromiter((count[w] > 1 for w in windows), dtype=bool, count=n)
     covered = np.zeros(len(words), dtype=bool)
     for k in range(3):
         covered[k : k + n] |= again
@@ -71,8 +81,17 @@ def repeated_lines(text: str) -> int:
     return n
 
 
+#: Words that surely are one run of pieces each: letters, digits and marks of Latin scripts.
+_SIMPLE = re.compile("[!-~¡-¬®-ɏ]+")
+
+
 class Fertility:
-    """Measures of one text after another with a ``sentencepiece`` vocabulary."""
+    """Measures of one text after another with a ``sentencepiece`` vocabulary.
+
+    A piece never crosses a blank, so a text's ids are those of its words. Words repeat: each
+    new one is encoded once, together with all other new words of the text, and the ids are
+    cut where a piece starts a word.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -80,17 +99,30 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
+        self.starts = np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(size)])
         self.words: dict[bytes, bytes] = {}
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), dtype="<u4")
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8") for w in new]
+        simple = [w for w, t in zip(new, texts, strict=True) if _SIMPLE.fullmatch(t)]
+        if simple:
+            ids = self._encode(b" ".join(simple).decode("utf-8"))
+            cuts = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
+            if len(cuts) == len(simple) + 1 and cuts[0] == 0:
+                data = ids.tobytes()
+                self.words.update((w, data[a:b]) for w, a, b in zip(simple, cuts, cuts[1:], strict=False))
+        for w, t in zip(new, texts, strict=True):
+            if w not in self.words:
+                self.words[w] = self._encode(t).tobytes()
+
     def ids(self, words: list[bytes]) -> np.ndarray:
-        missing = [w for w in dict.fromkeys(words) if w not in self.words]
-        if len(self.words) + len(missing) > 2 * CHUNKS:
+        if len(self.words) > CHUNKS:
             self.words.clear()
-            missing = list(dict.fromkeys(words))
-        for lo in range(0, len(missing), 10_000):
-            part = missing[lo : lo + 10_000]
-            found = self.model.encode([w.decode("utf-8") for w in part])
-            self.words.update((w, np.array(i, dtype="<u4").tobytes()) for w, i in zip(part, found, strict=True))
+        if new := [w for w in dict.fromkeys(words) if w not in self.words]:
+            self._learn(new)
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
     def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
@@ -108,7 +140,7 @@ def measures(
     df: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text", lang_col="lang"
 ) -> DataFrame:
     """One row per input row: the counts of the base rules, the tokens and the three
-    measures, and ``band``, the language or else the script. NULL is an empty text."""
+    measures, ``script``, and ``band``, the language or else the script. NULL is an empty text."""
     three = df.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         text_of(text_col).alias("text"),
@@ -134,24 +166,26 @@ def measures(
                         repeated_lines(text),
                         repeated_words(words),
                         *gauge.measure(words, chars),
-                        lang or script(text),
+                        (of := script(text)),
+                        lang or of,
                     )
                 )
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 11
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()] * 2
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names, *floats, "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names, *floats, "script", "band"])
 
     schema = f"doc_id {kind}, " + ", ".join([f"{n} long" for n in names] + [f"{n} double" for n in floats])
-    return three.mapInArrow(run, schema + ", band string")
+    return three.mapInArrow(run, schema + ", script string, band string")
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Stored (band, size, n, low and high of each measure); band NULL is all languages
-    and size NULL all lengths.
+    """Stored (level, band, size, n, low and high of each measure).
 
-    ``size`` is the whole part of log2 of the token count. The rows are few: one for each
-    language and power of two. Texts without tokens set no band.
+    Levels: ``own`` per band and size, ``lang`` per band, ``script`` per script (in column
+    ``band``), ``size`` per size, ``all``. ``size`` is the whole part of log2 of the token count.
+    The rows are few: one for each language and power of two. Texts without tokens set no
+    band.
     """
     bins = F.array(
         *(
@@ -159,18 +193,26 @@ def bands(measured: DataFrame) -> DataFrame:
             for m, (b, _, _) in BANDS.items()
         )
     )
-    long = measured.filter("tokens > 0").select("band", "size", F.explode(bins).alias("x"))
-    own = long.groupBy("band", "size", "x.measure", "x.bin").agg(F.count(F.lit(1)).alias("k"))
-    own = stored(own)
-    sizes = own.groupBy("size", "measure", "bin").agg(F.sum("k").alias("k"))
-    langs = own.groupBy("band", "measure", "bin").agg(F.sum("k").alias("k"))
-    hist = own.unionByName(sizes.withColumn("band", F.lit(None).cast("string")))
-    hist = hist.unionByName(langs.withColumn("size", F.lit(None).cast("int")))
-    cell = Window.partitionBy("band", "size", "measure")
+    long = measured.filter("tokens > 0").select("band", "script", "size", F.explode(bins).alias("x"))
+    cells = stored(long.groupBy("band", "script", "size", "x.measure", "x.bin").agg(F.count(F.lit(1)).alias("k")))
+    none = F.lit(None)
+    levels = {
+        "own": (F.col("band"), F.col("size")),
+        "lang": (F.col("band"), none.cast("int")),
+        "script": (F.col("script"), none.cast("int")),
+        "size": (none.cast("string"), F.col("size")),
+        "all": (none.cast("string"), none.cast("int")),
+    }
+    hist = None
+    for level, (band, size) in levels.items():
+        part = cells.groupBy(F.lit(level).alias("level"), band.alias("band"), size.alias("size"), "measure", "bin").agg(F.sum("k").alias("k"))
+        hist = part if hist is None else hist.unionByName(part)
+    key = ("level", "band", "size")
+    cell = Window.partitionBy(*key, "measure")
     run = cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     told = hist.withColumns({"upto": F.sum("k").over(run), "of": F.sum("k").over(cell)})
     quart = [F.min(F.when(F.col("upto") * 4 >= q * F.col("of"), F.col("bin"))).alias(f"q{q}") for q in (1, 2, 3)]
-    quartiles = told.groupBy("band", "size", "measure").agg(F.max("of").alias("n"), *quart)
+    quartiles = told.groupBy(*key, "measure").agg(F.max("of").alias("n"), *quart)
     out = []
     for m, (b, down, up) in BANDS.items():
         here = F.col("measure") == m
@@ -180,7 +222,7 @@ def bands(measured: DataFrame) -> DataFrame:
         low = (F.col("q2") - down * above) * b if down else F.lit(-1.0)
         high = (F.col("q2") + up * below) * b
         out += [F.max(F.when(here, low)).alias(f"{m}_low"), F.max(F.when(here, high)).alias(f"{m}_high")]
-    return stored(quartiles.groupBy("band", "size").agg(F.max("n").alias("n"), *out))
+    return stored(quartiles.groupBy(*key).agg(F.max("n").alias("n"), *out))
 
 
 def quality(df: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
@@ -189,26 +231,36 @@ def quality(df: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_
     A text fails the base rules with fewer than 50 words or with more than half of its
     words in repeated windows. It is kept if it does not, and if every measure lies within
     its band. NULL and empty texts have no words and fail. NULL and repeated ids are kept
-    as they are, and an empty table gives no rows.
+    as they are, and an empty table gives no rows. A table without the language column is
+    judged by script.
     """
+    if lang_col.lower() not in (c.lower() for c in df.columns):
+        df = df.withColumn(lang_col, F.lit(None).cast("string"))
     got = measures(df, vocabulary, id_col, text_col, lang_col)
     got = stored(got.withColumn("size", F.when(F.col("tokens") > 0, F.floor(F.log2("tokens"))).cast("int")))
     known = bands(got)
     edges = [f"{m}_{side}" for m in BANDS for side in ("low", "high")]
-    own = stored(known.filter("band is not null and size is not null").withColumn("docs", F.col("n")))
-    lang = stored(known.filter("size is null").select("band", "n", *(F.col(e).alias("else_" + e) for e in edges[:4])))
-    length = known.filter("band is null").select("size", F.col("n").alias("of_size"), *(F.col(e).alias("else_" + e) for e in edges[4:]))
-    met = hot_join(got, own, ["band", "size"], "n")
-    met = hot_join(met, lang.withColumn("of_lang", F.col("n")), ["band"], "n")
-    met = met.join(F.broadcast(length), "size", "left")  # a row per power of two
+
+    def at(level: str, *key) -> DataFrame:
+        renamed = [F.col(e).alias(f"{level}_{e}") for e in edges]
+        return known.filter(F.col("level") == level).select(*key, F.col("n").alias(f"{level}_n"), *renamed)
+
+    own = stored(at("own", "band", "size").withColumn("n", F.col("own_n")))
+    lang = stored(at("lang", "band").withColumn("n", F.col("lang_n")))
+    met = hot_join(hot_join(got, own, ["band", "size"], "n"), lang, ["band"], "n")
+    met = met.join(F.broadcast(at("script", F.col("band").alias("script"))), "script", "left")  # a row per script
+    met = met.join(F.broadcast(at("size", "size")), "size", "left")  # a row per power of two
+    whole = known.filter("level = 'all'").first()  # one row, if any document has tokens
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
     for m in BANDS:
-        of = F.col("of_size" if m == "entropy" else "of_lang")
-        low, high = (
-            F.when(F.col("docs") >= LEAST, F.col(f"{m}_{s}")).when(of >= LEAST, F.col(f"else_{m}_{s}"))
-            for s in ("low", "high")
-        )
-        inside &= F.coalesce(F.col(m).between(low, high), F.lit(True))
+        chain = ("own", "size") if m == "entropy" else ("own", "lang", "script")
+        ends = []
+        for side in ("low", "high"):
+            end = F.lit(whole[f"{m}_{side}"] if whole else None)
+            for level in reversed(chain):
+                end = F.when(F.col(f"{level}_n") >= LEAST, F.col(f"{level}_{m}_{side}")).otherwise(end)
+            ends.append(end)
+        inside &= F.coalesce(F.col(m).between(*ends), F.lit(True))  # no tokens, no measure
     met = met.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
-    return met.drop("size", "docs", "of_size", "of_lang", *edges, *("else_" + e for e in edges))
+    return met.select(*(c for c in got.columns if c != "size"), "base_failed", "kept")

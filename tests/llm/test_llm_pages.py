@@ -82,7 +82,7 @@ def test_many_unclosed_elements_take_linear_time():
     import time
 
     begin = time.perf_counter()
-    assert len(hb.blocks("<button>x<p>y" * 20_000)) > 20_000
+    assert len(hb.blocks("<button>x<p>y" * 20_000)) == 20_000
     assert len(hb.blocks("<div><span>" * 20_000 + "z")) == 1
     assert time.perf_counter() - begin < 10
 

@@ -280,3 +280,55 @@ def test_extract_rows(spark):
     got = hc.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "Some words here, and more.", 26), (1, "", 0), (1, "", 0)]
     assert hc.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def brute_bands(rows):
+    """Bounds of each document by plain lists: the quartile bins of the documents that its
+    band, length, script or the whole table has, of which the first with enough counts."""
+
+    def edges(values, b, down, up):
+        bins = sorted(int(np.floor(v / b + 0.5)) for v in values)
+        q1, q2, q3 = (bins[max(0, -(-len(bins) * k // 4) - 1)] for k in (1, 2, 3))
+        above = max(q3 - q2, 1)
+        return (q2 - down * above) * b if down else -1.0, (q2 + up * max(q2 - q1, above)) * b
+
+    told = [r for r in rows if r.tokens]
+    size = {id(r): int(np.log2(r.tokens)) for r in told}
+    out = []
+    for r in rows:
+        inside = True
+        for m, (b, down, up) in fe.BANDS.items() if r.tokens else ():
+            own = [x for x in told if (x.band, size[id(x)]) == (r.band, size[id(r)])]
+            if m == "entropy":
+                chain = [own, [x for x in told if size[id(x)] == size[id(r)]]]
+            else:
+                chain = [own, [x for x in told if x.band == r.band], [x for x in told if x.script == r.script]]
+            found = next((c for c in chain if len(c) >= fe.LEAST), told)
+            low, high = edges([x[m] for x in found], b, down, up)
+            inside &= low <= x_of(r, m) <= high
+        out.append(not r.base_failed and inside)
+    return out
+
+
+def x_of(row, measure):
+    return row[measure]
+
+
+def test_fertility_bands_by_brute_force(spark):
+    """Many, some and few documents of a language, one language in two scripts, and junk."""
+    rng = random.Random(12)
+    vocabulary = {"en": "the of and cat dog house tree over under little".split(), "ru": "дом кот лес над под мало река".split()}
+    rows = []
+    for i in range(420):
+        lang = "en" if i < 260 else "ru" if i < 340 else rng.choice(["xx", "yy", None])
+        words = vocabulary["ru" if lang == "ru" or i % 7 == 0 else "en"]
+        text = [rng.choice(words) + rng.choice(["", "a", "er", "ow"]) for _ in range(rng.choice([20, 60, 100, 200, 700]))]
+        if i % 40 == 0:
+            text = ["\U0001f600༺" * 3 + w for w in text]
+        rows.append((i, " ".join(text), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = fe.quality(df).collect()
+    assert [r.kept for r in got] == brute_bands(got)
+    assert any(not r.kept and not r.base_failed for r in got)
+    bare = fe.quality(df.drop("lang")).collect()
+    assert [r.kept for r in bare] == brute_bands(bare) and all(r.band == r.script for r in bare)
