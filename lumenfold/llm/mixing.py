@@ -157,51 +157,61 @@ def each_copy(placed: DataFrame) -> DataFrame:
     return copies.withColumn("position", position(F.col("copy")))
 
 
-def schedule(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
-    """One row per copy: ``doc_id, copy, position, rank``.
+def ranks(copies: DataFrame, *tie: Column) -> DataFrame:
+    """The copies with ``rank``, their place among all of them in training order, from 0.
 
-    ``position`` is the training time from 0 to 1, ``rank`` the place of the copy among
-    all copies, from 0; ``mix`` writes the documents in this order. Ranks are the places in
-    the partitions of a range sort plus one offset per partition.
+    Ranks are the places in the partitions of a range sort plus one offset per partition.
     """
-    rows = sized(df, id_col, source_col, text_col)
-    celled = with_cells(rows, source_targets(rows))
-    tie = F.col("doc_id").asc_nulls_last()
-    copies = each_copy(demand(celled, cell_offsets(celled), tie))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(
-        copies.select("doc_id", "copy", "position", "h", "size")
-        .repartitionByRange(parts, *training_order(tie))
-        .sortWithinPartitions(*training_order(tie), "size")
+        copies.repartitionByRange(parts, *training_order(*tie))
+        .sortWithinPartitions(*training_order(*tie), "size")
         .withColumn("part", F.spark_partition_id())
         .withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))  # at most one row per partition
     offsets = offsets.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
-    rank = (F.col("at") + F.col("offset")).alias("rank")
-    return ranged.join(F.broadcast(offsets), "part").select("doc_id", "copy", "position", rank)
+    rank = F.col("at") + F.col("offset")
+    return ranged.join(F.broadcast(offsets), "part").withColumn("rank", rank).drop("part", "at", "offset")
+
+
+def _demanded(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    rows = sized(df, id_col, source_col, text_col)
+    celled = with_cells(rows, source_targets(rows))
+    return demand(celled, cell_offsets(celled), F.col("doc_id").asc_nulls_last())
+
+
+def schedule(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
+    """One row per copy: ``doc_id, copy, position, rank``.
+
+    ``position`` is the training time from 0 to 1, ``rank`` the place of the copy among
+    all copies, from 0; ``mix`` writes the documents in this order. A NULL text has size 0
+    and is read once, at its place in the stream; NULL is a source of its own, last in
+    order. Rows that repeat an id are documents of their own, and rows repeated whole
+    are interchangeable. An empty table gives no rows.
+    """
+    copies = each_copy(_demanded(df, id_col, source_col, text_col)).select("doc_id", "copy", "position", "h", "size")
+    return ranks(copies, F.col("doc_id").asc_nulls_last()).select("doc_id", "copy", "position", "rank")
 
 
 def plan(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``, with
-    ``copies`` and ``position`` of the first copy (NULL if there is none).
+    ``copies``, and ``position`` and ``rank`` of the first copy (NULL if there is none).
 
-    A NULL text has size 0; NULL is a source of its own, last in order. NULL and repeated
-    ids are fine. Documents are ordered by a digest of the id, so reruns agree. An empty
-    table gives no rows.
+    What is taken of a document are the copies that the schedules give a place in training;
+    the rows come from the range sort of these. A NULL text has size 0; NULL is a source
+    of its own, last in order. NULL and repeated ids are fine. Documents are ordered by a
+    digest of the id, so reruns agree. An empty table gives no rows.
     """
-    rows = sized(df, id_col, source_col, text_col)
-    celled = with_cells(rows, source_targets(rows))
-    out = demand(celled, cell_offsets(celled), F.col("doc_id").asc_nulls_last())
-    return out.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.col("copies")).alias("taken"),
-        "copies",
-        F.when(F.col("copies") > 0, position(F.lit(0))).alias("position"),
+    placed = stored(_demanded(df, id_col, source_col, text_col))
+    facts = ("doc_id", "size", "source_size", "target", "copies")
+    copies = each_copy(placed).select(*facts, "copy", "position", "h")
+    first = ranks(copies, F.col("doc_id").asc_nulls_last()).filter("copy = 0").select(*facts, "position", "rank")
+    none = placed.filter("copies = 0").select(*facts, F.lit(None).cast("double").alias("position"), F.lit(None).cast("long").alias("rank"))
+    out = first.unionByName(none)
+    return out.withColumn("taken", F.col("size") * F.col("copies")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "position", "rank"
     )
 
 
@@ -209,7 +219,9 @@ def mix(df: DataFrame, id_col="doc_id", source_col="source", text_col="text") ->
     """The documents in training order, each as many times as the mix reads it, with the
     columns of ``df``. The partitions are ranges of training positions, sorted inside.
 
-    Texts are shuffled twice: once by cell, once by position.
+    Texts are shuffled twice: once by cell, once by position. NULL and empty texts are read
+    once; NULL sources and ids, rows that repeat an id, and columns named like those used
+    here are fine. An empty table gives no rows.
     """
     rows = sized(df, id_col, source_col, text_col)
     targets = source_targets(rows)

@@ -18,41 +18,8 @@ FROM d
 WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST)
 """
 
-ORACLE["op10_mixing"] = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS h
-  FROM documents),
-s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
-         [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight
-  FROM d GROUP BY source),
--- k sources with the lowest cap per weight are held at their cap
-o AS (
-  SELECT *, row_number() OVER w - 1 AS k,
-         coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS caps,
-         (sum(weight) OVER ())::BIGINT
-           - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS free,
-         (sum(source_size) OVER ())::BIGINT AS total
-  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
-u AS (SELECT (total - caps)::DOUBLE / free AS unit FROM o
-      WHERE (total - caps)::DOUBLE / free * weight <= 3 * source_size ORDER BY k LIMIT 1),
-t AS (SELECT s.source, source_size,
-             CASE WHEN unit * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE unit * weight END AS target
-      FROM s, u),
-p AS (
-  SELECT d.doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       size * ((2 * start + size <= 2 * target)::BIGINT
-             + (2 * (source_size + start) + size <= 2 * target)::BIGINT
-             + (2 * (2 * source_size + start) + size <= 2 * target)::BIGINT) AS taken
-FROM p
-"""
-
-ORACLE["op10_mixing_order"] = r"""
+#: Every copy that the mix reads, with its training position.
+_COPIES = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS h
@@ -90,10 +57,29 @@ w AS (
   SELECT *, CASE WHEN slope = 0 THEN u
                  ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) / (2 * slope) END AS position
   FROM v)
+"""
+
+ORACLE["op10_mixing"] = (
+    _COPIES
+    + """,
+x AS (SELECT *, row_number() OVER (ORDER BY position, h, doc_id NULLS LAST, copy, size) - 1 AS rank FROM w),
+n AS (SELECT doc_id, h, size, start, source_size, target, count(*) AS copies, arg_min(position, copy) AS position, arg_min(rank, copy) AS rank
+      FROM x GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, p.target, p.size * coalesce(copies, 0) AS taken, position, rank
+FROM p LEFT JOIN n ON p.doc_id IS NOT DISTINCT FROM n.doc_id AND p.start = n.start AND p.size = n.size
+  AND p.source_size = n.source_size AND p.target = n.target AND p.h = n.h
+"""
+)
+
+ORACLE["op10_mixing_order"] = (
+    _COPIES
+    + """
 SELECT doc_id, copy, position,
        row_number() OVER (ORDER BY position, h, doc_id NULLS LAST, copy, size) - 1 AS rank
 FROM w
 """
+)
+
 
 ORACLE["op7_sharding"] = r"""
 WITH RECURSIVE shards AS (

@@ -113,9 +113,9 @@ def op9_html_crf(spark, folder):
 
 @query
 def op10_mixing(spark, folder):
-    """What the mix takes of every document."""
+    """What the mix takes of every document, and where its first copy stands in training."""
     out = mixing.plan(table(spark, folder, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", "rank")
 
 
 @query
