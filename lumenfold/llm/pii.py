@@ -97,14 +97,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the transducer ---------------------------------------------------------
 
-# Letters of other alphabets that look like Latin ones.
+# Letters of other alphabets that look like Latin ones (Cyrillic, Greek capitals,
+# Greek small, Armenian, Cherokee).
 _LOOKALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοι",
-        "ABESIJKMHOPCTYXaesijopcyxdqwh" + "ABEZHIKMNOPTYXoi",
+        "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһЬԌԍѵґԚԜ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ" + "αγηικνορστυχωϲϳ" + "օսհոցզյՕՍԼ" + "ᎠᎡᎢᎫᎬᎳᎷᎻᏀᏃᏞᏟᏢᏦᏴᏙᏚᏒᎪ",
+        "ABESIJKMHOPCTYXaesijopcyxdqwhbGgvrQW" + "ABEZHIKMNOPTYXC" + "aynikvopotuxwcj" + "ouhngqjOUL" + "DRTJEWMHGZLCPKBVSRA",
         strict=True,
     )
 )
+# Latin small capitals, by their names.
+_LOOKALIKES |= {
+    chr(c): name[-1].lower()
+    for c in (*range(0x1D00, 0x1D23), *range(0x0250, 0x02B0), *range(0xA730, 0xA732))
+    if re.fullmatch("LATIN LETTER SMALL CAPITAL [A-Z]", name := unicodedata.name(chr(c), ""))
+}
 _INVISIBLE = frozenset("­​‌‍‎‏⁠⁡⁢⁣⁤﻿᠎")
 _DIGITS = re.compile(r"[0-9]")
 # Spelled digits in the languages of the corpus.
@@ -222,7 +229,7 @@ def normalise(text: str) -> Tape:
 #: digit on one side. Digits may be spelled; what ends a digit is no letter.
 _ANY_DIGIT = rf"(?:(?:{_WORD_DIGIT})(?!\w)|[0-9])"
 _HINT = re.compile(
-    rf"{_ODD.pattern}|{_OPEN}[\x20]?(?:@|{_AT_WORDS}|\.|{_DOT_WORDS})[\x20]?{_CLOSE}|[\x20_-](?:{_DOT_WORDS}|\.)[\x20_-]|[\x20]@|@[\x20]"
+    rf"(?-i:{_ODD.pattern})|{_OPEN}[\x20]?(?:@|{_AT_WORDS}|\.|{_DOT_WORDS})[\x20]?{_CLOSE}|[\x20_-](?:{_DOT_WORDS}|\.)[\x20_-]|[\x20]@|@[\x20]"
     rf"|(?<!\w)(?:plus[\x20]{{1,2}}{_ANY_DIGIT}|(?:{_WORD_DIGIT})[\x20,.-]{{1,2}}{_ANY_DIGIT})|[\x20](?:dash|minus)[\x20]{_ANY_DIGIT}|[0-9][\x20,.-]{{1,2}}(?:{_WORD_DIGIT})(?!\w)",
     re.I,
 )
