@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters that are neither a blank nor one of \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key with more than this share of the rows is hot. At most 1 / HOT_SHARE keys
-#: can be hot, which is the bound on what ``hot_join`` broadcasts.
+#: A key with more than this share of the rows is hot, or with more than a task's share where
+#: there are more tasks. At most 1 / HOT_SHARE keys, or as many as there are tasks, can be
+#: hot, which is the bound on what ``hot_join`` broadcasts.
 HOT_SHARE = 1 / 500
 #: Bits of Spark's row numbers that count inside a partition.
 INSIDE = 33
@@ -69,14 +70,15 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str
     """Join ``left`` to ``right``, which has one row per key and in column ``n`` the
     number of left rows with that key.
 
-    Hot keys, those with more than ``HOT_SHARE`` of the rows, are at most 500 rows
-    of ``right``: they are broadcast, so a hot key is never shuffled into one task.
+    Hot keys, those with more than ``HOT_SHARE`` or a task's share of the rows, are at most
+    500 rows of ``right``, or as many as there are tasks: they are broadcast, so a hot key is never shuffled into one task.
     The other keys are joined by a shuffle, where each has a small share. Keys match
     as by ``<=>``, so NULL is a key like any other. ``right`` is read twice and should
     be a stored table. The result has the columns of ``left`` and ``right`` but ``n``.
     """
     total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    bar = max(1000, int(total * HOT_SHARE))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bar = max(1000, int(total * min(HOT_SHARE, 1 / tasks)))
     marked = [f"__{i}" for i in range(len(on))]
     keyed = right.withColumnsRenamed(dict(zip(on, marked, strict=True)))
     same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(on, marked, strict=True)]

@@ -15,20 +15,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, text_of
+from lumenfold.llm.common import ranked, stored, text_of
 from lumenfold.llm.tokens import public_path, word_tokens
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces in a shard on average. A shard wastes a few sequences, whatever its size.
 SHARD = 65_536
-#: Cells of documents that a shard is made of, on average.
-CELLS = 16
-#: Above the number of pieces of a document: a text has fewer than 2 ** 31 bytes.
-PIECES = 1 << 26
 _NEVER = np.int64(1) << 40
 
 
@@ -142,28 +138,20 @@ def middle(seq: np.ndarray, key: np.ndarray) -> np.ndarray:
 def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.
 
-    Shards are ranges of the order of ``pieces``, made of whole cells of documents. A
-    sequence is numbered by its middle piece, so ids increase in that order, from shard to
-    shard and inside a shard. Offsets of a sequence are gapless from 0. Pieces without ids
-    and repeated rows are pieces like any other. An empty table gives no rows.
+    Pieces are numbered in the order of ``pieces`` by a range sort, and shards are ranges of
+    the shorter ones among them. A sequence is numbered by its middle piece, so ids increase
+    in that order, from shard to shard and inside a shard. Offsets of a sequence are gapless
+    from 0. Pieces without ids and repeated rows are pieces like any other; those of a NULL
+    or empty text are its end. An empty table gives no rows.
     """
-    cut = stored(cut)
-    width = max(1, shard // CELLS)
-    cell = F.floor(F.col("row") / width).alias("cell")
-    order = Window.orderBy("file", "cell")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut.groupBy("file", cell).agg(F.count_if(F.col("length") < capacity).alias("n"))  # a row for some thousand documents
-    number = (F.row_number().over(order) - 1).cast("long").alias("number")
-    cells = stored(cells.select("file", "cell", "n", number, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard))
-    key = (F.col("number") * width + F.col("row") % width) * PIECES + F.col("piece")
     names = [c for c in cut.columns if c not in ("file", "row")]
-    keyed = cut.withColumn("cell", cell).join(F.broadcast(cells), ["file", "cell"]).withColumn("key", key)
-    full = keyed.filter(F.col("length") == capacity).select(*names, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(names).schema)
-    rest = keyed.filter(F.col("length") < capacity)
-    at = F.floor(F.col("before") * shards / max(1, total)).cast("int")
+    keyed = ranked(stored(cut), [], ["file", "row", "piece"]).drop("file", "row", "n").withColumnRenamed("pos", "key")
+    full = keyed.filter(F.col("length") == capacity).select(*names, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = ranked(keyed.filter(F.col("length") < capacity), [], ["key"])
+    total = rest.agg(F.max("n")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    at = F.floor(F.col("pos") * shards / max(1, total)).cast("int")
     dealt = rest.select(*names, "key", at.alias("shard")).repartitionById(shards, F.col("shard")).drop("shard")
     packed = dealt.mapInArrow(_pack_shard(capacity), f"{kinds}, sequence_id long, offset long")
     return packed.unionByName(full)
