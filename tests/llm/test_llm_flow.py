@@ -78,13 +78,14 @@ def test_position_inverts_the_integrated_schedule(spark):
         assert r.t + r.slope * (r.t * r.t - r.t) == pytest.approx((r.start + 0.5) / 10)
 
 
-def test_mixing_order_agrees_with_sql_and_needs_the_slopes(spark, folder, monkeypatch):
+@pytest.mark.parametrize("name", ["op10_mixing", "op10_mixing_order"])
+def test_mixing_agrees_with_sql_and_needs_the_slopes(spark, folder, monkeypatch, name):
     from check import compare, connect
 
     from lumenfold.llm.oracle import ORACLE
     from lumenfold.llm.queries import QUERIES
 
-    args = (spark, connect(folder), "op10_mixing_order", QUERIES["op10_mixing_order"], ORACLE["op10_mixing_order"], folder)
+    args = (spark, connect(folder), name, QUERIES[name], ORACLE[name], folder)
     assert compare(*args) == ""
     monkeypatch.setattr(mixing, "SLOPES", (0.0, 0.0, 0.0))
     assert "differ" in compare(*args)
@@ -294,3 +295,76 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, size long, keep_id long"
+
+
+def test_stages_take_odd_rows(spark, folder):
+    """NULL and repeated ids and texts, rows repeated whole, a very long text, and columns named
+    like those that the stages use."""
+    rng = random.Random(2)
+    texts = [None, "", " \n", "one two three four", "One two three four", "long word " * 20_000, *(" ".join(rng.choices("abcdefghij", k=30)) for _ in range(20))]
+    rows = [(None if i % 5 == 0 else i // 2, t, "en", rng.choice(["a", "b", None]), None, 7, 0.5, -3, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:4] + [rows[7]] * 3, ODD_DOCS)
+    kept = docs
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.stored(stage(spark, kept, folder))
+        counts.append(kept.count())
+        assert kept.columns == docs.columns
+        assert {(r.row, r.score, r.size) for r in kept.collect()} == {(7, 0.5, -3)}
+    toxic, exact, near, _ = counts
+    # NULL, the empty text and the blank one are equal; so are rows repeated whole.
+    assert toxic == len(rows) + 7 and exact == len(texts) - 2 and near <= exact
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, folder)
+    assert check_packing(packed.collect(), [r.text or "" for r in kept.collect()], 2048) > 0
+
+
+def test_packing_has_no_broadcast_that_grows(spark):
+    """What is numbered is joined to one count per partition, and no window holds all rows."""
+    cut = packing.pieces(frame(spark, some_rows() * 50))
+    plan = packing.pack(cut)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastExchange" not in plan
+
+
+# ---- the learner --------------------------------------------------------------
+
+
+def plain_ftrl(examples, epochs, seed):
+    """FTRL-proximal with a dictionary per coordinate, one text after the other."""
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)):
+            at, label = examples[k]
+            w = {int(i): weight(int(i)) for i in at}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            g = (p - label) * (toxicity.TOXIC_WEIGHT if label else 1.0)
+            for i, wi in w.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * wi
+                n[i] += g * g
+    return {(toxicity.BIAS if i == bias else i): weight(i) for i in z if weight(i) or i == bias}
+
+
+def test_learner_by_brute_force():
+    rng = random.Random(7)
+    examples = []
+    for _ in range(300):
+        label = int(rng.random() < 0.3)
+        some = rng.sample(range(40), 6) + [50 + label * rng.randrange(4), 1 << toxicity.BITS]
+        examples.append((np.array(sorted(set(some)), dtype=np.int64), label))
+    at, w = toxicity.train(examples, epochs=4, seed=3)
+    want = plain_ftrl(examples, 4, 3)
+    got = dict(zip(at.tolist(), w.tolist()))
+    assert {i for i, x in got.items() if abs(x) > 0.02} <= set(want) and {i for i, x in want.items() if abs(x) > 0.02} <= set(got)
+    assert all(got[i] == pytest.approx(want.get(i, 0.0), abs=0.02) for i in got)
+    assert len(got) < 40  # of 45 coordinates; the others are exactly zero

@@ -332,3 +332,11 @@ def test_fertility_bands_by_brute_force(spark):
     assert any(not r.kept and not r.base_failed for r in got)
     bare = fe.quality(df.drop("lang")).collect()
     assert [r.kept for r in bare] == brute_bands(bare) and all(r.band == r.script for r in bare)
+
+
+@pytest.mark.parametrize("letter", sorted(pii._LOOKALIKES))
+def test_every_lookalike_is_read(letter):
+    text = f"write to x{letter}y@mail.com or {letter}nn@mail.com"
+    found = {(a, b) for a, b, kind in pii.spans(text) if kind == "email"}
+    assert {(9, 21), (25, 37)} <= found
+    assert len(pii._LOOKALIKES[letter]) == 1 and pii._LOOKALIKES[letter].isascii()
