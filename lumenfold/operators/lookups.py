@@ -69,18 +69,18 @@ def lookup_join(
     return met.unionByName(df.filter(F.col(on).isNull()), allowMissingColumns=True)
 
 
-HOT_SHARE = 1 / 500  # of all rows: a key with more is hot, and there are at most 500 such keys
+HOT_SHARE = 1 / 500  # of all rows; a key with more, or with more than a task's share, is hot
 
 
 def hot_lookup(df: DataFrame, lookup: DataFrame, on: str, n: str, how: str = "left") -> DataFrame:
     """Join to ``lookup``, which has one row per key and in ``n`` the key's rows in ``df``.
 
-    Keys with more than ``HOT_SHARE`` of the rows are broadcast, which bounds them to
-    500; all other keys meet in a shuffle, where none is large. ``lookup`` should be
+    Hot keys are broadcast, at most 500 or as many as there are tasks; all other keys meet in a shuffle, where none is large. ``lookup`` should be
     materialised, as it is read twice. ``n`` does not come out.
     """
     total = lookup.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    bar = max(1000, int(total * HOT_SHARE))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bar = max(1000, int(total * min(HOT_SHARE, 1 / tasks)))
     if total <= bar:
         return df.join(lookup.drop(n), on, how)
     hot = lookup.filter(F.col(n) > bar).drop(n)
