@@ -2,13 +2,16 @@ import pytest
 """Landed files in, result files out."""
 
 import json
+import math
+import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import EMOTIONS
 from lumenfold.functions.text import clean_text
 from lumenfold.operators.models import complete, emotion_model, encode_model
-from lumenfold.sources import readers, sinks
+from lumenfold.sources import adapters, readers, sinks
 from lumenfold.streaming.feeds import land, stream_posts, stream_tweets
 
 
@@ -138,3 +141,46 @@ def test_prompts_keep_placeholders_in_evidence(spark):
     lists = spark.createDataFrame(rows, "facet string, evidence array<string>")
     prompt = swot_prompt(lists, "tea").first()["prompt"]
     assert '["say {negative} {subject}"]' in prompt and '["no"]' in prompt and "review of tea" in prompt
+
+
+def message_tables(spark, folder):
+    """Documents, events and pages with repeated, missing and NULL keys."""
+    texts = ["One. Two!  Three", "", "No cut", None, "A? B? C? D. "]
+    documents = [(i, t) for i, t in enumerate(texts)] + [(0, "Again. Again."), (None, "Of none. x"), (-3, "Below. y")]
+    events = [(i, datetime(2024, 1, 1 + i), 10 + i, f"t{i}") for i in (0, 1, 2, 2, 4, 5)]
+    pages = [(0, "u0"), (1, "u1"), (1, "again"), (7, "u7")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    return documents, events, pages
+
+
+def test_every_sentence_meets_its_event_and_page(spark, tmp_path):
+    documents, events, pages = message_tables(spark, str(tmp_path))
+    want = []
+    for doc, text in documents:
+        for pos, sentence in enumerate([] if text is None else re.split(r"(?<=[.!?])\s+", text)):
+            # the remainder has the sign of the id, as in SQL
+            found = [e for e in events if doc is not None and e[0] == math.fmod(doc * 7919 + pos, len(events))]
+            links = [p[1] for p in pages if doc is not None and p[0] == math.fmod(doc, len(pages))]
+            for _, ts, user, kind in found or [(None, None, None, None)]:
+                for url in links or [""]:
+                    sender = "" if user is None else user
+                    tweet = None if doc is None else doc * 2**31 + pos
+                    want.append((tweet, ts, f"@user{sender} #{kind or ''} {url} {sentence}"))
+    got = [(r["tweet_id"], r["ts"], r["text"]) for r in adapters.tweets(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_texts_of_messages_are_shuffled_once(spark, tmp_path, capsys):
+    message_tables(spark, str(tmp_path))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        adapters.tweets(spark, str(tmp_path)).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    steps = re.split(r"\n\n+", capsys.readouterr().out)
+    dealt = [s for s in steps if re.match(r"\(\d+\) Exchange", s)]
+    assert len(dealt) > 2
+    assert len([s for s in dealt if re.search(r"\b(text|sentence)#", s)]) == 1
