@@ -9,9 +9,14 @@ term and sorted by term: a search reads the folders of its terms and skips the r
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,51 @@ def _sums(deltas: Column, first: Column) -> Column:
     return F.aggregate(deltas, empty, lambda acc, d: F.array_append(acc, last(acc) + d))
 
 
+_LISTS = "folder int, term string, segment long, docs array<long>, places array<array<long>>"
+
+
+def _ends(starts: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.append(starts, n).astype(np.int32))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of words in the order of term, segment, document and place."""
+    rest = None
+    for batch in chain(batches, [None]):
+        parts = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+        if not parts:
+            continue
+        rows = pa.concat_tables(parts).combine_chunks()
+        if not rows.num_rows:
+            continue
+        segment, term = rows.column("segment").to_numpy(), rows.column("term").combine_chunks()
+        other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+        first = np.concatenate(([True], other | (segment[1:] != segment[:-1])))
+        end = len(first)
+        if batch is not None:  # the last list may go on in the next batch
+            end = int(np.flatnonzero(first)[-1])
+            rest = rows.slice(end)
+            if not end:
+                continue
+        doc, place = rows.column("doc").to_numpy()[:end], rows.column("place").to_numpy()[:end]
+        first = first[:end]
+        of_doc = first | np.concatenate(([True], doc[1:] != doc[:-1]))
+        once = np.flatnonzero(of_doc | np.concatenate(([True], place[1:] != place[:-1])))
+        first, of_doc, doc, place = first[once], of_doc[once], doc[once], place[once]
+        step = np.where(of_doc, place, place - np.concatenate(([0], place[:-1])))
+        docs = np.flatnonzero(of_doc)
+        head, number = first[docs], doc[docs]
+        lists = np.flatnonzero(head)
+        kept = rows.select(["folder", "term", "segment"]).take(pa.array(once[docs[lists]])).combine_chunks()
+        begin = np.repeat(kept.column("segment").to_numpy() * SEGMENT, np.diff(np.append(lists, len(docs))))
+        gap = number - np.where(head, begin, np.concatenate(([0], number[:-1])))
+        at = pa.ListArray.from_arrays(_ends(docs, len(once)), pa.array(step))
+        ends = _ends(lists, len(docs))
+        columns = [c.combine_chunks() for c in kept.columns]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(gap)), pa.ListArray.from_arrays(ends, at)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*kept.column_names, "docs", "places"])
+
+
 def postings(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(folder, term, segment, docs, places): ``docs`` are differences of document numbers,
     ``places`` for each document the differences of the word's positions.
@@ -48,27 +98,17 @@ def postings(df: DataFrame, ident: str, text: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doc = F.col(f"`{ident}`").cast("long")
     each = df.select(doc.alias("doc"), F.posexplode(words(text)).alias("place", "term")).filter("doc is not null")
-    each = each.withColumn("segment", F.expr(f"floor(doc / {SEGMENT})").cast("long"))
-    # Dealt once by what both steps group on; a segment bounds every group.
-    dealt = each.repartition(parts, "term", "segment")
-    of_doc = dealt.groupBy("term", "segment", "doc").agg(F.sort_array(F.collect_set(F.col("place").cast("long"))).alias("at"))
-    lists = of_doc.groupBy("term", "segment").agg(F.sort_array(F.collect_list(F.struct("doc", "at"))).alias("l"))
-    docs = F.transform("l", lambda x: x["doc"])
-    places = F.transform("l", lambda x: _deltas(x["at"], F.lit(0)))
-    return lists.select(
-        folder_of(F.col("term")).alias("folder"),
-        "term",
-        "segment",
-        _deltas(docs, F.col("segment") * SEGMENT).alias("docs"),
-        places.alias("places"),
-    )
+    segment = F.expr(f"floor(doc / {SEGMENT})").cast("long").alias("segment")
+    each = each.select(folder_of(F.col("term")).alias("folder"), "term", segment, "doc", F.col("place").cast("long"))
+    # Dealt once, by what the table is sorted by; a segment bounds every list.
+    by = ["folder", "term", "segment"]
+    dealt = each.repartitionByRange(parts, *by).sortWithinPartitions(*by, "doc", "place")
+    return dealt.mapInArrow(_lists, _LISTS)
 
 
 def write_index(df: DataFrame, ident: str, text: str, path: str) -> None:
     """Write the index of a text column; an existing one is an error."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = ["folder", "term", "segment"]
-    rows = postings(df, ident, text).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = postings(df, ident, text).sortWithinPartitions("folder", "term", "segment")
     rows.write.partitionBy("folder").parquet(path)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -354,3 +355,26 @@ def test_pairs_of_terms_have_all_orders():
     assert [len(parse_keywords(" OR ".join(p))) for p in itertools.permutations("abc")] == [3] * 6
     with pytest.raises(ValueError):
         parse_keywords("AND OR")
+
+
+def test_postings_by_brute_force_and_with_one_shuffle(spark):
+    texts = [(3, "a b a"), (3, "b c a"), (-1, "a"), (5000, "c. A"), (1024, "a a"), (1023, "b"), (None, "a"), (9, None), (7, "a")]
+    texts += [(10 + i, "often") for i in range(700)]
+    found = ki.postings(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    want = {}
+    for doc, text in texts:
+        for place, word in enumerate(re.findall(r"\w+", (text or "").lower()) if doc is not None else []):
+            want.setdefault((word, doc // 1024), {}).setdefault(doc, set()).add(place)
+    deltas = lambda values, first: [b - a for a, b in zip([first, *values], values, strict=False)]
+    want = {
+        (word, segment): (deltas(sorted(docs), segment * 1024), [deltas(sorted(docs[d]), 0) for d in sorted(docs)])
+        for (word, segment), docs in want.items()
+    }
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # lists go on over batches
+    try:
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["term"], r["segment"]): (r["docs"], r["places"]) for r in rows} == want and len(rows) == len(want)
