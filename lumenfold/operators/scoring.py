@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.fixed import EMOTIONS, ENCODER_DIMS
-from lumenfold.functions.text import words
+from lumenfold.functions.text import NOT_WORD_RUN, words
 from lumenfold.functions.vectors import (
     buckets_norm,
     cosine_dense,
@@ -17,7 +24,7 @@ from lumenfold.functions.vectors import (
     term_buckets_sql,
     term_vector,
 )
-from lumenfold.operators.lookups import TooManyRows, lookup_join, small_literal
+from lumenfold.operators.lookups import TooManyRows, lookup_join, small_literal, small_rows
 
 FACETS = 64  # facets in one literal, or in one block of a larger set
 WEIGHT = "decimal(28, 18)"  # lexicon weights; their sums do not depend on order
@@ -185,6 +192,62 @@ def _with_facets(df: DataFrame, facets: DataFrame) -> DataFrame:
     )
 
 
+Scores = Callable[[pa.Array], Iterator[np.ma.MaskedArray]]
+
+
+def _kept(sim: np.ma.MaskedArray, best: int | None) -> np.ndarray | None:
+    """The rows that can be among the ``best`` of their batch, equal ones included; None: all."""
+    if best is None or len(sim) <= best:
+        return None
+    value = sim.filled(-np.inf)
+    bar = np.partition(value, len(value) - best)[len(value) - best]  # NaN is the highest
+    return np.flatnonzero(np.isnan(value) | (value >= bar))
+
+
+def _scored(rows: DataFrame, scores: Scores, facets: list[Row], kind: T.DataType, best: int | None) -> DataFrame:
+    """``rows`` with its last column replaced by (facet, sim), each row for every facet."""
+    keep = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, sim in enumerate(scores(batch.column(batch.num_columns - 1))):
+                rest, kept = batch.select(range(len(keep))).columns, _kept(sim, best)
+                if kept is not None:
+                    sim, rest = sim[kept], [c.take(pa.array(kept)) for c in rest]
+                values = pa.array(sim.data, mask=np.ma.getmaskarray(sim))
+                place = pa.array(np.full(len(sim), at, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*rest, place, values], names=[*keep, "_facet", "sim"])
+
+    extra = [T.StructField("_facet", T.IntegerType()), T.StructField("sim", T.DoubleType())]
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *extra]))
+    names = F.array(*[F.lit(f["facet"]).cast(kind) for f in facets])
+    return found.select(*keep, F.get(names, F.col("_facet")).alias("facet"), "sim")
+
+
+def _word_scores(facets: list[Row], dims: int) -> Scores:
+    """Cosine of the term counts of words, one space apart, with every facet."""
+    counts = [np.array(f["counts"], dtype="float64") for f in facets]
+    norms = [float(f["norm"]) for f in facets]
+
+    def scores(column: pa.Array) -> Iterator[np.ma.MaskedArray]:
+        n = len(column)
+        lists = pc.split_pattern(column, " ")
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        flat = lists.flatten().dictionary_encode()
+        of_word = [int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dims if w else -1 for w in flat.dictionary.to_pylist()]
+        bucket = np.array(of_word, dtype=np.int64)[flat.indices.to_numpy()]
+        row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+        key, count = np.unique(row * dims + bucket, return_counts=True)
+        # Sums of whole numbers, exact as floats.
+        norm = np.bincount(key // dims, weights=count.astype("float64") ** 2, minlength=n)
+        for c, facet_norm in zip(counts, norms, strict=True):
+            dot = np.bincount(row, weights=c[bucket], minlength=n)
+            length = np.sqrt(norm * facet_norm)
+            yield np.ma.MaskedArray(np.divide(dot, length, out=np.zeros(n), where=length != 0))
+
+    return scores
+
+
 def score_sparse(
     df: DataFrame,
     keep: list[str],
@@ -192,17 +255,34 @@ def score_sparse(
     seeds: DataFrame,
     dims: int = ENCODER_DIMS,
     cleaned: bool = False,
+    best: int | None = None,
 ) -> DataFrame:
     """Every text with every facet → (keep..., facet, sim).
 
-    A text is encoded and scored inside its own row. With up to ``FACETS`` facets the
-    job has no join and no shuffle of texts.
+    A text is encoded and scored in its task, many at a time. With up to ``FACETS``
+    facets the job has no join and no shuffle of texts. With ``best``, rows that
+    cannot be among so many best ones of a facet may be left out.
     """
+    facets = encode_facets(seeds, dims)
+    try:
+        few = small_rows(facets, FACETS, "facets")
+    except TooManyRows:
+        return _score_sparse_blocks(df, keep, text, facets, dims, cleaned)
+    lower = F.lower(F.col(text))
+    spaced = lower if cleaned else F.regexp_replace(lower, NOT_WORD_RUN, " ")
+    rows = df.select(*keep, spaced.cast("binary").alias("_words"))
+    return _scored(rows, _word_scores(few, dims), few, facets.schema["facet"].dataType, best)
+
+
+def _score_sparse_blocks(
+    df: DataFrame, keep: list[str], text: str, facets: DataFrame, dims: int, cleaned: bool
+) -> DataFrame:
+    """:func:`score_sparse` with blocks of facets, joined."""
     encoded = df.select(
         *keep, F.expr(term_buckets_sql(text, dims, cleaned)).alias("_buckets")
     ).select("*", buckets_norm("_buckets").alias("_norm"))
     sim = cosine_sql(dot_buckets_sql("_buckets", "f.counts"), "_norm", "f.norm")
-    return _with_facets(encoded, encode_facets(seeds, dims)).select(
+    return _with_facets(encoded, facets).select(
         *keep,
         F.expr(f"inline(transform(_facets, f -> struct(f.facet as facet, {sim} as sim)))"),
     )
@@ -227,10 +307,63 @@ def cosine_sparse(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
     )
 
 
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the columns of two matrices added up from the first row to the last, so
+    that a vector's sum does not depend on its batch."""
+    total = np.zeros(a.shape[1])
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
+def _vector_scores(facets: list[Row]) -> Scores:
+    """Cosine of vectors with every facet, as :func:`cosine_dense`: 0.0 if either is a zero
+    vector, NULL where a value is missing or lengths differ."""
+    vectors = [f["embedding"] for f in facets]
+    whole = [v is not None and None not in v for v in vectors]
+    vectors = [np.array(v if ok else [], dtype="float64")[:, None] for v, ok in zip(vectors, whole, strict=True)]
+
+    def scores(column: pa.Array) -> Iterator[np.ma.MaskedArray]:
+        n = len(column)
+        size = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+        flat = column.flatten()
+        start = np.concatenate(([0], np.cumsum(np.maximum(size, 0))))[:-1]
+        lost = size < 0
+        if flat.null_count:
+            lost |= np.isin(np.arange(n), np.repeat(np.arange(n), np.maximum(size, 0))[flat.is_null().to_numpy(zero_copy_only=False)])
+        values = flat.to_numpy(zero_copy_only=False).astype("float64")
+        groups = []  # rows without gaps by length, one matrix each, vectors as columns
+        for d in np.unique(size[~lost]):
+            rows = np.flatnonzero(~lost & (size == d))
+            m = np.ascontiguousarray(values[start[rows][None, :] + np.arange(d)[:, None]])
+            groups.append((rows, m, np.sqrt(_in_order(m, m))))
+        for v, ok in zip(vectors, whole, strict=True):
+            sim, gone = np.zeros(n), np.ones(n, dtype=bool)
+            for rows, m, length in groups if ok else []:
+                norms = length * np.sqrt(_in_order(v, v))
+                if len(v) == len(m):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sim[rows] = np.where(norms == 0, 0.0, _in_order(m, np.broadcast_to(v, m.shape)) / norms)
+                    gone[rows] = False
+                else:
+                    gone[rows] = norms != 0
+            yield np.ma.MaskedArray(sim, mask=gone)
+
+    return scores
+
+
 def score_dense(
-    df: DataFrame, keep: list[str], vector: str, facets: DataFrame
+    df: DataFrame, keep: list[str], vector: str, facets: DataFrame, best: int | None = None
 ) -> DataFrame:
     """Dense form of :func:`score_sparse`; ``facets`` is (facet, embedding)."""
+    facets = facets.select("facet", "embedding")
+    rows = df.select(*keep, F.col(vector).cast("array<double>").alias("_v"))
+    try:
+        few = small_rows(facets, FACETS, "facets")
+    except TooManyRows:
+        pass
+    else:
+        return _scored(rows, _vector_scores(few), few, facets.schema["facet"].dataType, best)
     scores = F.transform(
         "_facets",
         lambda f: F.struct(
@@ -238,8 +371,7 @@ def score_dense(
             cosine_dense("_v", f["embedding"]).alias("sim"),
         ),
     )
-    rows = df.select(*keep, F.col(vector).alias("_v"))
-    return _with_facets(rows, facets.select("facet", "embedding")).select(*keep, F.inline(scores))
+    return _with_facets(rows, facets).select(*keep, F.inline(scores))
 
 
 def source_centroids(df: DataFrame, source: str, vector: str) -> DataFrame:

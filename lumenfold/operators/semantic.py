@@ -163,5 +163,5 @@ def semantic_evidence(
     mean = vector_to_array(Summarizer.mean(array_to_vector("embedding")))
     facets = materialise(seeds.groupBy("facet").agg(mean.alias("embedding")))
     placed = encode_semantic(texts, [*keep, text], text, model)
-    scored = score_dense(placed, [*keep, text], "embedding", facets)
+    scored = score_dense(placed, [*keep, text], "embedding", facets, best=k)
     return topk(scored, k, [F.desc("sim"), *(F.col(c) for c in keep)])

@@ -31,6 +31,7 @@ def swot_articles(
         "text",
         seeds,
         cleaned=True,
+        best=k,
     )
     return topk(scored, k, [F.desc("sim"), F.col("article_id"), F.col("pos")])
 
@@ -44,7 +45,7 @@ def topk_distinct(
     encoding, where they also cost nothing to score.
     """
     scored = score_sparse(
-        distinct_texts(sentences, "text"), ["text"], "text", seeds, cleaned=cleaned
+        distinct_texts(sentences, "text"), ["text"], "text", seeds, cleaned=cleaned, best=k
     )
     return topk(scored, k, [F.desc("sim"), F.col("text")])
 
@@ -60,7 +61,7 @@ def _best_texts(
 ) -> DataFrame:
     """Top k whole texts per facet; copies of a text or key all count."""
     texts = table.select(key, text.alias("text"))
-    scored = score_sparse(texts, [key, "text"], "text", seeds, cleaned=cleaned)
+    scored = score_sparse(texts, [key, "text"], "text", seeds, cleaned=cleaned, best=k)
     return topk(scored, k, [F.desc("sim"), F.col(key), F.col("text")])
 
 
@@ -82,4 +83,4 @@ def dense_evidence(
     df: DataFrame, key: str, vector: str, facets: DataFrame, k: int
 ) -> DataFrame:
     """Top k rows per facet by the cosine of dense vectors."""
-    return topk(score_dense(df, [key], vector, facets), k, [F.desc("sim"), F.col(key)])
+    return topk(score_dense(df, [key], vector, facets, best=k), k, [F.desc("sim"), F.col(key)])

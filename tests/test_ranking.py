@@ -234,3 +234,32 @@ def test_unknown_emotion_labels_are_an_error(spark):
     moods = spark.createDataFrame([("good", "bliss", 1.0)], "term string, emotion string, weight double")
     with pytest.raises(Exception, match="unknown label"):
         emotion_scores(texts, ["id"], "t", moods, ["joy"]).collect()
+
+
+def test_scores_of_vectors_are_those_of_the_expression(spark):
+    """Zeros, gaps, other lengths and NaN among the vectors; a task scores many rows at a time."""
+    from pyspark.sql import functions as F
+
+    from lumenfold.functions.vectors import cosine_dense
+
+    nan = float("nan")
+    rows = [[1.0, 2.0, 0.5], [0.0, 0.0, 0.0], None, [], [1.0], [1.0, None, 3.0], [nan, 1.0, 1.0], [0.1, 0.2, 0.3], [0.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, v array<double>").coalesce(1)
+    facets = spark.createDataFrame([("a", [0.3, 0.1, 0.7]), ("b", [0.0, 0.0, 0.0]), ("c", None), (None, [1.0])], "facet string, embedding array<double>")
+    scored = score_dense(df, ["id"], "v", facets)
+    assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
+    want = df.crossJoin(facets).select("id", "facet", cosine_dense(F.col("v"), F.col("embedding")).alias("sim"))
+    assert sorted(map(repr, scored.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_best_scores_keep_every_equal_one(spark):
+    texts = [(i, "sun sea") for i in range(40)] + [(40 + i, f"word{i} stone") for i in range(40)] + [(80, None), (81, "")]
+    df = spark.createDataFrame(texts, "id int, t string").coalesce(1)
+    seeds = spark.createDataFrame([("a", "sun"), ("b", "stone")], "facet string, text string")
+    every = {(r["id"], r["facet"]): r["sim"] for r in score_sparse(df, ["id"], "t", seeds).collect()}
+    few = {(r["id"], r["facet"]): r["sim"] for r in score_sparse(df, ["id"], "t", seeds, best=3).collect()}
+    assert len(every) == 164 and len(few) < 164
+    assert all(every[k] == v for k, v in few.items())
+    for facet in "ab":
+        bar = sorted(v for (_, f), v in every.items() if f == facet)[-3]
+        assert {k for k, v in every.items() if k[1] == facet and v >= bar} == {k for k in few if k[1] == facet}
