@@ -224,6 +224,30 @@ def _scored(rows: DataFrame, scores: Scores, facets: list[Row], kind: T.DataType
     return found.select(*keep, F.get(names, F.col("_facet")).alias("facet"), "sim")
 
 
+def spaced_words(text: str, cleaned: bool) -> Column:
+    """The words of :func:`words` one space apart, as UTF-8; there may be spaces around them."""
+    lower = F.lower(F.col(text))
+    return (lower if cleaned else F.regexp_replace(lower, NOT_WORD_RUN, " ")).cast("binary")
+
+
+def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(row, code, different words) of a column of :func:`spaced_words`, in reading order; a
+    code is a word's place in the list."""
+    lists = pc.split_pattern(column, " ")
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    flat = lists.flatten().dictionary_encode()
+    found, code = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    word = np.array([bool(w) for w in found], dtype=bool)[code]
+    return row[word], code[word], found
+
+
+def batch_buckets(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every word of a column, as :func:`term_buckets_sql` has them."""
+    row, code, found = batch_words(column)
+    of_word = [int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dims for w in found]
+    return row, np.array(of_word, dtype=np.int64)[code]
+
+
 def _word_scores(facets: list[Row], dims: int) -> Scores:
     """Cosine of the term counts of words, one space apart, with every facet."""
     counts = [np.array(f["counts"], dtype="float64") for f in facets]
@@ -231,12 +255,7 @@ def _word_scores(facets: list[Row], dims: int) -> Scores:
 
     def scores(column: pa.Array) -> Iterator[np.ma.MaskedArray]:
         n = len(column)
-        lists = pc.split_pattern(column, " ")
-        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-        flat = lists.flatten().dictionary_encode()
-        of_word = [int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dims if w else -1 for w in flat.dictionary.to_pylist()]
-        bucket = np.array(of_word, dtype=np.int64)[flat.indices.to_numpy()]
-        row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+        row, bucket = batch_buckets(column, dims)
         key, count = np.unique(row * dims + bucket, return_counts=True)
         # Sums of whole numbers, exact as floats.
         norm = np.bincount(key // dims, weights=count.astype("float64") ** 2, minlength=n)
@@ -268,9 +287,7 @@ def score_sparse(
         few = small_rows(facets, FACETS, "facets")
     except TooManyRows:
         return _score_sparse_blocks(df, keep, text, facets, dims, cleaned)
-    lower = F.lower(F.col(text))
-    spaced = lower if cleaned else F.regexp_replace(lower, NOT_WORD_RUN, " ")
-    rows = df.select(*keep, spaced.cast("binary").alias("_words"))
+    rows = df.select(*keep, spaced_words(text, cleaned).alias("_words"))
     return _scored(rows, _word_scores(few, dims), few, facets.schema["facet"].dataType, best)
 
 

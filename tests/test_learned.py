@@ -211,6 +211,29 @@ def test_rules_by_brute_force(spark):
     assert by["not good"] == -0.35 and by["very very good"] == 1.0
 
 
+def test_rules_are_looked_up_where_the_text_is(spark):
+    """A lexicon that can be broadcast takes no shuffle of words; a larger one, a term twice and
+    a missing weight take the join. Scores are the same to the last bit."""
+    rng = random.Random(8)
+    some = [*WORDS, *RULES, "x", "y"]
+    rows = [(i % 9, " ".join(rng.choices(some, k=rng.randrange(30)))) for i in range(200)] + [(None, None), (1, ""), (1, "")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lexicon = spark.createDataFrame([(w, *v) for w, v in WORDS.items()], "term string, polarity double, subjectivity double")
+    rules = spark.createDataFrame(list(RULES.items()), "term string, factor double")
+
+    def found(words, **more):
+        scores = sr.ruled_scores(df, ["id"], "text", words, rules, **more)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted(map(tuple, scores.collect()), key=str)
+
+    plan, near = found(lexicon)
+    assert "hashpartitioning(_text" not in plan and "MapInArrow" in plan
+    plan, joined = found(lexicon, max_rows=1)
+    assert "MapInArrow" not in plan and near == joined
+    odd = lexicon.unionByName(spark.createDataFrame([("good", 0.1, 0.1), ("x", None, 0.5)], lexicon.schema))
+    assert "MapInArrow" not in found(odd)[0]
+
+
 def test_scores_do_not_depend_on_the_order_of_rows(spark):
     """Texts are known by themselves, not by a number that a second read may deal anew."""
     rows = [(i % 3, t) for i, t in enumerate(["good", "bad good", "", None, "good", "x fine"] * 3)]
