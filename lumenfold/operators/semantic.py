@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenfold.functions.vectors import term_buckets_sql
 from lumenfold.operators.ranking import topk
-from lumenfold.operators.scoring import score_dense
+from lumenfold.operators.scoring import batch_buckets, score_dense, spaced_words
 from lumenfold.session import materialise
 
 BUCKETS = 4096  # hashed words
 DIMS = 48  # axes that are kept
 SPARE = 16  # random directions beyond them
 PASSES = 3  # scans of the range finder, the last of which also ranks the axes
+SLICE = 2048  # texts whose weights a task holds at once
+BLOCK = 128  # texts of one matrix of weights
 
 
 @dataclass
@@ -42,54 +45,80 @@ class SemanticModel:
     cleaned: bool
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
 def _buckets(df: DataFrame, text: str, size: int, cleaned: bool, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., b): sorted buckets of the words of each text; NULL has none."""
-    found = F.expr(f"coalesce({term_buckets_sql(f'`{text}`', size, cleaned)}, array())")
-    return df.select(*keep, found.cast("array<int>").alias("b"))
+    """(keep..., b): sorted buckets of the words of each text; NULL has none.
+
+    ``text`` may be the column of a table that :func:`hashed_texts` made."""
+    if isinstance(df.schema[text].dataType, T.ArrayType):
+        return df.select(*keep, F.col(f"`{text}`").alias("b"))
+    rows = df.select(*keep, spaced_words(f"`{text}`", cleaned).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket = batch_buckets(batch.column(batch.num_columns - 1), size)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+            lists = _lists((np.sort(row * size + bucket) % size).astype(np.int32), ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("b", T.ArrayType(T.IntegerType()))]))
+
+
+def hashed_texts(df: DataFrame, keep: list[str], text: str, buckets: int = BUCKETS, cleaned: bool = False) -> DataFrame:
+    """(keep..., text) with the buckets of its words for each text, written once: for a fit
+    and an encoder that read the same texts."""
+    return materialise(_buckets(df, text, buckets, cleaned, keep).withColumnRenamed("b", text))
 
 
 def weights(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, weight) of a column of bucket lists: (1 + ln n) * idf, where every text
-    with words has length one."""
+    """(row, bucket, weight) of a column of sorted bucket lists: (1 + ln n) * idf, where every
+    text with words has length one."""
     size = len(idf)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    key, n = np.unique(row * size + flat, return_counts=True)
-    row, bucket = key // size, key % size
+    key = row * size + flat
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(start, append=len(key))
+    row, bucket = row[start], flat[start]
     w = (1 + np.log(n)) * idf[bucket]
     length = np.sqrt(np.bincount(row, weights=w * w, minlength=len(column)))
     return row, bucket, w / length[row] if len(row) else w
 
 
-def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` added up by ``at`` into ``n`` rows."""
-    out = np.zeros((n, values.shape[1]))
-    if len(at):
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        out[at[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+def _weighted(column: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, row behind it, bucket, weight) of every ``BLOCK`` texts that have words."""
+    for lo in range(0, len(column), SLICE):
+        row, bucket, w = weights(pa.concat_arrays([column.slice(lo, SLICE)]), idf)
+        edge = np.searchsorted(row, np.arange(0, SLICE + 1, BLOCK))
+        for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+            if b > a:
+                yield lo + i * BLOCK, row[a:b] - i * BLOCK, bucket[a:b], w[a:b]
 
 
 def _through(texts: DataFrame, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """The directions sent through the texts and back: a table of buckets by directions.
 
-    Each task adds up its texts in one such table and hands it on; tasks are merged by
-    bucket on the executors."""
+    Each task adds up its texts in one such table, as products with one matrix of a few
+    texts by the buckets they have, and hands it on; tasks are merged by bucket on the
+    executors."""
     size = len(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(directions)
+        total, at = np.zeros_like(directions), np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                row, bucket, w = weights(pa.concat_arrays([batch.column(0).slice(lo, 512)]), idf)
-                if len(row):
-                    ahead = _sums(w[:, None] * directions[bucket], row, 512)
-                    total += _sums(w[:, None] * ahead[row], bucket, size)
+            for _, row, bucket, w in _weighted(batch.column(0), idf):
+                seen = np.zeros(size, dtype=bool)
+                seen[bucket] = True
+                used = np.flatnonzero(seen)
+                at[used] = np.arange(len(used))
+                a = np.zeros((BLOCK, len(used)))
+                a[row, at[bucket]] = w
+                total[used] += a.T @ (a @ directions[used])
         at = np.flatnonzero(total.any(axis=1))
-        ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * total.shape[1])
-        lists = pa.ListArray.from_arrays(ends, pa.array(total[at].ravel()))
+        lists = _lists(total[at].ravel(), np.arange(len(at) + 1) * total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), lists], names=["bucket", "z"])
 
     parts = texts.mapInArrow(run, "bucket int, z array<double>")
@@ -112,10 +141,13 @@ def fit_semantic(
 ) -> SemanticModel:
     """Fit on every text of ``df``; texts without words, NULL among them, weigh nothing.
 
+    ``text`` may come from :func:`hashed_texts` with the same ``buckets`` and ``cleaned``.
     Without any words the axes are zero. The driver holds tables of ``buckets`` rows and
     ``dims + spare`` columns and solves a problem of ``dims + spare`` rows.
     """
-    texts = materialise(_buckets(df, text, buckets, cleaned))
+    texts = _buckets(df, text, buckets, cleaned)
+    if not isinstance(df.schema[text].dataType, T.ArrayType):
+        texts = materialise(texts)
     known = texts.filter(F.size("b") > 0)
     n = known.count()
     counts = known.select(F.explode(F.array_distinct("b")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
@@ -135,22 +167,37 @@ def fit_semantic(
     return SemanticModel(idf, basis if n else np.zeros_like(basis), shares, cleaned)
 
 
-def encode_semantic(df: DataFrame, keep: list[str], text: str, model: SemanticModel) -> DataFrame:
-    """(keep..., embedding): the place of every text on the axes; zeros without words."""
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """``x`` as Spark rounds it, halves of its decimal digits away from zero; no negative zero."""
+    up = np.abs(x) * 10.0**digits
+    whole = np.floor(up + 0.5)
+    for i in np.flatnonzero(np.abs(up - np.floor(up) - 0.5) < 1e-6):
+        whole[i] = float(Decimal(repr(float(abs(x[i])))).scaleb(digits).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.copysign(whole / 10.0**digits, x) + 0.0
+
+
+def encode_semantic(df: DataFrame, keep: list[str], text: str, model: SemanticModel, digits: int | None = None) -> DataFrame:
+    """(keep..., embedding): the place of every text on the axes; zeros without words.
+
+    ``text`` as in :func:`fit_semantic`; ``digits`` rounds places, which are at most 1. A
+    text's sum runs along its buckets, whatever its batch."""
     size, dims = model.basis.shape
     rows = _buckets(df, text, size, model.cleaned, keep)
     idf, basis = model.idf, model.basis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, bucket, w = weights(pa.concat_arrays([batch.column(batch.num_columns - 1)]), idf)
-            places = _sums(w[:, None] * basis[bucket], row, batch.num_rows)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims)
-            lists = pa.ListArray.from_arrays(ends, pa.array(places.ravel()))
+            places = np.zeros((batch.num_rows, dims))
+            for lo, row, bucket, w in _weighted(batch.column(batch.num_columns - 1), idf):
+                start = np.flatnonzero(np.diff(row, prepend=-1))
+                places[lo + row[start]] = np.add.reduceat(w[:, None] * basis[bucket], start, axis=0)
+            flat = places.ravel()
+            flat = flat if digits is None else _rounded(flat, digits)
+            lists = _lists(flat, np.arange(batch.num_rows + 1) * dims)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "embedding"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, embedding array<double>")
+    extra = T.StructField("embedding", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], extra]))
 
 
 def semantic_evidence(

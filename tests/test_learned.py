@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import EMOTIONS
+from lumenfold.functions.vectors import term_buckets_sql
 from lumenfold.operators import emotion as em
 from lumenfold.operators import emotion_trained as et
 from lumenfold.operators import keyword_index as ki
@@ -131,6 +132,27 @@ def dense(spark, df, model):
     return out
 
 
+def test_texts_are_hashed_once_for_fit_and_encoder(spark):
+    """Buckets as the SQL expression has them; places from them are those from the texts, and
+    rounded in the task as Spark rounds them."""
+    odd = [(900, None), (901, ""), (902, " ... "), (903, "Ünï a a B b ß 123 日本 a")]
+    df = spark.createDataFrame(topics(300, 3) + odd, "id long, text string").repartition(5)
+    for cleaned in (False, True):
+        want = df.select("id", F.expr(f"coalesce({term_buckets_sql('text', 512, cleaned)}, array())").alias("b"))
+        assert sorted(map(tuple, sem._buckets(df, "text", 512, cleaned, ["id"]).collect())) == sorted(map(tuple, want.collect()))
+    hashed = sem.hashed_texts(df, ["id"], "text", buckets=512)
+    model = sem.fit_semantic(hashed, "text", buckets=512, dims=8, spare=8)
+    plain = sem.fit_semantic(df, "text", buckets=512, dims=8, spare=8)
+    assert np.allclose(model.basis, plain.basis, atol=1e-9) and np.array_equal(model.idf, plain.idf)
+    texts = sem.encode_semantic(df, ["id"], "text", model)
+    rounded = texts.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6) + 0.0))
+    got = sem.encode_semantic(hashed, ["id"], "text", model, 6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rounded.collect()))
+    halves = [0.0000005, -0.0000005, 0.1234565, 0.1234575, -0.9999995, 1.0, 0.0, -0.0, 0.3000004999]
+    spark_rounds = spark.createDataFrame([(x,) for x in halves], "x double").select(F.round("x", 6) + 0.0).collect()
+    assert [str(x) for x in sem._rounded(np.array(halves), 6)] == [str(r[0]) for r in spark_rounds]
+
+
 def test_range_finder_against_exact_svd(spark):
     df = spark.createDataFrame(topics(300, 3) + [(900, None), (901, ""), (902, "...")], "id long, text string").repartition(5)
     model = sem.fit_semantic(df, "text", buckets=512, dims=8, spare=8)
