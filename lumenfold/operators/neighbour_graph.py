@@ -2,9 +2,11 @@
 
 Rows are sorted along a few random codes and meet in blocks of each order, which gives a
 first graph. Then rounds refine it: whoever is a neighbour of a row, or has it as one, meets
-all the others that are, since a neighbour's neighbour is likely to be one. A round is two
-joins and a ranking; rounds end when almost nothing changes. Equal vectors are one
-class, so copies neither fill each other's lists nor make one row the neighbour of all.
+all the others that are, since a neighbour's neighbour is likely to be one. Who met in an
+earlier round does not meet again there, so rounds shrink as the graph settles, and what could not enter
+a row's list leaves no task. A round is two joins and a ranking; rounds end when almost nothing
+changes. Equal vectors are one class, so copies neither fill each other's lists nor make one
+row the neighbour of all.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.fixed import NEIGHBOURS
@@ -39,8 +42,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
 
 
-def _best(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, squared distance) of the k nearest of every row in one block.
+def _best(
+    ids: np.ndarray, v: np.ndarray, k: int, new: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, squared distance) of the k nearest of every row in one block; with
+    ``new``, among the pairs of which one at least is new.
 
     Products find the candidates; their distances are then computed pair by pair, so a
     pair has the same distance in every block it meets in."""
@@ -51,19 +57,29 @@ def _best(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         return nothing, nothing, np.empty(0)
     norm = np.einsum("ij,ij->i", v, v)
     rough = norm[:, None] + norm[None, :] - 2 * (v @ v.T)
+    if new is not None:
+        old = np.flatnonzero(~new)
+        rough[np.ix_(old, old)] = np.inf
     np.fill_diagonal(rough, np.inf)
     near = np.argpartition(rough, take - 1, axis=1)[:, :take]
     row = np.repeat(np.arange(n), take)
     other = near.ravel()
+    met = row != other
+    if new is not None:
+        met &= new[row] | new[other]
     cost = np.square(v[row] - v[other]).sum(axis=1)
-    order = np.lexsort((ids[other], cost, row))
+    order = np.lexsort((ids[other], cost, ~met, row))
     row, other, cost = row[order], other[order], cost[order]
-    keep = np.tile(np.arange(take) < k, n)
+    keep = np.tile(np.arange(take) < k, n) & met[order]
     return row[keep], other[keep], cost[keep]
 
 
-def _links(ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
-    row, other, cost = _best(ids, v, k)
+def _links(ids: np.ndarray, v: np.ndarray, k: int, new: np.ndarray | None = None, bar: np.ndarray | None = None) -> pa.RecordBatch:
+    """The links of :func:`_best`; with ``bar``, those that are no longer than a row's bar."""
+    row, other, cost = _best(ids, v, k, new)
+    if bar is not None:
+        keep = cost <= bar[row]
+        row, other, cost = row[keep], other[keep], cost[keep]
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[row]), pa.array(ids[other]), pa.array(cost)], names=["c", "other", "cost"]
     )
@@ -130,7 +146,10 @@ def _in_groups(k: int):
                 continue
             ids = table.column("c").to_numpy()[: edge[-1]]
             v = _matrix(table.column("v").slice(0, edge[-1]))
-            out = [_links(ids[a:b], v[a:b], k) for a, b in zip(edge, edge[1:], strict=False) if b - a > 1]
+            new = table.column("new").to_numpy()[: edge[-1]]
+            bar = table.column("bar").to_numpy()[: edge[-1]]
+            spans = [slice(a, b) for a, b in zip(edge, edge[1:], strict=False) if b - a > 1]
+            out = [_links(ids[x], v[x], k, new[x], bar[x]) for x in spans if new[x].any()]
             if out:
                 yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
@@ -141,8 +160,10 @@ _LINK = "c long, other long, cost double"
 
 
 def _merged(links: DataFrame, k: int, parts: int) -> DataFrame:
-    """The k best of every class. Rows are dealt by class once, for both steps."""
-    dealt = links.repartition(parts, "c").groupBy("c", "other").agg(F.min("cost").alias("cost"))
+    """The k best of every class, new only if no link says otherwise. Rows are dealt by class
+    once, for both steps."""
+    best = [F.min("cost").alias("cost"), F.min("new").alias("new")]
+    dealt = links.repartition(parts, "c").groupBy("c", "other").agg(*best)
     return topk(dealt, k, [F.col("cost"), F.col("other")], ["c"], salted=False).drop("rk")
 
 
@@ -154,21 +175,28 @@ def _first_graph(coded: DataFrame, n: int, k: int, block: int, orders: int, part
         dealt = coded.select("c", "v", code.alias("code")).repartitionByRange(few, "code", "c").sortWithinPartitions("code", "c")
         links = dealt.mapInArrow(_in_blocks(k, block), _LINK)
         found = links if found is None else found.unionByName(links)
-    return _merged(found, k, parts)
+    return _merged(found.withColumn("new", F.lit(True)), k, parts)
 
 
 def _refined(graph: DataFrame, rows: DataFrame, k: int, salt: int, parts: int) -> DataFrame:
-    """One round. A neighbourhood beyond ``GROUP`` members is dealt to parts anew in each."""
-    both = graph.select(F.col("c").alias("node"), F.col("other").alias("c"))
-    both = both.unionByName(graph.select(F.col("other").alias("node"), "c"))
-    both = both.unionByName(rows.select(F.col("c").alias("node"), "c")).distinct()
-    large = both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
-    parts_of = F.ceil(F.col("n") / F.lit(GROUP))
-    part = F.coalesce(F.pmod(F.xxhash64("c", F.lit(salt)), parts_of), F.lit(0)).cast("long")
-    met = both.join(large, "node", "left").select("node", part.alias("part"), "c").join(rows, "c")
-    dealt = met.repartition(parts, "node", "part").sortWithinPartitions("node", "part", "c")
-    links = dealt.select("node", "part", "c", "v").mapInArrow(_in_groups(EMIT), _LINK)
-    return _merged(links.unionByName(graph), k, parts)
+    """One round, over the neighbourhoods with a new link. A neighbourhood beyond ``GROUP``
+    members is dealt to parts anew in each."""
+    both = graph.select(F.col("c").alias("node"), F.col("other").alias("c"), "new")
+    both = both.unionByName(graph.select(F.col("other").alias("node"), "c", "new"))
+    both = both.unionByName(rows.select(F.col("c").alias("node"), "c", F.lit(False).alias("new")))
+    # Who was a member before, in either direction, is not new.
+    members = both.repartition(parts, "node").groupBy("node", "c").agg(F.min("new").alias("new"))
+    of_node = W.partitionBy("node")
+    members = members.withColumn("n", F.count(F.lit(1)).over(of_node)).withColumn("any", F.max("new").over(of_node))
+    part = F.pmod(F.xxhash64("c", F.lit(salt)), F.ceil(F.col("n") / F.lit(GROUP))).cast("long")
+    busy = members.filter("any").select("node", part.alias("part"), "c", "new")
+    # A full list takes no link that is longer than its longest.
+    full = F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("bar")
+    barred = rows.join(graph.groupBy("c").agg(full), "c", "left")
+    barred = barred.select("c", "v", F.coalesce("bar", F.lit(float("inf"))).alias("bar"))
+    dealt = busy.join(barred, "c").repartition(parts, "node", "part").sortWithinPartitions("node", "part", "c")
+    links = dealt.select("node", "part", "c", "new", "bar", "v").mapInArrow(_in_groups(EMIT), _LINK)
+    return _merged(links.withColumn("new", F.lit(True)).unionByName(graph.withColumn("new", F.lit(False))), k, parts)
 
 
 def class_graph(rows: DataFrame, k: int, block: int = BLOCK, orders: int = ORDERS, rounds: int = ROUNDS, width: int = WIDTH) -> DataFrame:
@@ -181,7 +209,7 @@ def class_graph(rows: DataFrame, k: int, block: int = BLOCK, orders: int = ORDER
     kind = rows.schema["v"].dataType.simpleString()
     coded = rows.select("c", "v").mapInArrow(_codes(np.array(mean), orders), f"c long, v {kind}, codes array<long>")
     if n <= 2 * block:  # one block holds all rows: the graph is exact
-        return _first_graph(coded, n, k, block, 1, parts)
+        return _first_graph(coded, n, k, block, 1, parts).drop("new")
     wide = max(k, width)
     graph = materialise(_first_graph(materialise(coded), n, wide, block, orders, parts))
     before = None
@@ -192,7 +220,7 @@ def class_graph(rows: DataFrame, k: int, block: int = BLOCK, orders: int = ORDER
             break
         before = now
         graph = materialise(_refined(graph, rows, wide, salt, parts))
-    return topk(graph, k, [F.col("cost"), F.col("other")], ["c"], salted=False).drop("rk")
+    return topk(graph, k, [F.col("cost"), F.col("other")], ["c"], salted=False).drop("rk", "new")
 
 
 def knn_graph(

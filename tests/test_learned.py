@@ -14,6 +14,7 @@ from lumenfold.functions.vectors import term_buckets_sql
 from lumenfold.operators import emotion as em
 from lumenfold.operators import emotion_trained as et
 from lumenfold.operators import keyword_index as ki
+from lumenfold.operators import neighbour_graph as ng
 from lumenfold.operators import semantic as sem
 from lumenfold.operators import sentiment_rules as sr
 from lumenfold.operators.filters import keyword_filter
@@ -69,6 +70,29 @@ def test_graph_recall(spark):
     assert hit >= 0.9 * exact.count()
 
 
+def test_members_that_met_before_do_not_meet_again():
+    """Only pairs with a new member, and only links that a row's list can still take."""
+    rng = np.random.default_rng(4)
+    v, ids, bar = rng.standard_normal((40, 6)), np.arange(40) * 3, rng.random(40) * 12
+    bar[:5] = np.inf
+    for share in (0.0, 0.1, 0.5, 1.0):
+        new = rng.random(40) < share
+        want = set()
+        for a in range(40):
+            near = sorted((np.square(v[a] - v[b]).sum(), ids[b]) for b in range(40) if b != a and (new[a] or new[b]))
+            want |= {(ids[a], b, cost) for cost, b in near[:5] if cost <= bar[a]}
+        batch = ng._links(ids, v, 5, new, bar)
+        assert set(zip(*(batch.column(c).to_pylist() for c in ("c", "other", "cost")), strict=True)) == want
+
+
+def test_a_round_without_new_links_changes_nothing(spark):
+    rows = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(12)], "c long, v array<double>")
+    links = [(i, (i + d) % 12, float(d), False) for i in range(12) for d in (1, 2)]
+    graph = spark.createDataFrame(links, "c long, other long, cost double, new boolean")
+    got = ng._refined(graph, rows, 2, 0, 4)
+    assert sorted(map(tuple, got.select(graph.columns).collect())) == sorted(links)
+
+
 # ---- supervised axes ------------------------------------------------------------
 
 
